@@ -136,6 +136,7 @@ def to_number(c: str | Column) -> Column:
 
 
 def to_timestamp_any(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """First format that parses wins; failures give null (decision D4)."""
+    """First format that parses wins; failures give null (decision D4).
+    The result is a wall-clock ``timestamp_ntz`` like a naive pandas date."""
     s = _col(c).cast("string")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats])
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats]).cast("timestamp_ntz")
