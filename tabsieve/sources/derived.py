@@ -67,3 +67,37 @@ def orders_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duck(sql: str, **tables: str) -> str:
     """The DuckDB form of a derived view: table names substituted."""
     return sql.format(**{k: v for k, v in tables.items()})
+
+
+# An account table with the defects the repair operators fix: ages as text
+# (some invalid), charges as text with a currency sign, sign-up dates in four
+# formats, injected extreme totals and two outcome-leakage columns.
+_ACCOUNTS_COMMON = """
+select o_orderkey as customer_id,
+ 'AC-' || cast(o_custkey as {text}) as account_number,
+ case when o_orderkey % 37 = 0 then 'unknown' when o_orderkey % 41 = 0 then '150'
+      when o_orderkey % 43 = 0 then '7' else cast(18 + o_orderkey % 60 as {text}) end as age,
+ ' £' || cast(cast(round(o_totalprice / 1000, 2) as decimal(12, 2)) as {text}) as monthly_charge,
+ cast(1 + o_orderkey % 72 as int) as tenure_months,
+ case when o_orderkey % 53 = 0 then 25000.0 + o_orderkey % 1000
+      else cast(cast(round(o_totalprice / 1000, 2) as decimal(12, 2)) as double) * (1 + o_orderkey % 72) end
+   as total_charge,
+ case o_orderkey % 4 when 0 then {fmt_iso} when 1 then {fmt_dmy} when 2 then {fmt_dmony} else {fmt_ymd} end
+   as signup_date,
+ case when o_orderstatus = 'F' then 1 else 0 end as churned,
+ case when o_orderstatus = 'F' then {fmt_iso} end as account_closed_date,
+ case when o_orderkey % 3 = 0 then 'yes' else 'no' end as retention_offer_accepted
+from {{orders}}
+"""
+
+DIRTY_ACCOUNTS_SQL = _ACCOUNTS_COMMON.format(
+    text="varchar", fmt_iso="strftime(o_orderdate, '%Y-%m-%d')", fmt_dmy="strftime(o_orderdate, '%d/%m/%Y')",
+    fmt_dmony="strftime(o_orderdate, '%d-%b-%Y')", fmt_ymd="strftime(o_orderdate, '%Y/%m/%d')")
+
+SPARK_DIRTY_ACCOUNTS_SQL = _ACCOUNTS_COMMON.format(
+    text="string", fmt_iso="date_format(o_orderdate, 'yyyy-MM-dd')", fmt_dmy="date_format(o_orderdate, 'dd/MM/yyyy')",
+    fmt_dmony="date_format(o_orderdate, 'dd-MMM-yyyy')", fmt_ymd="date_format(o_orderdate, 'yyyy/MM/dd')")
+
+
+def dirty_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SPARK_DIRTY_ACCOUNTS_SQL, orders=table(spark, sf_dir, "orders"))
