@@ -1 +1,209 @@
-"""Registered modeling queries."""
+"""Registered modeling queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabsieve.operators import evaluation, modeling
+from tabsieve.registry import register
+from tabsieve.sources.derived import (
+    SCORED_LABELS_SQL,
+    dirty_customer,
+    labeled_documents,
+    scored_labels,
+    table,
+)
+from tabsieve.sqlkit import DIRTY_CTE, MARKERS_SQL, to_timestamp_sql
+
+SCORED_CTE = "scored as (" + SCORED_LABELS_SQL.format(labels="labels", documents="documents") + ")"
+
+# ---------------------------------------------------------------- A29
+
+register("readiness_check", f"""
+with {DIRTY_CTE}, f as (
+ select count(*) as rows,
+  count(*) filter (where target is null) as invalid_target,
+  count(*) filter (where c_custkey is null) as m_key,
+  count(*) filter (where segment is null or lower(trim(segment)) in {MARKERS_SQL}) as m_segment,
+  count(*) filter (where acctbal is null or isnan(acctbal)) as m_acctbal,
+  count(*) filter (where isinf(acctbal)) as i_acctbal,
+  count(*) filter (where nation_txt is null or lower(trim(nation_txt)) in {MARKERS_SQL}) as m_nation
+ from dirty_customer
+), c as (select count(*) as n_classes, min(k) as smallest from (select count(*) as k from dirty_customer
+          where target is not null group by target)),
+found as (
+ select 'error' as severity, 'empty_dataset' as code, cast(null as varchar) as "column", rows as n from f where rows = 0
+ union all select 'error', 'invalid_target_values', 'target', invalid_target from f where invalid_target > 0
+ union all select 'warning', 'missing_or_blank_values', 'c_custkey', m_key from f where m_key > 0
+ union all select 'warning', 'missing_or_blank_values', 'segment', m_segment from f where m_segment > 0
+ union all select 'error', 'infinite_values', 'acctbal', i_acctbal from f where i_acctbal > 0
+ union all select 'warning', 'missing_or_blank_values', 'acctbal', m_acctbal from f where m_acctbal > 0
+ union all select 'warning', 'missing_or_blank_values', 'nation_txt', m_nation from f where m_nation > 0
+ union all select 'error', 'not_two_classes', 'target', n_classes from c where n_classes <> 2
+ union all select 'error', 'class_too_small', 'target', smallest from c where n_classes = 2 and smallest < 2
+)
+select * from found
+union all select 'status', case when count(*) filter (where severity = 'error') > 0 then 'BLOCK'
+ when count(*) filter (where severity = 'warning') > 0 then 'WARNING' else 'PASS' end, null, null from found
+""")(lambda spark, d: modeling.readiness_check(dirty_customer(spark, d), "target"))
+
+# ---------------------------------------------------------------- M1
+
+
+def _corr(a: str, b: str) -> str:
+    xa = f"case when {b} is not null then {a} end"
+    xb = f"case when {a} is not null then {b} end"
+    den = f"(stddev_pop({xa}) * stddev_pop({xb}))"
+    return f"case when {den} = 0 then null else covar_pop({a}, {b}) / {den} end"
+
+
+_EV_COLS = ("c_custkey", "segment", "acctbal", "nation_txt")
+register("modeling_evidence", f"""
+with {DIRTY_CTE}, card as (
+""" + "\n union all ".join(
+    f"select '{c}' as col, count({c}) as nn, count(distinct {c}) as nd, "
+    f"count(*) filter (where {c} is null{' or isnan(' + c + ')' if c == 'acctbal' else ''}) as nm from dirty_customer"
+    for c in _EV_COLS) + f"""
+), dates as (
+""" + "\n union all ".join(
+    f"select '{c}' as col, count({c}) as nn, count({to_timestamp_sql(c)}) as nd from dirty_customer"
+    for c in ("segment", "nation_txt")) + f"""
+)
+select 'numeric_feature' as kind, 'c_custkey' as "column", cast(null as double) as value
+union all select 'numeric_feature', 'acctbal', null
+union all select 'categorical_feature', 'segment', null
+union all select 'categorical_feature', 'nation_txt', null
+union all select 'constant_feature', col, nd from card where nd <= 1
+union all select 'identifier_feature', col, nd / nn from card where nn >= 1 and nd / nn >= 0.95
+union all select 'missing_feature', col, nm from card where nm > 0
+union all select 'date_candidate', col, nd / nn from dates where nn > 0 and nd / nn >= 0.8
+union all select * from (
+ select 'numeric_target_relationship', 'c_custkey', {_corr('c_custkey', 'target')} as r from dirty_customer
+ union all select 'numeric_target_relationship', 'acctbal', {_corr('acctbal', 'target')} from dirty_customer
+) where r is not null and (select min(target) < max(target) from dirty_customer)
+""")(lambda spark, d: modeling.modeling_evidence(dirty_customer(spark, d), "target"))
+
+# ---------------------------------------------------------------- M4
+
+register("stratified_split", """
+with c as (select quality as y, count(*) as n from labels group by 1),
+t as (select ceil(0.2 * sum(n))::bigint as total, sum(n) as n_all from c),
+a as (select y, n, total * n / n_all as exact, floor(total * n / n_all)::bigint as base, total from c, t),
+ta as (select y, n, base + case when row_number() over (order by exact - base desc, y)
+         <= total - sum(base) over () then 1 else 0 end as test_q from a),
+r as (select y, n - test_q as rest, test_q from ta),
+vt as (select ceil(0.25 * sum(rest))::bigint as total, sum(rest) as n_all from r),
+va as (select y, rest, test_q, total * rest / n_all as exact, floor(total * rest / n_all)::bigint as base, total
+       from r, vt),
+q as (select y, test_q, base + case when row_number() over (order by exact - base desc, y)
+         <= total - sum(base) over () then 1 else 0 end as val_q, rest from va)
+select 'test' as split, y as quality, test_q as n from q
+union all select 'validation', y, val_q from q
+union all select 'train', y, rest - val_q from q
+""")(lambda spark, d: modeling.stratified_split(table(spark, d, "labels"), "quality", ["doc_id"])
+     .groupBy("split", "quality").agg(F.count(F.lit(1)).alias("n")))
+
+# ---------------------------------------------------------------- M9 to M12, M14, M16
+
+GROUPED = "g as (select score, count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg " \
+          "from scored group by score)"
+
+
+def metrics_sql(pred: str, score: str = "score", source: str = "scored", variant: str = "default_threshold") -> str:
+    """One row: variant + accuracy, precision, recall, f1, roc_auc."""
+    return f"""(select '{variant}' as variant,
+  coalesce((tp + tn) / nullif(n, 0), 0.0) as accuracy, coalesce(tp / nullif(tp + fp, 0), 0.0) as "precision",
+  coalesce(tp / nullif(tp + fn, 0), 0.0) as recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) as f1,
+  (select sum(pos * (coalesce(neg_below, 0) + neg / 2.0)) / (sum(pos) * sum(neg)) from (
+     select pos, neg, sum(neg) over (order by s rows between unbounded preceding and 1 preceding) as neg_below
+     from (select {score} as s, count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg
+           from {source} group by 1))) as roc_auc
+ from (select count(*)::double as n,
+   count(*) filter (where label = 1 and {pred} = 1)::double as tp, count(*) filter (where label = 0 and {pred} = 1)::double as fp,
+   count(*) filter (where label = 1 and {pred} = 0)::double as fn, count(*) filter (where label = 0 and {pred} = 0)::double as tn
+   from {source}))"""
+
+
+THRESHOLD_CTES = f"""{GROUPED},
+c as (select score, pos, neg,
+  sum(pos) over (order by score desc rows between unbounded preceding and current row) as tp,
+  sum(pos + neg) over (order by score desc rows between unbounded preceding and current row) as pp,
+  sum(pos) over () as p from g)"""
+THRESHOLD_SELECT = """select score as threshold, coalesce(2 * tp / nullif(pp + p, 0), 0.0)::double as validation_f1
+from c order by validation_f1 desc, score desc limit 1"""
+THRESHOLD_SQL = f"with {SCORED_CTE}, {THRESHOLD_CTES} {THRESHOLD_SELECT}"
+
+register("threshold_f1", THRESHOLD_SQL)(lambda spark, d: evaluation.select_threshold(scored_labels(spark, d),
+                                                                                   "label", "score"))
+
+register("confusion_metrics", f"""
+with {SCORED_CTE} select * from {metrics_sql('case when score >= 0.5 then 1 else 0 end')}
+""")(lambda spark, d: evaluation.classification_metrics(scored_labels(spark, d), "label", "score", threshold=0.5))
+
+register("roc_auc", f"""
+with {SCORED_CTE} select roc_auc from {metrics_sql('0')}
+""")(lambda spark, d: evaluation.roc_auc(scored_labels(spark, d), "label", "score"))
+
+MAJORITY_SQL = "(select y from (select label as y, count(*) as n from scored group by 1) order by n desc, y limit 1)"
+
+register("majority_baseline", f"""
+with {SCORED_CTE}, b as (select label, cast({MAJORITY_SQL} as double) as bscore,
+  {MAJORITY_SQL} as bpred from scored)
+select m.*, {MAJORITY_SQL} as majority_class from {metrics_sql('bpred', 'bscore', 'b', 'baseline')} m
+""")(lambda spark, d: evaluation.baseline_metrics(scored_labels(spark, d), scored_labels(spark, d), "label"))
+
+
+def _three_variants(spark, d):
+    s = scored_labels(spark, d)
+    t = evaluation.select_threshold(s, "label", "score").first()["threshold"]
+    return (evaluation.classification_metrics(s, "label", "score", threshold=0.5, variant="default_threshold")
+            .unionByName(evaluation.classification_metrics(s, "label", "score", threshold=t,
+                                                           variant="selected_threshold"))
+            .unionByName(evaluation.baseline_metrics(s, s, "label").drop("majority_class")))
+
+
+THREE_SQL = f"""
+with {SCORED_CTE}, {THRESHOLD_CTES}, t as ({THRESHOLD_SELECT}),
+b as (select label, cast({MAJORITY_SQL} as double) as bscore, {MAJORITY_SQL} as bpred from scored),
+m as (
+ select * from {metrics_sql('case when score >= 0.5 then 1 else 0 end')}
+ union all select * from {metrics_sql('case when score >= (select threshold from t) then 1 else 0 end', variant='selected_threshold')}
+ union all select * from {metrics_sql('bpred', 'bscore', 'b', 'baseline')}
+)"""
+
+register("evaluation_flags", THREE_SQL + """
+select variant, recall < 0.5 as low_recall,
+ accuracy <= (select accuracy from m where variant = 'baseline') as not_better_than_baseline
+from m where variant <> 'baseline'
+""")(lambda spark, d: evaluation.evaluation_flags(_three_variants(spark, d)))
+
+register("metric_comparison", THREE_SQL + """
+, l as (
+ select variant, 'accuracy' as metric, accuracy as value from m
+ union all select variant, 'precision', "precision" from m
+ union all select variant, 'recall', recall from m
+ union all select variant, 'f1', f1 from m
+ union all select variant, 'roc_auc', roc_auc from m)
+select metric, max(value) filter (where variant = 'default_threshold') as default_threshold,
+ max(value) filter (where variant = 'selected_threshold') as selected_threshold,
+ max(value) filter (where variant = 'baseline') as baseline
+from l group by metric
+""")(lambda spark, d: evaluation.metric_comparison(_three_variants(spark, d)))
+
+# ---------------------------------------------------------------- M5 to M8, M13, M15 (rows-only checks)
+
+TRAIN_FEATURES = ["n_chars", "lang", "source"]
+
+
+def _train(model: str):
+    def run(spark, d):
+        res = modeling.train_evaluate(labeled_documents(spark, d), "quality", model, TRAIN_FEATURES, ["doc_id"])
+        return res.metrics
+    return run
+
+
+register("train_lr")(_train("Logistic Regression"))
+register("train_rf")(_train("Random Forest"))
+register("train_evaluate")(lambda spark, d: modeling.train_evaluate(
+    labeled_documents(spark, d), "quality", "Logistic Regression", TRAIN_FEATURES, ["doc_id"]).record)
+

@@ -39,42 +39,52 @@ def cumulative_before(
     df: DataFrame,
     order_by: Sequence[Column],
     group_by: Sequence[str] = (),
-    weight: str | Column | None = None,
+    weight: str | Column | dict[str, Column] | None = None,
     num_slices: int | None = None,
 ) -> DataFrame:
     """Adds ``cum_before`` (sum of ``weight`` over rows of the same group
     strictly earlier in ``order_by``) and ``group_total``.
 
     ``weight`` defaults to 1 per row (then ``cum_before`` is a 0-based row
-    number). The (group, order) key must be unique per row.
+    number). A dict ``{name: column}`` carries several weights at once and
+    adds ``cum_<name>`` / ``total_<name>`` instead. The (group, order) key
+    should be unique per row (pre-aggregate duplicates into weights).
     """
-    w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
+    if isinstance(weight, dict):
+        weights = dict(weight)
+        names = {k: (f"cum_{k}", f"total_{k}") for k in weights}
+    else:
+        w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
+        weights = {"": w}
+        names = {"": ("cum_before", "group_total")}
+    wcols = {k: f"_w{i}" for i, k in enumerate(weights)}
     groups = [F.col(g) for g in group_by]
     n = _num_slices(df, num_slices)
     # Slice ids come from a sampled range partitioner; materialize them once
     # so the detail rows and the slice totals agree.
     sliced = materialize(
-        df.withColumn("_w", w)
+        df.select("*", *[weights[k].alias(wcols[k]) for k in weights])
         .repartitionByRange(n, *groups, *order_by)
         .withColumn("_slice", F.spark_partition_id())
     )
     within = Window.partitionBy("_slice", *group_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    local = sliced.withColumn("_local_before", F.coalesce(F.sum("_w").over(within), F.lit(0)))
-    slice_totals = local.groupBy("_slice", *group_by).agg(F.sum("_w").alias("_slice_total"))
+    local = sliced.select("*", *[F.coalesce(F.sum(wcols[k]).over(within), F.lit(0)).alias(f"_l{wcols[k]}")
+                                 for k in weights])
+    slice_totals = local.groupBy("_slice", *group_by).agg(
+        *[F.sum(wcols[k]).alias(f"_t{wcols[k]}") for k in weights])
     # At most (#slices + #groups) rows: bounded, so a plain window and a
     # broadcast are safe here.
     earlier = Window.partitionBy(*group_by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_by)
     offsets = slice_totals.select(
         "_slice", *group_by,
-        F.coalesce(F.sum("_slice_total").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_slice_total").over(whole).alias("group_total"),
-    )
-    return (
-        local.join(F.broadcast(offsets), ["_slice", *group_by])
-        .withColumn("cum_before", F.col("_offset") + F.col("_local_before"))
-        .drop("_offset", "_local_before", "_slice", "_w")
+        *[F.coalesce(F.sum(f"_t{wcols[k]}").over(earlier), F.lit(0)).alias(f"_o{wcols[k]}") for k in weights],
+        *[F.sum(f"_t{wcols[k]}").over(whole).alias(names[k][1]) for k in weights],
     )
+    out = local.join(F.broadcast(offsets), ["_slice", *group_by])
+    out = out.select("*", *[(F.col(f"_o{wcols[k]}") + F.col(f"_l{wcols[k]}")).alias(names[k][0]) for k in weights])
+    drop = ["_slice"] + [c for k in weights for c in (wcols[k], f"_l{wcols[k]}", f"_o{wcols[k]}")]
+    return out.drop(*drop)
 
 
 def long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:

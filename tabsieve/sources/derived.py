@@ -101,3 +101,27 @@ SPARK_DIRTY_ACCOUNTS_SQL = _ACCOUNTS_COMMON.format(
 
 def dirty_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SPARK_DIRTY_ACCOUNTS_SQL, orders=table(spark, sf_dir, "orders"))
+
+
+# Labeled documents with a deterministic score in [0, 1) (ties included),
+# standing in for model output in the metric queries.
+SCORED_LABELS_SQL = """
+select l.doc_id, l.quality as label,
+ cast((l.doc_id * 37 + d.n_chars) % 100 * 7 + 30 * l.quality * (l.doc_id % 3) as double) / 1000 as score
+from {labels} l join {documents} d on l.doc_id = d.doc_id
+"""
+
+LABELED_DOCUMENTS_SQL = """
+select l.doc_id, l.quality, d.lang, d.source, d.n_chars
+from {labels} l join {documents} d on l.doc_id = d.doc_id
+"""
+
+
+def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SCORED_LABELS_SQL, labels=table(spark, sf_dir, "labels"),
+                     documents=table(spark, sf_dir, "documents"))
+
+
+def labeled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LABELED_DOCUMENTS_SQL, labels=table(spark, sf_dir, "labels"),
+                     documents=table(spark, sf_dir, "documents"))
