@@ -77,10 +77,10 @@ select o_orderkey as customer_id,
  'AC-' || cast(o_custkey as {text}) as account_number,
  case when o_orderkey % 37 = 0 then 'unknown' when o_orderkey % 41 = 0 then '150'
       when o_orderkey % 43 = 0 then '7' else cast(18 + o_orderkey % 60 as {text}) end as age,
- ' £' || cast(cast(round(o_totalprice / 1000, 2) as decimal(12, 2)) as {text}) as monthly_charge,
+ ' £' || cast(cast(round(o_totalprice / 5000, 2) as decimal(12, 2)) as {text}) as monthly_charge,
  cast(1 + o_orderkey % 72 as int) as tenure_months,
  case when o_orderkey % 53 = 0 then 25000.0 + o_orderkey % 1000
-      else cast(cast(round(o_totalprice / 1000, 2) as decimal(12, 2)) as double) * (1 + o_orderkey % 72) end
+      else cast(cast(round(o_totalprice / 5000, 2) as decimal(12, 2)) as double) * (1 + o_orderkey % 72) end
    as total_charge,
  case o_orderkey % 4 when 0 then {fmt_iso} when 1 then {fmt_dmy} when 2 then {fmt_dmony} else {fmt_ymd} end
    as signup_date,
