@@ -16,6 +16,7 @@ def spark():
     s = (SparkSession.builder.master("local[4]").appName("tabsieve-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", ckpt)
          .getOrCreate())
