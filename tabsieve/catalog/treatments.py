@@ -149,7 +149,7 @@ PLAN_DECISIONS = (
 
 def _plan_inputs(spark, d):
     df = _dirty(spark, d)
-    inv = issues.issue_inventory(df, CUSTOMER_RULES)
+    inv = issues.issue_inventory(df, CUSTOMER_RULES).persist()
     plan = treatment.TreatmentPlan(
         dataset_fingerprint=fingerprint_value(df),
         evidence_fingerprint=evidence_fingerprint(inv).first()["fingerprint"],

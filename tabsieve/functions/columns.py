@@ -135,8 +135,29 @@ def to_number(c: str | Column) -> Column:
     return F.when(v.isNull() | F.isnan(v) | suffixed, F.lit(None).cast("double")).otherwise(v)
 
 
+def format_shape(fmt: str) -> str:
+    """A regex accepting at least every text the datetime pattern can parse
+    (runs of digits for numeric fields, letters for month names), derived
+    from the pattern by rule. It only filters out parse attempts that cannot
+    succeed, so it is deliberately loose."""
+    import re as _re
+    out = []
+    for run in _re.finditer(r"(y+|M+|d+|H+|m+|s+|[^yMdHms]+)", fmt):
+        tok = run.group(0)
+        if tok[0] == "M" and len(tok) >= 3:
+            out.append(r"\p{L}+")
+        elif tok[0] in "yMdHms":
+            out.append(r"\d+")
+        else:
+            out.append(_re.escape(tok))
+    return "^" + "".join(out) + "$"
+
+
 def to_timestamp_any(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """First format that parses wins; failures give null (decision D4).
-    The result is a wall-clock ``timestamp_ntz`` like a naive pandas date."""
+    The result is a wall-clock ``timestamp_ntz`` like a naive pandas date.
+    Each parse is attempted only when the text has the format's shape, so
+    non-dates cost a regex test rather than a failed parse."""
     s = _col(c).cast("string")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in formats]).cast("timestamp_ntz")
+    return F.coalesce(*[F.when(s.rlike(format_shape(fmt)), F.try_to_timestamp(s, F.lit(fmt)))
+                        for fmt in formats]).cast("timestamp_ntz")

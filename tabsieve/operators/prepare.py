@@ -28,6 +28,7 @@ from tabsieve.functions.columns import (
     to_timestamp_any,
 )
 from tabsieve.operators.rules import ValidationRule, violation_flag
+from tabsieve.plans.joins import join_small
 from tabsieve.plans.lineage import materialize
 from tabsieve.plans.ranking import exact_quantiles
 
@@ -116,11 +117,12 @@ def category_map(df: DataFrame, column: str, order_by: str | None = None) -> Dat
 def normalize_categories(df: DataFrame, column: str, order_by: str | None = None) -> DataFrame:
     """T4: replace every spelling of a multi-spelling group by its canonical
     form. The map has one row per such group; its size is data dependent, so
-    the join strategy is left to AQE (broadcast when small at run time)."""
+    it is counted and broadcast only when small (else a shuffle join, with
+    AQE splitting a hot key)."""
     if not is_text_type(df.schema[column].dataType):
         raise ValueError("normalize_categories requires a text column.")
     mapping = category_map(df, column, order_by)
-    joined = df.join(mapping, norm(F.col(column)) == F.col("_key"), "left")
+    joined = join_small(df, mapping, norm(F.col(column)) == F.col("_key"), "left")
     out = F.coalesce(F.col("_canonical"), F.col(column))
     return joined.select(*[out.alias(c) if c == column else F.col(c) for c in df.columns])
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.functions.columns import strip, to_number
+from tabsieve.functions.columns import strip, to_number, to_timestamp_any
 from tabsieve.operators.quality import duplicate_row_count
 from tabsieve.plans.ranking import exact_quantiles
 
@@ -44,7 +44,7 @@ def currency_to_number(c: str | Column) -> Column:
 def parse_dates(c: str | Column, formats: Sequence[str] = REPAIR_DATE_FORMATS) -> Column:
     """R2: first format that matches wins; null when none does."""
     col = strip((F.col(c) if isinstance(c, str) else c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats])
+    return to_timestamp_any(col, formats)
 
 
 def normalized_date_text(c: str | Column) -> Column:

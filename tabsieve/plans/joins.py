@@ -1,0 +1,20 @@
+"""Size-checked broadcast joins.
+
+A side is broadcast only after counting it: below ``max_rows`` it is hinted
+(no shuffle of the large side); above, the join is planned normally and AQE
+(with skew-join splitting) decides at run time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on: Column | str | list, how: str = "inner",
+               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    rows = small.limit(max_rows + 1).count()
+    side = F.broadcast(small) if rows <= max_rows else small
+    return big.join(side, on, how)

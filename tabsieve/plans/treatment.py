@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,8 +128,15 @@ def compile_plan(issues: DataFrame, plan: TreatmentPlan, rules=()) -> list[Actio
 def apply_treatment_plan(df: DataFrame, issues: DataFrame, plan: TreatmentPlan, rules=(),
                          order_by: str | None = None, check_fingerprints: bool = True,
                          checkpoint_every: int | None = None) -> DataFrame:
-    validate_plan(df, issues, plan, check_fingerprints)
-    return apply_actions(df, compile_plan(issues, plan, rules), order_by, checkpoint_every)
+    # The issue table is read by three guards and the compiler; it is small
+    # (bounded by columns x detectors), so keep it instead of recomputing it.
+    issues = issues.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        validate_plan(df, issues, plan, check_fingerprints)
+        actions = compile_plan(issues, plan, rules)
+    finally:
+        issues.unpersist()
+    return apply_actions(df, actions, order_by, checkpoint_every)
 
 
 def unresolved_issues(issues: DataFrame, decisions: DataFrame) -> DataFrame:
