@@ -149,8 +149,8 @@ def mode_of(df: DataFrame, column: str, order_by: str | None = None):
     return row["m"]
 
 
-def impute_missing(df: DataFrame, column: str, strategy: str, order_by: str | None = None) -> DataFrame:
-    """Fill genuine missing values by the median, mean or mode."""
+def impute_statistic(df: DataFrame, column: str, strategy: str, order_by: str | None = None):
+    """The fill value of T5/T6 and the column type after filling."""
     dt = df.schema[column].dataType
     if strategy in ("median", "mean"):
         if not is_numeric_type(dt):
@@ -162,16 +162,27 @@ def impute_missing(df: DataFrame, column: str, strategy: str, order_by: str | No
         if stat is None:
             raise ValueError(f"Cannot calculate {strategy} for column '{column}'.")
         target_type = T.DoubleType() if not isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)) else dt
-        filled = F.when(genuine_missing(column, dt), F.lit(stat)).otherwise(F.col(column)).cast(target_type)
-        return _replace(df, column, filled)
+        return stat, target_type
     if strategy == "mode":
         stat = mode_of(df, column, order_by)
         if stat is None:
             raise ValueError(f"Cannot calculate mode for column '{column}'.")
-        return _replace(df, column, F.when(genuine_missing(column, dt), F.lit(stat).cast(dt)).otherwise(F.col(column)))
+        return stat, dt
     raise ValueError(f"Unsupported imputation strategy: {strategy!r}")
 
 
+def fill_missing(df: DataFrame, column: str, value, target_type: T.DataType) -> DataFrame:
+    dt = df.schema[column].dataType
+    return _replace(df, column, F.when(genuine_missing(column, dt), F.lit(value).cast(target_type))
+                    .otherwise(F.col(column)).cast(target_type))
+
+
+def impute_missing(df: DataFrame, column: str, strategy: str, order_by: str | None = None) -> DataFrame:
+    """Fill genuine missing values by the median, mean or mode."""
+    stat, target_type = impute_statistic(df, column, strategy, order_by)
+    return fill_missing(df, column, stat, target_type)
+
+
 # --- X1 to X6 -------------------------------------------------------------------
 
 def convert_numeric(df: DataFrame, column: str) -> DataFrame:
