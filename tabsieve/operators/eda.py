@@ -15,7 +15,7 @@ from tabsieve.functions.columns import (
     nan_to_null,
     require_columns,
 )
-from tabsieve.operators.quality import per_column
+from tabsieve.plans.columnwise import count_if, count_present, numeric, pair_correlations, per_column
 from tabsieve.operators.valuecounts import column_cardinality, value_counts
 from tabsieve.plans.ranking import exact_quantiles
 
@@ -58,11 +58,11 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         return nan_to_null(c, fields[c]).cast("double")
 
     moments = per_column(df, cols, {
-        "count": lambda c, dt: F.count(v(c)),
-        "mean": lambda c, dt: F.avg(v(c)),
-        "std": lambda c, dt: F.stddev_samp(v(c)),
-        "min": lambda c, dt: F.min(v(c)),
-        "max": lambda c, dt: F.max(v(c)),
+        "count": count_present(lambda c, dt: v(c)),
+        "mean": numeric(F.avg, lambda c, dt: v(c)),
+        "std": numeric(F.stddev_samp, lambda c, dt: v(c)),
+        "min": numeric(F.min, lambda c, dt: v(c)),
+        "max": numeric(F.max, lambda c, dt: v(c)),
     })
     q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("column").agg(
         *[F.first(F.when(F.col("p") == p, F.col("value")), ignorenulls=True).alias(name)
@@ -89,29 +89,20 @@ def categorical_top_values(df: DataFrame, k: int = TOP_VALUES, columns: Sequence
 
 # --- A21, A22, A23 -------------------------------------------------------------
 
-def _safe_corr(x: Column, y: Column) -> Column:
-    """Pearson r over rows where both are present; null when a side has zero
-    variance (plain ``corr`` raises under ANSI mode, decision D6)."""
-    xb = F.when(y.isNotNull(), x)
-    yb = F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(xb) * F.stddev_pop(yb))
-
-
 def numeric_correlations(df: DataFrame) -> DataFrame:
     """Correlation matrix without the diagonal, long form; < 2 numeric
-    columns -> empty. One aggregate pass over all pairs."""
+    columns -> empty. One scan over all pairs; each pair is reported in both
+    directions from the same aggregate."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = _numeric(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "column string, other_column string, r double")
-    vals = {c: nan_to_null(c, fields[c]).cast("double") for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _safe_corr(vals[a], vals[b]).alias("r"))
-        for a, b in pairs]).alias("pairs"))
-    half = row.select(F.explode("pairs").alias("p")).select("p.*")
-    return half.select(F.col("a").alias("column"), F.col("b").alias("other_column"), "r").unionByName(
-        half.select(F.col("b").alias("column"), F.col("a").alias("other_column"), "r"))
+    half = pair_correlations(df, pairs, lambda c: nan_to_null(c, fields[c]).cast("double"))
+    both = F.explode(F.array(
+        F.struct(F.col("a").alias("column"), F.col("b").alias("other_column"), F.col("r")),
+        F.struct(F.col("b").alias("column"), F.col("a").alias("other_column"), F.col("r"))))
+    return half.select(both.alias("x")).select("x.*")
 
 
 def target_correlations(df: DataFrame, target: str, require_variation: bool = False) -> DataFrame:
@@ -126,14 +117,13 @@ def target_correlations(df: DataFrame, target: str, require_variation: bool = Fa
     cols = _numeric(df, exclude=[target])
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, r double")
-    y = nan_to_null(target, fields[target]).cast("double")
-    out = per_column(df, cols, {"r": lambda c, dt: _safe_corr(nan_to_null(c, dt).cast("double"), y)})
     if require_variation:
         # A23 only reports when the target takes more than one value.
-        out = per_column(df, cols, {
-            "r": lambda c, dt: _safe_corr(nan_to_null(c, dt).cast("double"), y),
-            "varied": lambda c, dt: F.coalesce(F.min(y) < F.max(y), F.lit(False)),
-        }).where(F.col("varied"))
+        y = nan_to_null(target, fields[target])
+        if not df.agg(F.coalesce(F.min(y) < F.max(y), F.lit(False)).alias("v")).first()["v"]:
+            return df.sparkSession.createDataFrame([], "column string, r double")
+    out = pair_correlations(df, [(c, target) for c in cols],
+                            lambda c: nan_to_null(c, fields[c]).cast("double")).select(F.col("a").alias("column"), "r")
     return out.where(F.col("r").isNotNull()).select("column", "r")
 
 
@@ -229,7 +219,7 @@ def column_information(df: DataFrame) -> DataFrame:
 def target_candidates(df: DataFrame) -> DataFrame:
     """P10: numeric columns whose non-null values are a subset of {0, 1}."""
     cols = _numeric(df)
-    out = per_column(df, cols, {"other": lambda c, dt: F.count(F.when(F.col(c).isNotNull() & ~F.col(c).isin(0, 1), 1))})
+    out = per_column(df, cols, {"other": count_if(lambda c, dt: F.col(c).isNotNull() & ~F.col(c).isin(0, 1))})
     return out.where(F.col("other") == 0).select("column")
 
 

@@ -27,6 +27,7 @@ from tabsieve.functions.columns import (
 from tabsieve.operators import quality
 from tabsieve.operators.rules import RULE_TREATMENTS, ValidationRule, check_unique_rule_ids, evaluate_rules
 from tabsieve.operators.valuecounts import value_counts
+from tabsieve.plans.columnwise import count_if, count_present, per_column
 
 ISSUE_COLUMNS = ("issue_id", "issue_type", "column", "evidence", "allowed_treatments",
                  "requires_explicit_human_decision", "ordinal")
@@ -73,17 +74,17 @@ def scan_metrics(df: DataFrame) -> DataFrame:
         return F.when(strip(c) != F.lit(""), strip(c))
 
     def text_only(fn):
-        return lambda c, dt: fn(c, dt) if is_text_type(dt) else F.lit(0).cast("long")
-
-    return quality.per_column(df, df.columns, {
-        "missing": lambda c, dt: F.count(F.when(genuine_missing(c, dt), F.lit(1))),
-        "fake_nulls": text_only(lambda c, dt: F.count(F.when(textual_null(c, dt), F.lit(1)))),
-        "whitespace": text_only(lambda c, dt: F.count(F.when(F.col(c) != strip(c), F.lit(1)))),
-        "non_null": lambda c, dt: F.count(F.col(c)),
-        "numeric_like": text_only(lambda c, dt: F.count(to_number(c))),
-        "non_blank": text_only(lambda c, dt: F.count(kept(c))),
-        "numeric_non_blank": text_only(lambda c, dt: F.count(to_number(kept(c)))),
-        "date_like": text_only(lambda c, dt: F.count(to_timestamp_any(kept(c)))),
+        return lambda c, dt: fn(c) if is_text_type(dt) else F.lit(None).cast("string")
+
+    return per_column(df, df.columns, {
+        "missing": count_if(genuine_missing),
+        "fake_nulls": count_if(textual_null),
+        "whitespace": count_if(lambda c, dt: (F.col(c) != strip(c)) if is_text_type(dt) else F.lit(False)),
+        "non_null": count_present(lambda c, dt: F.col(c)),
+        "numeric_like": count_present(text_only(lambda c: to_number(c))),
+        "non_blank": count_present(text_only(kept)),
+        "numeric_non_blank": count_present(text_only(lambda c: to_number(kept(c)))),
+        "date_like": count_present(text_only(lambda c: to_timestamp_any(kept(c)))),
     })
 
 

@@ -26,11 +26,9 @@ from tabsieve.functions.columns import (
     to_timestamp_any,
 )
 from tabsieve.operators.valuecounts import column_cardinality, value_counts
+from tabsieve.plans.columnwise import count_if, count_present, per_column
 from tabsieve.plans.ranking import exact_quantiles, long_numeric
 
-Metric = Callable[[str, T.DataType], Column]
-
-
 def _check_threshold(name: str, value: float) -> None:
     if not 0 < value <= 1:
         raise ValueError(f"{name} must be greater than 0 and at most 1.")
@@ -41,45 +39,25 @@ def _check_min_count(value: int) -> None:
         raise ValueError("min_non_null_count must be at least 1.")
 
 
-def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric]) -> DataFrame:
-    """One aggregate pass computing ``metrics`` for every column, returned as
-    rows ``(column, position, metric...)``."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    names = list(metrics)
-    if not columns:
-        schema = "column string, position int, " + ", ".join(f"`{m}` bigint" for m in names)
-        return df.sparkSession.createDataFrame([], schema)
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"),
-                 *[metrics[m](c, fields[c]).alias(m) for m in names])
-        for c in columns
-    ]
-    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
-
-
-def _count_if(pred: Column) -> Column:
-    return F.count(F.when(pred, F.lit(1)))
-
-
 # --- A1, A2, P7 -------------------------------------------------------------
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """A1: genuine missing + textual null markers per column (n > 0)."""
-    out = per_column(df, df.columns, {"n": lambda c, dt: _count_if(missing(c, dt))})
+    out = per_column(df, df.columns, {"n": count_if(missing)})
     return out.where(F.col("n") > 0).select("column", "n")
 
 
 def genuine_missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A2: null / NaN per column (n > 0)."""
     cols = list(columns) if columns is not None else df.columns
-    out = per_column(df, cols, {"n": lambda c, dt: _count_if(genuine_missing(c, dt))})
+    out = per_column(df, cols, {"n": count_if(genuine_missing)})
     return out.where(F.col("n") > 0).select("column", "n")
 
 
 def textual_null_counts(df: DataFrame) -> DataFrame:
     """P7 counts: present text values that are null markers (n > 0)."""
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType)]
-    out = per_column(df, text, {"n": lambda c, dt: _count_if(textual_null(c, dt))})
+    out = per_column(df, text, {"n": count_if(textual_null)})
     return out.where(F.col("n") > 0).select("column", "n")
 
 
@@ -156,8 +134,8 @@ def numeric_like_columns(df: DataFrame, threshold: float = 0.8, evidence_names:
     _check_threshold("threshold", threshold)
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType)]
     out = per_column(df, text, {
-        "numeric_like_count": lambda c, dt: F.count(to_number(c)),
-        "non_null_count": lambda c, dt: F.count(F.col(c)),
+        "numeric_like_count": count_present(lambda c, dt: to_number(c)),
+        "non_null_count": count_present(lambda c, dt: F.col(c)),
     })
     ratio = F.col("numeric_like_count") / F.col("non_null_count")
     name = "numeric_like_ratio" if evidence_names else "proportion"
@@ -225,7 +203,7 @@ def string_formatting_issues(df: DataFrame, columns: Sequence[str] | None = None
 def whitespace_counts(df: DataFrame) -> DataFrame:
     """Text columns with leading/trailing whitespace (one scan)."""
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType)]
-    out = per_column(df, text, {"whitespace_count": lambda c, dt: _count_if(F.col(c) != strip(c))})
+    out = per_column(df, text, {"whitespace_count": count_if(lambda c, dt: F.col(c) != strip(c))})
     return out.where(F.col("whitespace_count") > 0).select("column", "whitespace_count")
 
 
@@ -285,17 +263,17 @@ def date_candidate_columns(df: DataFrame, threshold: float = 0.8, modeling: bool
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType) and f.name not in exclude]
     if modeling:
         out = per_column(df, text, {
-            "value_count": lambda c, dt: F.count(F.col(c)),
-            "numeric_count": lambda c, dt: F.lit(0).cast("long"),
-            "date_count": lambda c, dt: F.count(to_timestamp_any(c)),
+            "value_count": count_present(lambda c, dt: F.col(c)),
+            "numeric_count": count_if(lambda c, dt: F.lit(False)),
+            "date_count": count_present(lambda c, dt: to_timestamp_any(c)),
         })
     else:
         def kept(c: str) -> Column:
             return F.when(strip(c) != F.lit(""), strip(c))
         out = per_column(df, text, {
-            "value_count": lambda c, dt: F.count(kept(c)),
-            "numeric_count": lambda c, dt: F.count(to_number(kept(c))),
-            "date_count": lambda c, dt: F.count(to_timestamp_any(kept(c))),
+            "value_count": count_present(lambda c, dt: kept(c)),
+            "numeric_count": count_present(lambda c, dt: to_number(kept(c))),
+            "date_count": count_present(lambda c, dt: to_timestamp_any(kept(c))),
         })
     n = F.col("value_count")
     numeric_ratio = F.col("numeric_count") / n

@@ -134,3 +134,18 @@ def test_missing_counts_with_nan(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "v double")
     assert as_dict(quality.missing_counts(df)) == {"v": 1}
     assert df.where(F.isnan("v")).count() == 1
+
+
+def test_wide_and_long_aggregation_agree(spark, monkeypatch):
+    from tabsieve.operators import eda, issues
+    from tabsieve.plans import columnwise
+    rows = [(i, f" v{i % 3}", None if i % 4 == 0 else float(i), "N/A" if i % 5 == 0 else "2024-01-0%d" % (i % 9 + 1))
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, s string, x double, d string")
+    wide = sorted(issues.scan_metrics(df).collect())
+    wide_corr = sorted(eda.numeric_correlations(df).collect())
+    monkeypatch.setattr(columnwise, "WIDE_AGG_LIMIT", 0)
+    assert sorted(issues.scan_metrics(df).collect()) == wide
+    long_corr = sorted(eda.numeric_correlations(df).collect())
+    assert [(a, b) for a, b, _ in long_corr] == [(a, b) for a, b, _ in wide_corr]
+    assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(long_corr, wide_corr))
