@@ -28,6 +28,7 @@ from tabsieve.operators import quality
 from tabsieve.operators.rules import RULE_TREATMENTS, ValidationRule, check_unique_rule_ids, evaluate_rules
 from tabsieve.operators.valuecounts import value_counts
 from tabsieve.plans.columnwise import count_if, count_present, per_column
+from tabsieve.plans.lineage import materialize
 
 ISSUE_COLUMNS = ("issue_id", "issue_type", "column", "evidence", "allowed_treatments",
                  "requires_explicit_human_decision", "ordinal")
@@ -134,9 +135,12 @@ def numeric_conversion_issues(metrics: DataFrame, threshold: float = 0.8) -> Dat
                   _arr(NUMERIC_CONVERSION_TREATMENTS), False, 5)
 
 
-def outlier_issues(df: DataFrame) -> DataFrame:  # I6
+def outlier_issues(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:  # I6
     pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
-    rows = quality.iqr_summary(df).where(F.col("outlier_count") > 0).withColumn("position", pos[F.col("column")])
+    numeric = [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
+    counts = quality.numeric_weights_from_value_counts(vc, numeric) if vc is not None else None
+    rows = quality.iqr_summary(df, counts=counts).where(F.col("outlier_count") > 0).withColumn(
+        "position", pos[F.col("column")])
     return _issue(rows, "outlier",
                   F.format_string("Column '%s' has %d IQR outlier(s); lower bound: %s; upper bound: %s. These are "
                                   "statistical anomalies, not confirmed errors.", F.col("column"),
@@ -204,16 +208,20 @@ def issue_schema() -> str:
 
 
 def issue_inventory(df: DataFrame, rules: Sequence[ValidationRule] = ()) -> DataFrame:
-    """The ordered union of all detectors (order by ``ordinal``)."""
-    metrics = scan_metrics(df)
-    vc = value_counts(df)
+    """The ordered union of all detectors (order by ``ordinal``).
+
+    The two shared aggregates (row-level metrics of all columns, value
+    counts of all columns) are materialized once, so the table is scanned
+    once for each, plus once for duplicates and once for rules."""
+    metrics = materialize(scan_metrics(df))
+    vc = materialize(value_counts(df))
     parts = [
         missing_value_issues(df, metrics),
         fake_null_issues(metrics),
         categorical_inconsistency_issues(df, vc),
         date_conversion_issues(metrics),
         numeric_conversion_issues(metrics),
-        outlier_issues(df),
+        outlier_issues(df, vc),
         formatting_issues(metrics),
         feature_variability_issues(df, vc),
         exact_duplicate_issues(df),

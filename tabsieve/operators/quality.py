@@ -27,7 +27,8 @@ from tabsieve.functions.columns import (
 )
 from tabsieve.operators.valuecounts import column_cardinality, value_counts
 from tabsieve.plans.columnwise import count_if, count_present, per_column
-from tabsieve.plans.ranking import exact_quantiles, long_numeric
+from tabsieve.plans.lineage import materialize
+from tabsieve.plans.ranking import quantiles_from_ranked, rank_values, value_weights
 
 def _check_threshold(name: str, value: float) -> None:
     if not 0 < value <= 1:
@@ -86,11 +87,14 @@ def duplicate_values(df: DataFrame, columns: Sequence[str] | None = None, vc: Da
 
 # --- A5, A6 -------------------------------------------------------------------
 
-def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_empty: bool = False) -> DataFrame:
+def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_empty: bool = False,
+                counts: DataFrame | None = None) -> DataFrame:
     """q1, q3 (exact, linear), iqr, bounds q -/+ 1.5 iqr and the number
     of values strictly outside. Every numeric column is reported; with
     ``include_empty`` an all-null column yields zeros (A5), otherwise it is
-    skipped (A6)."""
+    skipped (A6). ``counts`` (``column, v, w``) may be passed when the value
+    counts already exist; the ranked counts serve both the quantiles and
+    the outlier count, so the table is scanned once."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in (columns if columns is not None else df.columns) if is_numeric_type(fields[c])]
     if columns is not None:
@@ -100,7 +104,8 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
         non_numeric = [c for c in columns if not is_numeric_type(fields[c])]
         if non_numeric:
             raise TypeError(f"Column(s) {non_numeric} must be numeric for IQR outlier detection.")
-    q = exact_quantiles(df, cols, [0.25, 0.75])
+    ranked = rank_values(counts if counts is not None else value_weights(df, cols))
+    q = quantiles_from_ranked(ranked, [0.25, 0.75])
     bounds = q.groupBy("column").agg(
         F.first(F.when(F.col("p") == 0.25, F.col("value")), ignorenulls=True).alias("q1"),
         F.first(F.when(F.col("p") == 0.75, F.col("value")), ignorenulls=True).alias("q3"),
@@ -110,12 +115,10 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
         (F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))).alias("upper_bound"),
     )
     # bounds has one row per numeric column: a broadcast of proven size.
-    values = long_numeric(df, cols).where(F.col("v").isNotNull()).groupBy("column", "v").agg(
-        F.count(F.lit(1)).alias("w"))
     outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
-    counts = values.join(F.broadcast(bounds), "column").groupBy("column").agg(
+    outliers = ranked.join(F.broadcast(bounds), "column").groupBy("column").agg(
         F.coalesce(F.sum(F.when(outside, F.col("w"))), F.lit(0)).cast("long").alias("outlier_count"))
-    result = bounds.join(counts, "column")
+    result = bounds.join(outliers, "column")
     if include_empty and cols:
         spark = df.sparkSession
         all_cols = spark.createDataFrame([(c,) for c in cols], "column string")
@@ -126,6 +129,13 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
     return result
 
 
+def numeric_weights_from_value_counts(vc: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """``column, v, w`` for numeric columns, read back from the text value
+    counts (Java's double rendering round-trips exactly)."""
+    return (vc.where(F.col("column").isin(*numeric) & F.col("value").isNotNull())
+            .groupBy("column", F.col("value").cast("double").alias("v")).agg(F.sum("n").alias("w")))
+
+
 # --- A7, A8 -------------------------------------------------------------------
 
 def numeric_like_columns(df: DataFrame, threshold: float = 0.8, evidence_names: bool = False) -> DataFrame:
@@ -301,24 +311,36 @@ def dataset_health(df: DataFrame) -> DataFrame:
 
 def profile_headline(df: DataFrame) -> DataFrame:
     """One row per check (check, affected_columns, affected_rows) for the
-    checks that found something, from A1, A3, A7, A9, A11 and A5."""
-    vc = value_counts(df)
+    checks that found something, from A1, A3, A7, A9, A11 and A5. Row-level
+    counts come from one materialized pass, value-level ones from one
+    materialized value-count frame."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    text = [c for c in df.columns if is_text_type(fields[c])]
+    numeric = [c for c in df.columns if is_numeric_type(fields[c])]
+    metrics = materialize(per_column(df, df.columns, {
+        "missing": count_if(missing),
+        "numeric_like": count_present(lambda c, dt: to_number(c) if is_text_type(dt) else F.lit(None)),
+        "non_null": count_present(lambda c, dt: F.col(c)),
+    }))
+    vc = materialize(value_counts(df))
+    like = metrics.where(F.col("column").isin(*text) & (F.col("non_null") > 0)
+                         & (F.try_divide(F.col("numeric_like"), F.col("non_null")) >= 0.8))
     parts = [
-        missing_counts(df).agg(F.lit("missing_or_null_like").alias("check"),
-                               F.count(F.lit(1)).alias("affected_columns"), F.sum("n").alias("affected_rows")),
+        metrics.where(F.col("missing") > 0).agg(F.lit("missing_or_null_like").alias("check"),
+                                                F.count(F.lit(1)).alias("affected_columns"),
+                                                F.sum("missing").alias("affected_rows")),
         duplicate_row_count(df).select(F.lit("duplicate_rows").alias("check"),
                                        F.when(F.col("duplicate_rows") > 0, 0).alias("affected_columns"),
                                        F.col("duplicate_rows").alias("affected_rows")),
-        numeric_like_columns(df).agg(F.lit("numeric_like_text").alias("check"),
-                                     F.count(F.lit(1)).alias("affected_columns"),
-                                     F.sum("numeric_like_count").alias("affected_rows")),
+        like.agg(F.lit("numeric_like_text").alias("check"), F.count(F.lit(1)).alias("affected_columns"),
+                 F.sum("numeric_like").alias("affected_rows")),
         categorical_inconsistencies(df, vc=vc).agg(F.lit("categorical_inconsistency").alias("check"),
                                                    F.count_distinct("column").alias("affected_columns"),
                                                    F.count(F.lit(1)).alias("affected_rows")),
         string_formatting_issues(df, vc=vc).where(F.col("whitespace_count") > 0).agg(
             F.lit("leading_or_trailing_whitespace").alias("check"),
             F.count(F.lit(1)).alias("affected_columns"), F.sum("whitespace_count").alias("affected_rows")),
-        iqr_summary(df).where(F.col("outlier_count") > 0).agg(
+        iqr_summary(df, counts=numeric_weights_from_value_counts(vc, numeric)).where(F.col("outlier_count") > 0).agg(
             F.lit("iqr_outliers").alias("check"), F.count(F.lit(1)).alias("affected_columns"),
             F.sum("outlier_count").alias("affected_rows")),
     ]

@@ -98,19 +98,22 @@ def long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         [], cols, "column", "v")
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    num_slices: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles per numeric column.
+def value_weights(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, v, w``: distinct non-null values of numeric columns with
+    their counts (a hot value becomes one weighted row)."""
+    return (long_numeric(df, columns).where(F.col("v").isNotNull())
+            .groupBy("column", "v").agg(F.count(F.lit(1)).alias("w")))
 
-    Result: ``column, p, value`` (DuckDB ``quantile_cont`` / pandas
-    ``quantile`` semantics). Columns without non-null values give no rows.
-    """
+
+def rank_values(counts: DataFrame, num_slices: int | None = None) -> DataFrame:
+    """Adds ``cum_before`` / ``group_total`` to ``column, v, w`` rows."""
+    return cumulative_before(counts, [F.col("v")], ["column"], "w", num_slices)
+
+
+def quantiles_from_ranked(ranked: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles ``column, p, value`` from ranked
+    value counts (DuckDB ``quantile_cont`` / pandas ``quantile``)."""
     probs = [float(p) for p in probs]
-    counts = (
-        long_numeric(df, columns).where(F.col("v").isNotNull())
-        .groupBy("column", "v").agg(F.count(F.lit(1)).alias("w"))
-    )
-    ranked = cumulative_before(counts, [F.col("v")], ["column"], "w", num_slices)
     first = F.col("cum_before")
     last = F.col("cum_before") + F.col("w") - 1
     n1 = (F.col("group_total") - 1).cast("double")
@@ -118,16 +121,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     def covers(rank: Column) -> Column:
         return (first <= rank) & (rank <= last)
 
-    def lo(p: float) -> Column:
-        return F.floor(F.lit(p) * n1)
-
-    def hi(p: float) -> Column:
-        return F.ceil(F.lit(p) * n1)
-
     # Keep only the (at most 2 x #probs) rows per column that hold a needed rank.
     needed = F.lit(False)
     for p in probs:
-        needed = needed | covers(lo(p)) | covers(hi(p))
+        needed = needed | covers(F.floor(F.lit(p) * n1)) | covers(F.ceil(F.lit(p) * n1))
     hits = ranked.where(needed).select(
         "column", "v", "cum_before", "w", "group_total",
         F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
@@ -144,7 +141,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return out.select("column", "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"))
 
 
-def exact_median_column(df: DataFrame, column: str) -> DataFrame:
-    """One-row frame ``median`` for a single numeric column."""
-    q = exact_quantiles(df, [column], [0.5])
-    return q.agg(F.first("value").alias("median"))
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    num_slices: int | None = None) -> DataFrame:
+    """Exact quantiles per numeric column; columns without values give no rows."""
+    return quantiles_from_ranked(rank_values(value_weights(df, columns), num_slices), probs)

@@ -24,7 +24,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_loaded = False
+
+
 def _load() -> None:
+    global _loaded
+    if _loaded:
+        return
+    _loaded = True
     from tabsieve.catalog import quality_checks  # noqa: F401
     from tabsieve.catalog import exploration  # noqa: F401
     from tabsieve.catalog import inventory  # noqa: F401
@@ -33,4 +40,12 @@ def _load() -> None:
     from tabsieve.catalog import modeling  # noqa: F401
 
 
-_load()
+
+def all_queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
+
+
+def all_oracles() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
