@@ -239,3 +239,11 @@ register("profile_headline", f"""
 with {DIRTY_CTE} {headline_sql('dirty_customer', DIRTY_KINDS)}
 """)(lambda spark, d: quality.profile_headline(dirty_customer(spark, d)))
 
+
+_q_values = ", ".join("(%d, '%s', '%s')" % (i, t, q.replace("'", "''"))
+                      for i, (t, q) in enumerate(issues.PREPARATION_QUESTIONS))
+register("preparation_questions", f"""
+with {DIRTY_CTE}, inv as ({inventory_sql('dirty_customer', DIRTY_KINDS, CUSTOMER_RULES)}),
+q as (select * from (values {_q_values}) t(question_order, issue_type, question))
+select question_order, question from q where issue_type in (select issue_type from inv)
+""")(lambda spark, d: issues.preparation_questions(issues.issue_inventory(dirty_customer(spark, d), CUSTOMER_RULES)))

@@ -58,7 +58,7 @@ def _corr(a: str, b: str) -> str:
 
 
 _EV_COLS = ("c_custkey", "segment", "acctbal", "nation_txt")
-register("modeling_evidence", f"""
+MODELING_EVIDENCE_SQL = f"""
 with {DIRTY_CTE}, card as (
 """ + "\n union all ".join(
     f"select '{c}' as col, count({c}) as nn, count(distinct {c}) as nd, "
@@ -81,7 +81,8 @@ union all select * from (
  select 'numeric_target_relationship', 'c_custkey', {_corr('c_custkey', 'target')} as r from dirty_customer
  union all select 'numeric_target_relationship', 'acctbal', {_corr('acctbal', 'target')} from dirty_customer
 ) where r is not null and (select min(target) < max(target) from dirty_customer)
-""")(lambda spark, d: modeling.modeling_evidence(dirty_customer(spark, d), "target"))
+"""
+register("modeling_evidence", MODELING_EVIDENCE_SQL)(lambda spark, d: modeling.modeling_evidence(dirty_customer(spark, d), "target"))
 
 # ---------------------------------------------------------------- M4
 
@@ -207,3 +208,14 @@ register("train_rf")(_train("Random Forest"))
 register("train_evaluate")(lambda spark, d: modeling.train_evaluate(
     labeled_documents(spark, d), "quality", "Logistic Regression", TRAIN_FEATURES, ["doc_id"]).record)
 
+
+_mq_values = ", ".join("(%d, '%s', '%s')" % (i, k, q.replace("'", "''"))
+                       for i, (k, q) in enumerate(modeling.MODELING_QUESTIONS))
+register("modeling_questions", f"""
+with ev as ({MODELING_EVIDENCE_SQL.strip()}),
+{DIRTY_CTE.replace('dirty_customer as', 'dc as')},
+tk as (select 'target_missing' as kind where (select count(*) filter (where target is null) from dc) > 0
+       union all select 'target_single_value' where (select count(distinct target) from dc) <= 1),
+q as (select * from (values {_mq_values}) t(question_order, kind, question))
+select question_order, question from q where kind in (select kind from ev union all select kind from tk)
+""")(lambda spark, d: modeling.modeling_questions(dirty_customer(spark, d), "target"))

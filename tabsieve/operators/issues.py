@@ -240,3 +240,27 @@ def check_issue_ids(issues: DataFrame) -> None:
         F.col("issue_id").isNull() | (F.col("k") > 1)).limit(1).collect()
     if bad:
         raise ValueError(f"Duplicate or empty data preparation issue ID: {bad[0]['issue_id']!r}.")
+
+
+# --- fixed values: review questions raised by each kind of finding ----------
+PREPARATION_QUESTIONS: tuple[tuple[str, str], ...] = (
+    ("missing_values", "How should the missing values of the affected columns be handled?"),
+    ("numeric_conversion", "Should the mostly numeric text columns become numeric columns?"),
+    ("categorical_inconsistency", "Which spelling, case or whitespace variants mean the same category?"),
+    ("formatting_issue", "Should leading and trailing whitespace be removed?"),
+    ("date_conversion", "Which date-like text columns should become dates?"),
+    ("identifier", "Which high-cardinality columns are real business identifiers?"),
+    ("outlier", "Do any of the statistical outliers need a business investigation?"),
+    ("exact_duplicates", "Are the exact duplicate rows duplicate records or repeated observations?"),
+)
+# ---------------------------------------------------------------------------
+
+
+def preparation_questions(issues: DataFrame) -> DataFrame:
+    """I12 questions: one per kind of finding present in the inventory, in a
+    fixed order. The question table is a literal of 8 rows (broadcast)."""
+    spark = issues.sparkSession
+    q = spark.createDataFrame([(i, t, text) for i, (t, text) in enumerate(PREPARATION_QUESTIONS)],
+                              "question_order int, issue_type string, question string")
+    present = issues.select("issue_type").distinct()
+    return F.broadcast(q).join(present, "issue_type", "left_semi").select("question_order", "question")
