@@ -26,7 +26,23 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
+_persisted: list[DataFrame] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     if checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _persisted.append(kept)
+    return kept
+
+
+def release_materialized() -> int:
+    """Unpersist the frames kept by :func:`materialize` when no checkpoint
+    folder was configured (call once their results are consumed). Checkpoint
+    files are removed by Spark's cleaner when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
+    n = len(_persisted)
+    while _persisted:
+        _persisted.pop().unpersist()
+    return n
