@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.columns import is_text_type
+from tabsieve.plans.columnwise import count_if, count_present, per_column
 
 # --- fixed values -----------------------------------------------------------
 # Tokens a pandas CSV reader turns into missing values by default.
@@ -54,30 +55,26 @@ def normalize_csv_nulls(df: DataFrame, tokens=CSV_NA_TOKENS) -> DataFrame:
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast text columns whose non-null values all parse as long, double or
-    boolean. One aggregate pass; only a one-row result reaches the driver."""
+    boolean. One aggregate pass; one row per text column reaches the driver."""
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType)]
     if not text:
         return df
-    aggs = []
-    for i, c in enumerate(text):
-        col = F.col(c)
-        aggs += [
-            F.count(col).alias(f"n{i}"),
-            F.count(col.try_cast("long")).alias(f"l{i}"),
-            F.count(col.try_cast("double")).alias(f"d{i}"),
-            F.count(F.when(col.isin(*BOOLEAN_TEXT), 1)).alias(f"b{i}"),
-        ]
-    stats = df.agg(*aggs).first()
+    stats = {r["column"]: r for r in per_column(df, text, {
+        "n": count_present(lambda c, dt: F.col(c)),
+        "longs": count_present(lambda c, dt: F.col(c).try_cast("long")),
+        "doubles": count_present(lambda c, dt: F.col(c).try_cast("double")),
+        "bools": count_if(lambda c, dt: F.col(c).isin(*BOOLEAN_TEXT)),
+    }).collect()}  # one row per text column
     casts = {}
-    for i, c in enumerate(text):
-        n = stats[f"n{i}"]
-        if n == 0:
+    for c in text:
+        r = stats[c]
+        if r["n"] == 0:
             continue
-        if stats[f"l{i}"] == n:
+        if r["longs"] == r["n"]:
             casts[c] = F.col(c).cast("long")
-        elif stats[f"d{i}"] == n:
+        elif r["doubles"] == r["n"]:
             casts[c] = F.col(c).cast("double")
-        elif stats[f"b{i}"] == n:
+        elif r["bools"] == r["n"]:
             casts[c] = F.lower(F.col(c)) == F.lit("true")
     return df.select(*[casts.get(c, F.col(c)).alias(c) for c in df.columns])
 
