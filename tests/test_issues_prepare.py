@@ -125,3 +125,14 @@ def test_idempotent_cleaning(spark):
     assert sorted(once.collect()) == sorted(twice.collect())
     assert issues.issue_inventory(prepare.remove_duplicates(df)).where(
         F.col("issue_type") == "exact_duplicates").count() == 0
+
+
+def test_normalize_nulls_fixture(spark):
+    values = ["Active", " N/A ", "NULL", "none", "NaN", " na ", "", "   ", "unknown", None, "42"]
+    df = spark.createDataFrame([(i, v, " N/A ") for i, v in enumerate(values)], "k int, status string, other string")
+    out = prepare.normalize_nulls(df, "status").orderBy("k").collect()
+    assert sum(r["status"] is None for r in out) == 8
+    assert (out[0]["status"], out[8]["status"], out[9]["status"], out[10]["status"]) == ("Active", "unknown", None,
+                                                                                         "42")
+    assert all(r["other"] == " N/A " for r in out)
+    assert df.orderBy("k").collect()[1]["status"] == " N/A "

@@ -122,3 +122,30 @@ def test_unseen_category_encodes_to_zeros(spark):
     prep = modeling.Preprocessor([], ["c"]).fit(train)
     vec = prep.transform(test).first()["features"]
     assert vec.numNonzeros() == 0 and vec.size == 2
+
+
+def test_train_small_fixture(spark):
+    ages = [21, 35, 48, 52, 28, 42, 31, 60, 24, 55, 39, 44, 29, 63, 33, 57, 26, 49, 37, 54]
+    rows = [(i, a, "North" if i % 2 == 0 else "South", i % 2) for i, a in enumerate(ages)]
+    df = spark.createDataFrame(rows, "id int, age int, region string, churned int")
+    rec = modeling.train_evaluate(df, "churned", "Logistic Regression", ["age", "region"], ["id"]).record.first()
+    assert (rec["train_rows"], rec["test_rows"], rec["validation_rows"]) == (16, 4, 4)
+
+
+def test_skewed_inputs(spark):
+    """One value holds a third of all rows: quantiles, ranks and quotas stay exact."""
+    import numpy as np
+    from tabsieve.plans.ranking import exact_quantiles
+    rng = random.Random(3)
+    vals = [7.0 if i % 3 == 0 else rng.random() * 50 for i in range(900)]
+    labels = [1 if i % 3 == 0 else 0 for i in range(900)]
+    df = spark.createDataFrame([(i, v, y) for i, (v, y) in enumerate(zip(vals, labels))], "id int, x double, y int")
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["x"], [0.1, 0.5, 0.9]).collect()}
+    for p, v in got.items():
+        assert v == pytest.approx(float(np.quantile(vals, p)))
+    s = modeling.stratified_split(df, "y", ["id"])
+    sizes = {(r["split"], r["y"]): r["n"] for r in s.groupBy("split", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes[("test", 1)] == 60 and sizes[("test", 0)] == 120
+    scored = df.select(F.col("y").alias("label"), F.when(F.col("x") == 7.0, 0.5).otherwise(F.col("x") / 100).alias("s"))
+    rows = [(r["label"], r["s"]) for r in scored.collect()]
+    assert evaluation.roc_auc(scored, "label", "s").first()["roc_auc"] == pytest.approx(_brute_auc(rows))
