@@ -17,7 +17,7 @@ from tabsieve.functions.columns import (
 )
 from tabsieve.plans.columnwise import count_if, count_present, numeric, pair_correlations, per_column
 from tabsieve.operators.valuecounts import column_cardinality, value_counts
-from tabsieve.plans.ranking import exact_quantiles
+from tabsieve.plans.ranking import approx_quantiles, exact_quantiles
 
 # --- fixed values -----------------------------------------------------------
 # Column-name fragments whose values are masked in a preview.
@@ -43,10 +43,12 @@ def _text(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 # --- A19 -----------------------------------------------------------------------
 
-def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
+                    approx_accuracy: int | None = None) -> DataFrame:
     """count, mean, std (ddof 1), min, exact 25/50/75 % and max per numeric
     column. Moments come from one aggregate pass; quantiles from the
-    distributed rank plan. Both sides have one row per column."""
+    distributed rank plan (or, with ``approx_accuracy``, from one pass of
+    ``percentile_approx``). Both sides have one row per column."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in (columns or _numeric(df)) if is_numeric_type(fields[c])]
     if not cols:
@@ -64,7 +66,9 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         "min": numeric(F.min, lambda c, dt: v(c)),
         "max": numeric(F.max, lambda c, dt: v(c)),
     })
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("column").agg(
+    quantiles = (exact_quantiles(df, cols, [0.25, 0.5, 0.75]) if approx_accuracy is None
+                 else approx_quantiles(df, cols, [0.25, 0.5, 0.75], approx_accuracy))
+    q = quantiles.groupBy("column").agg(
         *[F.first(F.when(F.col("p") == p, F.col("value")), ignorenulls=True).alias(name)
           for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
     return moments.join(F.broadcast(q), "column", "left").select(

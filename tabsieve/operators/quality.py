@@ -26,7 +26,7 @@ from tabsieve.functions.columns import (
     to_timestamp_any,
 )
 from tabsieve.operators.valuecounts import column_cardinality, value_counts
-from tabsieve.plans.columnwise import count_if, count_present, per_column
+from tabsieve.plans.columnwise import Metric, count_if, count_present, per_column
 from tabsieve.plans.lineage import materialize
 from tabsieve.plans.ranking import quantiles_from_ranked, rank_values, value_weights
 
@@ -220,15 +220,27 @@ def whitespace_counts(df: DataFrame) -> DataFrame:
 # --- A13, A14, A17, A18 -------------------------------------------------------
 
 def identifier_columns(df: DataFrame, threshold: float = 0.95, min_non_null_count: int = 20,
-                       text_only: bool = True, exclude: Sequence[str] = (), vc: DataFrame | None = None) -> DataFrame:
+                       text_only: bool = True, exclude: Sequence[str] = (), vc: DataFrame | None = None,
+                       approx_rsd: float | None = None) -> DataFrame:
     """A13 (text columns, >= ``min_non_null_count`` values) or A14
-    (``text_only=False, min_non_null_count=1``): distinct / non-null >= threshold."""
+    (``text_only=False, min_non_null_count=1``): distinct / non-null >= threshold.
+
+    ``approx_rsd`` switches to one pass of HyperLogLog
+    (``approx_count_distinct``, relative standard deviation ``approx_rsd``)
+    instead of the exact value-count frame: no shuffle of values."""
     _check_threshold("threshold", threshold)
     _check_min_count(min_non_null_count)
     cols = [f.name for f in df.schema.fields
             if (is_text_type(f.dataType) or not text_only) and f.name not in exclude]
-    vc = vc if vc is not None else value_counts(df, cols)
-    card = column_cardinality(vc.where(F.col("column").isin(*cols)))
+    if approx_rsd is not None:
+        card = per_column(df, cols, {
+            "non_null_count": count_present(lambda c, dt: F.col(c)),
+            "distinct_count": Metric(lambda c, dt: F.col(c).cast("string"),
+                                     lambda x: F.approx_count_distinct(x, approx_rsd), "string"),
+        })
+    else:
+        vc = vc if vc is not None else value_counts(df, cols)
+        card = column_cardinality(vc.where(F.col("column").isin(*cols)))
     ratio = F.col("distinct_count") / F.col("non_null_count")
     return card.where((F.col("non_null_count") >= min_non_null_count) & (ratio >= threshold)).select(
         "column", "non_null_count", "distinct_count", ratio.alias("unique_ratio"))

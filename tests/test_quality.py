@@ -149,3 +149,20 @@ def test_wide_and_long_aggregation_agree(spark, monkeypatch):
     long_corr = sorted(eda.numeric_correlations(df).collect())
     assert [(a, b) for a, b, _ in long_corr] == [(a, b) for a, b, _ in wide_corr]
     assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(long_corr, wide_corr))
+
+
+def test_approximate_fast_paths(spark, sf_dir):
+    from tabsieve.operators import eda
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    exact = {r["column"]: r for r in eda.numeric_summary(li).collect()}
+    approx = {r["column"]: r for r in eda.numeric_summary(li, approx_accuracy=100000).collect()}
+    n = exact["l_quantity"]["count"]
+    for c in exact:
+        assert approx[c]["count"] == exact[c]["count"]
+        assert approx[c]["min"] <= approx[c]["p50"] <= approx[c]["max"]
+    vals = sorted(r[0] for r in li.select("l_quantity").collect())
+    # rank error of the sketch is bounded by n / accuracy (< 1 rank here)
+    assert approx["l_quantity"]["p50"] in vals[n // 2 - 2: n // 2 + 2]
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    assert [r["column"] for r in quality.identifier_columns(cust, approx_rsd=0.01).collect()] == \
+        [r["column"] for r in quality.identifier_columns(cust).collect()]
