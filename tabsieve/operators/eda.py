@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsieve.functions.columns import (
-    genuine_missing,
     is_numeric_type,
     is_text_type,
     nan_to_null,
