@@ -129,10 +129,11 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
 
 
 def numeric_weights_from_value_counts(vc: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """``column, v, w`` for numeric columns, read back from the text value
-    counts (Java's double rendering round-trips exactly)."""
+    """``column, v, w`` for numeric columns from the value counts (typed
+    integers and doubles; other numeric types via their exact text)."""
+    v = F.coalesce(F.col("num"), F.col("value").cast("double"))
     return (vc.where(F.col("column").isin(*numeric) & F.col("value").isNotNull())
-            .groupBy("column", F.col("value").cast("double").alias("v")).agg(F.sum("n").alias("w")))
+            .groupBy("column", v.alias("v")).agg(F.sum("n").alias("w")))
 
 
 # --- A7, A8 -------------------------------------------------------------------

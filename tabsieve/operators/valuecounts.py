@@ -3,7 +3,9 @@
 The reference loops over columns and re-scans the table for each check. Here
 the table is unpivoted once into ``(column, value)`` pairs and counted with a
 hash aggregate (map-side partial counts, then one shuffle on the pair), so a
-value repeated a billion times costs one row after the partial step. Distinct
+value repeated a billion times costs one row after the partial step. Pairs
+are keyed by column index with typed values, so the shuffle carries no
+column names and no per-row number rendering. Distinct
 counts, duplicates, spelling variants, constants and top values all derive
 from this one frame.
 """
@@ -12,27 +14,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsieve.functions.columns import is_text_type, nan_to_null
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column string, value string, n bigint`` including a null group.
+    """``column string, value string, num double, n bigint`` including a null
+    group per column.
 
-    Values are compared as text (``cast(string)``); NaN counts as null.
+    Records are keyed by column index and keep integers and doubles typed
+    (``value`` is rendered as text only after aggregation, once per distinct
+    value, and equals ``cast(value as string)``); ``num`` is the numeric value
+    of integer and double columns. NaN counts as null.
     """
     cols = list(columns) if columns is not None else list(df.columns)
     fields = {f.name: f.dataType for f in df.schema.fields}
     if not cols:
-        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
-    as_text = df.select(*[nan_to_null(c, fields[c]).cast("string").alias(c) for c in cols])
-    return (
-        as_text.unpivot([], cols, "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+        return df.sparkSession.createDataFrame([], "column string, value string, num double, n bigint")
+    no_s, no_i, no_d = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
+
+    def typed(c: str) -> tuple[Column, Column, Column]:
+        dt = fields[c]
+        if isinstance(dt, INTEGRAL):
+            return no_s, F.col(c).cast("long"), no_d
+        if isinstance(dt, T.DoubleType):
+            return no_s, no_i, nan_to_null(c, dt)
+        return nan_to_null(c, dt).cast("string"), no_i, no_d
+
+    records = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_ci"), *[x.alias(a) for x, a in zip(typed(c), ("_s", "_i", "_d"))])
+        for i, c in enumerate(cols)])).alias("r")
+    counted = df.select(records).select("r.*").groupBy("_ci", "_s", "_i", "_d").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return counted.select(
+        F.element_at(names, F.col("_ci") + 1).alias("column"),
+        F.coalesce(F.col("_s"), F.col("_i").cast("string"), F.col("_d").cast("string")).alias("value"),
+        F.coalesce(F.col("_i").cast("double"), F.col("_d")).alias("num"),
+        "n")
 
 
 def column_cardinality(vc: DataFrame) -> DataFrame:
