@@ -107,6 +107,33 @@ def classification_metrics(df: DataFrame, label: str, score: str, threshold: flo
     return conf.join(auc, "_k").select(F.lit(variant).alias("variant"), *METRICS)
 
 
+def metrics_for_predictions(df: DataFrame, label: str, score: str, predictions: dict[str, Column]) -> DataFrame:
+    """M11/M12 for several prediction rules over the same scores: confusion
+    counts of all rules in one pass, the (threshold-free) AUC once."""
+    y = F.col(label)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, p in enumerate(predictions.values()):
+        aggs += [F.count(F.when((y == 1) & (p == 1), F.lit(1))).alias(f"tp{i}"),
+                 F.count(F.when((y == 0) & (p == 1), F.lit(1))).alias(f"fp{i}"),
+                 F.count(F.when((y == 1) & (p == 0), F.lit(1))).alias(f"fn{i}"),
+                 F.count(F.when((y == 0) & (p == 0), F.lit(1))).alias(f"tn{i}")]
+    counts = df.agg(*aggs)
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+    rows = []
+    for i, variant in enumerate(predictions):
+        tp, fp, fn, tn = (F.col(f"{k}{i}") for k in ("tp", "fp", "fn", "tn"))
+        rows.append(F.struct(F.lit(variant).alias("variant"), ratio(tp + tn, F.col("n")).alias("accuracy"),
+                             ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
+                             ratio(2 * tp, 2 * tp + fp + fn).alias("f1")))
+    conf = counts.select(F.explode(F.array(*rows)).alias("m")).select("m.*").withColumn("_k", F.lit(1))
+    auc = roc_auc(df, label, score).select(F.lit(1).alias("_k"), "roc_auc")
+    # auc is a single-row aggregate
+    return conf.join(F.broadcast(auc), "_k").select("variant", *METRICS)
+
+
 def majority_class(df: DataFrame, label: str) -> int:
     """M9: most frequent class; ties -> the smaller label (0)."""
     row = df.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).agg(

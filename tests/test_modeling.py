@@ -149,3 +149,14 @@ def test_skewed_inputs(spark):
     scored = df.select(F.col("y").alias("label"), F.when(F.col("x") == 7.0, 0.5).otherwise(F.col("x") / 100).alias("s"))
     rows = [(r["label"], r["s"]) for r in scored.collect()]
     assert evaluation.roc_auc(scored, "label", "s").first()["roc_auc"] == pytest.approx(_brute_auc(rows))
+
+
+def test_shared_auc_metrics_match_single(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(rng.randint(0, 1), round(rng.random(), 2)) for _ in range(200)], "label int, s double")
+    multi = {r["variant"]: r for r in evaluation.metrics_for_predictions(df, "label", "s", {
+        "a": F.when(F.col("s") >= 0.5, 1).otherwise(0), "b": F.when(F.col("s") >= 0.3, 1).otherwise(0)}).collect()}
+    a = evaluation.classification_metrics(df, "label", "s", threshold=0.5, variant="a").first()
+    b = evaluation.classification_metrics(df, "label", "s", threshold=0.3, variant="b").first()
+    for m in evaluation.METRICS:
+        assert multi["a"][m] == pytest.approx(a[m]) and multi["b"][m] == pytest.approx(b[m])
