@@ -173,3 +173,9 @@ from customer order by c_custkey limit 10
     table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("account_name"),
                                        "c_nationkey", "c_acctbal", "c_mktsegment"),
     order_by=["customer_id"]))
+
+_leak_like = " or ".join(f"lower(trim(column_name)) like '%{t}%'" for t in eda.LEAKAGE_TERMS)
+register("leakage_names_embeddings", f"""
+select column_name as "column" from information_schema.columns
+where table_name = 'embeddings' and lower(trim(column_name)) <> 'vec_id' and ({_leak_like})
+""")(lambda spark, d: eda.leakage_name_columns(table(spark, d, "embeddings"), "vec_id"))
