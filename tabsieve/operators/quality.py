@@ -310,12 +310,14 @@ def date_candidate_columns(df: DataFrame, threshold: float = 0.8, modeling: bool
 # --- A30, A31 -------------------------------------------------------------------
 
 def dataset_health(df: DataFrame) -> DataFrame:
-    """Rows, columns, duplicate rows and missing-or-marker cells."""
-    mc = missing_counts(df).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("missing_cells"))
-    rows = df.agg(F.count(F.lit(1)).alias("row_count"))
+    """Rows, columns, duplicate rows and missing-or-marker cells. One
+    per-column pass (which also counts the rows) and one duplicate pass."""
+    per = per_column(df, df.columns, {"missing": count_if(missing), "rows": count_if(lambda c, dt: F.lit(True))})
+    cells = per.agg(F.coalesce(F.sum("missing"), F.lit(0)).cast("long").alias("missing_cells"),
+                    F.coalesce(F.max("rows"), F.lit(0)).cast("long").alias("row_count"))
     dup = duplicate_row_count(df)
-    # Three one-row aggregates stacked and folded: no join needed.
-    stacked = rows.unionByName(dup, allowMissingColumns=True).unionByName(mc, allowMissingColumns=True)
+    # two one-row aggregates stacked and folded: no join needed
+    stacked = cells.unionByName(dup, allowMissingColumns=True)
     return stacked.agg(
         F.max("row_count").alias("row_count"), F.lit(len(df.columns)).alias("column_count"),
         F.max("duplicate_rows").alias("duplicate_rows"), F.max("missing_cells").alias("missing_cells"))
