@@ -247,3 +247,9 @@ with {DIRTY_CTE}, inv as ({inventory_sql('dirty_customer', DIRTY_KINDS, CUSTOMER
 q as (select * from (values {_q_values}) t(question_order, issue_type, question))
 select question_order, question from q where issue_type in (select issue_type from inv)
 """)(lambda spark, d: issues.preparation_questions(issues.issue_inventory(dirty_customer(spark, d), CUSTOMER_RULES)))
+
+DOCUMENT_KINDS = {"doc_id": "int", "text": "text", "lang": "text", "source": "text", "n_chars": "int"}
+
+register("issue_inventory_documents", f"""
+{inventory_sql('documents', DOCUMENT_KINDS, ())}
+""")(lambda spark, d: _issue_projection(issues.issue_inventory(table(spark, d, "documents"))))

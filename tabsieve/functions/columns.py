@@ -86,6 +86,18 @@ def strip(c: str | Column) -> Column:
     return F.trim(_col(c), F.lit(WHITESPACE))
 
 
+def has_edge_whitespace(c: str | Column) -> Column:
+    """value != strip(value), decided by byte lengths (no full comparison)."""
+    col = _col(c)
+    return F.octet_length(col) != F.octet_length(strip(col))
+
+
+def stripped_or_null(c: str | Column) -> Column:
+    """strip(value), or null when that is empty (blank values drop out)."""
+    s = strip(c)
+    return F.when(F.octet_length(s) > 0, s)
+
+
 def norm(c: str | Column) -> Column:
     """strip + lower: the key that groups spelling variants."""
     return F.lower(strip(c))
@@ -101,12 +113,22 @@ def genuine_missing(c: str | Column, dt: T.DataType) -> Column:
     return col.isNull()
 
 
+MAX_MARKER_LENGTH = max(len(m) for m in NULL_MARKERS)
+
+
+def is_marker_text(c: str | Column) -> Column:
+    """strip + lower is a null marker. Only short stripped values can match,
+    so long texts are rejected by length before anything is lower-cased."""
+    s = strip(c)
+    return F.when(F.length(s) <= MAX_MARKER_LENGTH, F.lower(s).isin(*NULL_MARKERS)).otherwise(F.lit(False))
+
+
 def textual_null(c: str | Column, dt: T.DataType) -> Column:
     """A present text value whose normalized form is a null marker."""
     if not is_text_type(dt):
         return F.lit(False)
     col = _col(c)
-    return col.isNotNull() & norm(col).isin(*NULL_MARKERS)
+    return col.isNotNull() & is_marker_text(col)
 
 
 def missing(c: str | Column, dt: T.DataType) -> Column:
@@ -156,8 +178,12 @@ def format_shape(fmt: str) -> str:
 def to_timestamp_any(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """First format that parses wins; failures give null (decision D4).
     The result is a wall-clock ``timestamp_ntz`` like a naive pandas date.
-    Each parse is attempted only when the text has the format's shape, so
-    non-dates cost a regex test rather than a failed parse."""
+    Each parse is attempted only when the text has the format's shape, and
+    only texts no longer than four times the longest pattern are looked at,
+    so long prose costs one length test rather than regexes and failed
+    parses."""
     s = _col(c).cast("string")
-    return F.coalesce(*[F.when(s.rlike(format_shape(fmt)), F.try_to_timestamp(s, F.lit(fmt)))
-                        for fmt in formats]).cast("timestamp_ntz")
+    bound = 4 * max(len(f) for f in formats)
+    parsed = F.coalesce(*[F.when(s.rlike(format_shape(fmt)), F.try_to_timestamp(s, F.lit(fmt)))
+                          for fmt in formats])
+    return F.when(F.octet_length(s) <= bound, parsed).cast("timestamp_ntz")

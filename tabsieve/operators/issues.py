@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.columns import (
     genuine_missing,
+    has_edge_whitespace,
     is_numeric_type,
     is_text_type,
-    strip,
+    stripped_or_null,
     textual_null,
     to_number,
     to_timestamp_any,
@@ -72,7 +73,7 @@ def scan_metrics(df: DataFrame) -> DataFrame:
     genuine missing, textual nulls, whitespace, numeric-like and date-like
     counts (the latter on stripped, non-blank text)."""
     def kept(c: str) -> Column:
-        return F.when(strip(c) != F.lit(""), strip(c))
+        return stripped_or_null(c)
 
     def text_only(fn):
         return lambda c, dt: fn(c) if is_text_type(dt) else F.lit(None).cast("string")
@@ -80,7 +81,7 @@ def scan_metrics(df: DataFrame) -> DataFrame:
     return per_column(df, df.columns, {
         "missing": count_if(genuine_missing),
         "fake_nulls": count_if(textual_null),
-        "whitespace": count_if(lambda c, dt: (F.col(c) != strip(c)) if is_text_type(dt) else F.lit(False)),
+        "whitespace": count_if(lambda c, dt: has_edge_whitespace(c) if is_text_type(dt) else F.lit(False)),
         "non_null": count_present(lambda c, dt: F.col(c)),
         "numeric_like": count_present(text_only(lambda c: to_number(c))),
         "non_blank": count_present(text_only(kept)),

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.columns import (
-    NULL_MARKERS,
     genuine_missing,
+    is_marker_text,
     is_numeric_type,
     is_text_type,
     norm,
@@ -104,7 +104,7 @@ def category_map(df: DataFrame, column: str, order_by: str | None = None) -> Dat
     most frequent spelling (stripped); ties -> first observed by
     ``order_by``, else the smallest spelling. Markers and nulls excluded."""
     c = F.col(column)
-    rows = df.where(c.isNotNull() & ~norm(c).isin(*NULL_MARKERS))
+    rows = df.where(c.isNotNull() & ~is_marker_text(c))
     first = F.min(order_by) if order_by else F.min(c)
     spellings = rows.groupBy(norm(c).alias("_key"), c.alias("_raw")).agg(
         F.count(F.lit(1)).alias("_n"), first.alias("_first"))

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from tabsieve.functions.columns import (
     NULL_MARKERS,
     genuine_missing,
+    has_edge_whitespace,
     is_numeric_type,
     is_text_type,
     missing,
     norm,
     strip,
+    stripped_or_null,
     textual_null,
     to_number,
     to_timestamp_any,
@@ -193,7 +195,7 @@ def string_formatting_issues(df: DataFrame, columns: Sequence[str] | None = None
     vc = vc if vc is not None else value_counts(df, text)
     present = vc.where(F.col("column").isin(*text) & F.col("value").isNotNull())
     ws = present.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("value") != strip("value"), F.col("n"))), F.lit(0)).alias("whitespace_count"))
+        F.coalesce(F.sum(F.when(has_edge_whitespace("value"), F.col("n"))), F.lit(0)).alias("whitespace_count"))
     groups = (
         present.where(strip("value") != F.lit(""))
         .groupBy("column", norm("value").alias("normalized"))
@@ -213,7 +215,7 @@ def string_formatting_issues(df: DataFrame, columns: Sequence[str] | None = None
 def whitespace_counts(df: DataFrame) -> DataFrame:
     """Text columns with leading/trailing whitespace (one scan)."""
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType)]
-    out = per_column(df, text, {"whitespace_count": count_if(lambda c, dt: F.col(c) != strip(c))})
+    out = per_column(df, text, {"whitespace_count": count_if(lambda c, dt: has_edge_whitespace(c))})
     return out.where(F.col("whitespace_count") > 0).select("column", "whitespace_count")
 
 
@@ -291,7 +293,7 @@ def date_candidate_columns(df: DataFrame, threshold: float = 0.8, modeling: bool
         })
     else:
         def kept(c: str) -> Column:
-            return F.when(strip(c) != F.lit(""), strip(c))
+            return stripped_or_null(c)
         out = per_column(df, text, {
             "value_count": count_present(lambda c, dt: kept(c)),
             "numeric_count": count_present(lambda c, dt: to_number(kept(c))),
