@@ -253,3 +253,17 @@ DOCUMENT_KINDS = {"doc_id": "int", "text": "text", "lang": "text", "source": "te
 register("issue_inventory_documents", f"""
 {inventory_sql('documents', DOCUMENT_KINDS, ())}
 """)(lambda spark, d: _issue_projection(issues.issue_inventory(table(spark, d, "documents"))))
+
+# --- issue inventory on the whole lineitem fact table ----------------------------
+# The large-table workload: every detector over all 11 columns of lineitem,
+# plus the rules that only read lineitem columns.
+
+LINEITEM_KINDS = {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_linenumber": "int",
+                  "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float",
+                  "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "ts"}
+LINEITEM_ONLY_RULES = tuple(r for r in LINEITEM_RULES
+                            if {r.column, r.comparison_column} <= set(LINEITEM_KINDS) | {None})
+
+register("issue_inventory_lineitem", f"""
+{inventory_sql('lineitem', LINEITEM_KINDS, LINEITEM_ONLY_RULES)}
+""")(lambda spark, d: _issue_projection(issues.issue_inventory(table(spark, d, "lineitem"), LINEITEM_ONLY_RULES)))

@@ -152,7 +152,11 @@ def to_number(c: str | Column) -> Column:
     (``1d``, ``2f``).
     """
     s = strip(_col(c).cast("string"))
-    v = s.try_cast("double")
+    # A failed cast costs a thrown exception inside the JVM, so the cast is
+    # tried only on text that starts (after control characters, which the
+    # cast ignores) with a sign, digit, point or the i/n of inf/nan: a
+    # superset of the text the cast accepts.
+    v = F.when(s.rlike(r"^[\x00-\x20\x7f-\x9f]*[+-]?[0-9.iInN]"), s.try_cast("double"))
     suffixed = s.rlike(r"^[+-]?[0-9.].*[dDfF]$")
     return F.when(v.isNull() | F.isnan(v) | suffixed, F.lit(None).cast("double")).otherwise(v)
 
@@ -184,6 +188,10 @@ def to_timestamp_any(c: str | Column, formats: Sequence[str] = DATE_FORMATS) ->
     parses."""
     s = _col(c).cast("string")
     bound = 4 * max(len(f) for f in formats)
-    parsed = F.coalesce(*[F.when(s.rlike(format_shape(fmt)), F.try_to_timestamp(s, F.lit(fmt)))
-                          for fmt in formats])
-    return F.when(F.octet_length(s) <= bound, parsed).cast("timestamp_ntz")
+    shapes = [format_shape(fmt) for fmt in formats]
+    parsed = F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)))
+                          for shape, fmt in zip(shapes, formats)])
+    # One alternation of all shapes rejects non-dates with a single regex
+    # test instead of one per format.
+    any_shape = "^(?:" + "|".join(sh[1:-1] for sh in shapes) + ")$"
+    return F.when((F.octet_length(s) <= bound) & s.rlike(any_shape), parsed).cast("timestamp_ntz")

@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.functions.columns import (
+    MAX_MARKER_LENGTH,
+    NULL_MARKERS,
     genuine_missing,
-    has_edge_whitespace,
     is_numeric_type,
     is_text_type,
     stripped_or_null,
-    textual_null,
     to_number,
     to_timestamp_any,
 )
@@ -71,23 +71,45 @@ def _issue(frame: DataFrame, issue_type: str | Column, evidence: Column, treatme
 def scan_metrics(df: DataFrame) -> DataFrame:
     """Row-level counts for every column in one aggregate pass:
     genuine missing, textual nulls, whitespace, numeric-like and date-like
-    counts (the latter on stripped, non-blank text)."""
-    def kept(c: str) -> Column:
-        return stripped_or_null(c)
+    counts (the latter on stripped, non-blank text).
+
+    The stripped text of each text column is computed once, in a projection
+    before the aggregate (Catalyst keeps it there, since it is referenced
+    several times and is not cheap), and every text metric reads it.
+    ``to_number`` strips first, so the numeric-like count of the raw and of
+    the stripped non-blank text is the same number."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    text = [c for c in df.columns if is_text_type(fields[c])]
+    kept = {c: f"_kept{i}" for i, c in enumerate(text)}
+    pre = df.select(*df.columns, *[stripped_or_null(c).alias(kept[c]) for c in text])
+
+    def k(c: str) -> Column:
+        return F.col(kept[c])
 
     def text_only(fn):
-        return lambda c, dt: fn(c) if is_text_type(dt) else F.lit(None).cast("string")
+        return lambda c, dt: fn(c) if c in kept else F.lit(None).cast("string")
+
+    def is_marker(c: str, dt) -> Column:
+        if c not in kept:
+            return F.lit(False)
+        short = F.when(F.length(k(c)) <= MAX_MARKER_LENGTH, F.lower(k(c)).isin(*NULL_MARKERS))
+        return F.col(c).isNotNull() & (k(c).isNull() | F.coalesce(short, F.lit(False)))
 
-    return per_column(df, df.columns, {
+    out = per_column(pre, df.columns, {
+        "missing": count_if(genuine_missing),
+        "fake_nulls": count_if(is_marker),
+        "whitespace": count_if(lambda c, dt: (F.octet_length(c) != F.coalesce(F.octet_length(k(c)), F.lit(0)))
+                               if c in kept else F.lit(False)),
+        "non_null": count_present(lambda c, dt: F.col(c)),
+        "non_blank": count_present(text_only(k)),
+        "numeric_like": count_present(text_only(lambda c: to_number(k(c)))),
+        "date_like": count_present(text_only(lambda c: to_timestamp_any(k(c)))),
+    }) if text else per_column(df, df.columns, {
         "missing": count_if(genuine_missing),
-        "fake_nulls": count_if(textual_null),
-        "whitespace": count_if(lambda c, dt: has_edge_whitespace(c) if is_text_type(dt) else F.lit(False)),
         "non_null": count_present(lambda c, dt: F.col(c)),
-        "numeric_like": count_present(text_only(lambda c: to_number(c))),
-        "non_blank": count_present(text_only(kept)),
-        "numeric_non_blank": count_present(text_only(lambda c: to_number(kept(c)))),
-        "date_like": count_present(text_only(lambda c: to_timestamp_any(kept(c)))),
-    })
+    }).select("*", *[F.lit(0).cast("long").alias(m) for m in
+                      ("fake_nulls", "whitespace", "non_blank", "numeric_like", "date_like")])
+    return out.withColumn("numeric_non_blank", F.col("numeric_like"))
 
 
 def missing_value_issues(df: DataFrame, metrics: DataFrame) -> DataFrame:  # I1

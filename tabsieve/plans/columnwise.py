@@ -60,15 +60,19 @@ def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric]
             for c in columns
         ]
         return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    # Records carry the column's position only (an int key hashes cheaper
+    # than a name); names are attached to the #columns result rows.
     records = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"),
+        F.struct(F.lit(df.columns.index(c)).alias("position"),
                  *[metrics[m].row(c, fields[c]).cast(metrics[m].row_type).alias(f"_v{i}")
                    for i, m in enumerate(names)])
         for c in columns
     ])).alias("t")
     long = df.select(records).select("t.*")
-    return long.groupBy("column", "position").agg(
-        *[metrics[m].agg(F.col(f"_v{i}")).alias(m) for i, m in enumerate(names)])
+    all_names = F.array(*[F.lit(c) for c in df.columns])
+    return long.groupBy("position").agg(
+        *[metrics[m].agg(F.col(f"_v{i}")).alias(m) for i, m in enumerate(names)]).select(
+        F.element_at(all_names, F.col("position") + 1).alias("column"), "position", *names)
 
 
 def safe_corr(x: Column, y: Column) -> Column:
