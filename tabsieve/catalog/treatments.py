@@ -3,6 +3,8 @@ J1 to J5, S4 to S6)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,6 +242,24 @@ select (select count(*) from (select * from customer except all select * from ot
 """)(_equality)
 
 
+def _csv_roundtrip(spark, d):
+    # S3 then S1/S2: the dirty view goes through the atomic CSV sink into the
+    # shared folder and comes back through the extension dispatch, with the
+    # reader's NA tokens and type inference.
+    from tabsieve.sources.tables import read_table, shared_output_dir, write_table_atomic
+    path = f"{shared_output_dir(spark)}/tabsieve-roundtrip-{uuid.uuid4().hex}/dirty_customer.csv"
+    write_table_atomic(_dirty(spark, d), path, fmt="csv")
+    return read_table(spark, path)
+
+
+# Empty text is an NA token of the reader; ' N/A ' (with spaces) is not.
+register("csv_roundtrip", f"""
+with {DIRTY_CTE}
+select c_custkey, case when segment = '' then null else segment end as segment, acctbal,
+ nation_txt, cast(target as bigint) as target from dirty_customer
+""")(_csv_roundtrip)
+
+
 def _verified(spark, d):
     from tabsieve.sources.tables import read_verified
     path = f"{d.rstrip('/')}/customer.parquet"

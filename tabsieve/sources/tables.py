@@ -108,7 +108,9 @@ def write_table_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     backup = f"{target}.__previous_{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # Spark's CSV writer trims values by default; keep them as they are.
+        writer = (writer.option("header", True).option("ignoreLeadingWhiteSpace", False)
+                  .option("ignoreTrailingWhiteSpace", False))
     try:
         writer.format(fmt).save(staging)
     except Exception:
@@ -132,6 +134,13 @@ def write_table_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return target
 
 
+def shared_output_dir(spark: SparkSession) -> str:
+    """A folder every executor and the driver can see: the cluster's
+    checkpoint folder (``spark.checkpoint.dir``), else the SQL warehouse."""
+    from tabsieve.plans.lineage import checkpoint_dir
+    return (checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def content_fingerprint(df: DataFrame) -> DataFrame:
     """Order- and partitioning-insensitive content fingerprint.
 
