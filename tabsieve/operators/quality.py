@@ -29,7 +29,7 @@ from tabsieve.functions.columns import (
 from tabsieve.operators.valuecounts import column_cardinality, value_counts
 from tabsieve.plans.columnwise import Metric, count_if, count_present, per_column
 from tabsieve.plans.lineage import materialize
-from tabsieve.plans.ranking import quantiles_from_ranked, rank_values, value_weights
+from tabsieve.plans.ranking import quantiles_from_slices, slice_weights, value_weights
 
 def _check_threshold(name: str, value: float) -> None:
     if not 0 < value <= 1:
@@ -94,7 +94,7 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
     of values strictly outside. Every numeric column is reported; with
     ``include_empty`` an all-null column yields zeros (A5), otherwise it is
     skipped (A6). ``counts`` (``column, v, w``) may be passed when the value
-    counts already exist; the ranked counts serve both the quantiles and
+    counts already exist; the sliced counts serve both the quantiles and
     the outlier count, so the table is scanned once."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = [c for c in (columns if columns is not None else df.columns) if is_numeric_type(fields[c])]
@@ -105,8 +105,9 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
         non_numeric = [c for c in columns if not is_numeric_type(fields[c])]
         if non_numeric:
             raise TypeError(f"Column(s) {non_numeric} must be numeric for IQR outlier detection.")
-    ranked = rank_values(counts if counts is not None else value_weights(df, cols))
-    q = quantiles_from_ranked(ranked, [0.25, 0.75])
+    # The materialized slices serve the quantiles and the outlier count.
+    sliced = slice_weights(counts if counts is not None else value_weights(df, cols))
+    q = quantiles_from_slices(sliced, [0.25, 0.75])
     bounds = q.groupBy("column").agg(
         F.first(F.when(F.col("p") == 0.25, F.col("value")), ignorenulls=True).alias("q1"),
         F.first(F.when(F.col("p") == 0.75, F.col("value")), ignorenulls=True).alias("q3"),
@@ -117,7 +118,7 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
     )
     # bounds has one row per numeric column: a broadcast of proven size.
     outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
-    outliers = ranked.join(F.broadcast(bounds), "column").groupBy("column").agg(
+    outliers = sliced.join(F.broadcast(bounds), "column").groupBy("column").agg(
         F.coalesce(F.sum(F.when(outside, F.col("w"))), F.lit(0)).cast("long").alias("outlier_count"))
     result = bounds.join(outliers, "column")
     if include_empty and cols:

@@ -141,10 +141,49 @@ def quantiles_from_ranked(ranked: DataFrame, probs: Sequence[float]) -> DataFram
     return out.select("column", "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("value"))
 
 
+def slice_weights(counts: DataFrame, num_slices: int | None = None) -> DataFrame:
+    """``column, v, w, _slice``: value counts range-partitioned on
+    ``(column, v)`` into contiguous slices (slice ids rise with ``v`` within
+    a column), materialized once so every reader sees the same slices."""
+    n = _num_slices(counts, num_slices)
+    return materialize(counts.repartitionByRange(n, "column", "v").withColumn("_slice", F.spark_partition_id()))
+
+
+def quantiles_from_slices(sliced: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles ``column, p, value`` from :func:`slice_weights`.
+
+    Slice totals are plain sums over the slices (no window over values);
+    their prefix sums tell which slices hold the ranks a quantile needs
+    (at most two per probability and column). Only those slices are sorted
+    for a running sum, so the ordered pass touches a few slices however
+    large the table is."""
+    probs = [float(p) for p in probs]
+    totals = sliced.groupBy("_slice", "column").agg(F.sum("w").alias("_t"))
+    # At most (#slices + #columns) rows: a plain window and a broadcast are safe.
+    earlier = Window.partitionBy("column").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_slice", "column", "_t", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_o"),
+        F.sum("_t").over(Window.partitionBy("column")).alias("group_total"))
+    n1 = (F.col("group_total") - 1).cast("double")
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_o") <= rank) & (rank <= F.col("_o") + F.col("_t") - 1)
+
+    needed = F.lit(False)
+    for p in probs:
+        needed = needed | holds(F.floor(F.lit(p) * n1)) | holds(F.ceil(F.lit(p) * n1))
+    keep = offsets.where(needed).select("_slice", "column", "_o", "group_total")
+    part = sliced.join(F.broadcast(keep), ["_slice", "column"])
+    within = Window.partitionBy("_slice", "column").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = part.select("column", "v", "w", "group_total",
+                         (F.col("_o") + F.coalesce(F.sum("w").over(within), F.lit(0))).alias("cum_before"))
+    return quantiles_from_ranked(ranked, probs)
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     num_slices: int | None = None) -> DataFrame:
     """Exact quantiles per numeric column; columns without values give no rows."""
-    return quantiles_from_ranked(rank_values(value_weights(df, columns), num_slices), probs)
+    return quantiles_from_slices(slice_weights(value_weights(df, columns), num_slices), probs)
 
 
 def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

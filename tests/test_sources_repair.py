@@ -108,3 +108,18 @@ def test_repairs_and_invariants(spark, sf_dir):
     broken = res.table.withColumn("tenure_months", F.col("tenure_months") + 1)
     with pytest.raises(repair.RepairError):
         repair.validate_repair(src, broken)
+
+
+def test_quantiles_over_many_slices_match_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    a = np.concatenate([rng.integers(0, 50, 300), np.full(400, 17)])  # one hot value
+    b = rng.normal(size=700).round(2)
+    rows = [(int(x), float(y) if i % 9 else None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a long, b double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    for slices in (1, 5, 23):
+        got = {(r["column"], r["p"]): r["value"] for r in exact_quantiles(df, ["a", "b"], probs, slices).collect()}
+        for col, values in (("a", a), ("b", np.array([r[1] for r in rows if r[1] is not None]))):
+            for p in probs:
+                assert abs(got[(col, p)] - float(np.quantile(values.astype(float), p))) < 1e-9, (col, p, slices)
