@@ -70,7 +70,8 @@ def cumulative_before(
     within = Window.partitionBy("_slice", *group_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.select("*", *[F.coalesce(F.sum(wcols[k]).over(within), F.lit(0)).alias(f"_l{wcols[k]}")
                                  for k in weights])
-    slice_totals = local.groupBy("_slice", *group_by).agg(
+    # Totals come from the materialized slices, not from the window output.
+    slice_totals = sliced.groupBy("_slice", *group_by).agg(
         *[F.sum(wcols[k]).alias(f"_t{wcols[k]}") for k in weights])
     # At most (#slices + #groups) rows: bounded, so a plain window and a
     # broadcast are safe here.
