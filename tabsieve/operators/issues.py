@@ -68,6 +68,10 @@ def _issue(frame: DataFrame, issue_type: str | Column, evidence: Column, treatme
         (F.lit(detector * 100000) + pos).cast("int").alias("ordinal"))
 
 
+PRESENCE_METRICS = ("missing", "non_null")
+TEXT_METRICS = ("missing", "fake_nulls", "whitespace", "non_null", "non_blank", "numeric_like", "date_like")
+
+
 def scan_metrics(df: DataFrame) -> DataFrame:
     """Row-level counts for every column in one aggregate pass:
     genuine missing, textual nulls, whitespace, numeric-like and date-like
@@ -86,29 +90,21 @@ def scan_metrics(df: DataFrame) -> DataFrame:
     def k(c: str) -> Column:
         return F.col(kept[c])
 
-    def text_only(fn):
-        return lambda c, dt: fn(c) if c in kept else F.lit(None).cast("string")
-
     def is_marker(c: str, dt) -> Column:
-        if c not in kept:
-            return F.lit(False)
         short = F.when(F.length(k(c)) <= MAX_MARKER_LENGTH, F.lower(k(c)).isin(*NULL_MARKERS))
         return F.col(c).isNotNull() & (k(c).isNull() | F.coalesce(short, F.lit(False)))
 
+    # Non-text columns only need the two presence counts; the text metrics
+    # do not apply to them (0 without an aggregate).
     out = per_column(pre, df.columns, {
         "missing": count_if(genuine_missing),
         "fake_nulls": count_if(is_marker),
-        "whitespace": count_if(lambda c, dt: (F.octet_length(c) != F.coalesce(F.octet_length(k(c)), F.lit(0)))
-                               if c in kept else F.lit(False)),
-        "non_null": count_present(lambda c, dt: F.col(c)),
-        "non_blank": count_present(text_only(k)),
-        "numeric_like": count_present(text_only(lambda c: to_number(k(c)))),
-        "date_like": count_present(text_only(lambda c: to_timestamp_any(k(c)))),
-    }) if text else per_column(df, df.columns, {
-        "missing": count_if(genuine_missing),
+        "whitespace": count_if(lambda c, dt: F.octet_length(c) != F.coalesce(F.octet_length(k(c)), F.lit(0))),
         "non_null": count_present(lambda c, dt: F.col(c)),
-    }).select("*", *[F.lit(0).cast("long").alias(m) for m in
-                      ("fake_nulls", "whitespace", "non_blank", "numeric_like", "date_like")])
+        "non_blank": count_present(lambda c, dt: k(c)),
+        "numeric_like": count_present(lambda c, dt: to_number(k(c))),
+        "date_like": count_present(lambda c, dt: to_timestamp_any(k(c))),
+    }, applies=lambda c, dt: TEXT_METRICS if c in kept else PRESENCE_METRICS)
     return out.withColumn("numeric_non_blank", F.col("numeric_like"))
 
 

@@ -11,7 +11,7 @@ partial-aggregate shuffle and codegen, whatever the table width.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,18 +45,29 @@ def numeric(fn: Callable[[Column], Column], expr: Callable[[str, T.DataType], Co
     return Metric(lambda c, dt: expr(c, dt).cast("double"), fn, "double")
 
 
-def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric]) -> DataFrame:
-    """Rows ``(column, position, metric...)``, one per column, in one scan."""
+def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric],
+               applies: Callable[[str, T.DataType], Collection[str]] | None = None) -> DataFrame:
+    """Rows ``(column, position, metric...)``, one per column, in one scan.
+
+    ``applies(column, type)`` names the metrics that apply to a column (all
+    by default); the others are 0 for counts and null otherwise, without an
+    aggregate, so only applicable aggregates count towards the width."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = list(metrics)
     if not columns:
         schema = "column string, position int, " + ", ".join(
             f"`{m}` {'bigint' if metrics[m].row_type == 'boolean' else 'double'}" for m in names)
         return df.sparkSession.createDataFrame([], schema)
-    if len(columns) * len(names) <= WIDE_AGG_LIMIT:
+    used = {c: set(names if applies is None else applies(c, fields[c])) for c in columns}
+
+    def absent(m: str) -> Column:
+        return F.lit(0).cast("long") if metrics[m].row_type == "boolean" else F.lit(None).cast("double")
+
+    if sum(len(used[c]) for c in columns) <= WIDE_AGG_LIMIT:
         rows = [
             F.struct(F.lit(c).alias("column"), F.lit(df.columns.index(c)).alias("position"),
-                     *[metrics[m].agg(metrics[m].row(c, fields[c])).alias(m) for m in names])
+                     *[(metrics[m].agg(metrics[m].row(c, fields[c])) if m in used[c] else absent(m)).alias(m)
+                       for m in names])
             for c in columns
         ]
         return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
@@ -64,7 +75,8 @@ def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric]
     # than a name); names are attached to the #columns result rows.
     records = F.explode(F.array(*[
         F.struct(F.lit(df.columns.index(c)).alias("position"),
-                 *[metrics[m].row(c, fields[c]).cast(metrics[m].row_type).alias(f"_v{i}")
+                 *[(metrics[m].row(c, fields[c]) if m in used[c] else F.lit(None))
+                   .cast(metrics[m].row_type).alias(f"_v{i}")
                    for i, m in enumerate(names)])
         for c in columns
     ])).alias("t")
