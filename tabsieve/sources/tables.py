@@ -191,12 +191,19 @@ def dataset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     if sorted(left.columns) != sorted(right.columns) or len(left.columns) != len(right.columns):
         spark = left.sparkSession
         return spark.createDataFrame([(None, None, False)], "left_only long, right_only long, equal boolean")
-    aligned = right.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in left.schema.fields])
-    lo = left.exceptAll(aligned).select(F.lit(1).alias("l"), F.lit(0).alias("r"))
-    ro = aligned.exceptAll(left).select(F.lit(0).alias("l"), F.lit(1).alias("r"))
-    both = lo.unionByName(ro).agg(
-        F.coalesce(F.sum("l"), F.lit(0)).cast("long").alias("left_only"),
-        F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("right_only"))
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in left.schema.fields]
+    # One aggregate instead of two EXCEPT ALL (each a union plus an aggregate
+    # of both tables): per distinct row, its multiplicity on each side.
+    # Grouping is null-safe like EXCEPT ALL, and a row repeated many times
+    # collapses in the map-side partial aggregate.
+    tagged = left.select(*cols, F.lit(1).alias("_in_left")).unionByName(
+        right.select(*cols, F.lit(0).alias("_in_left")))
+    per_row = tagged.groupBy(*left.columns).agg(
+        F.sum("_in_left").alias("_nl"), F.count(F.lit(1)).alias("_n"))
+    surplus = F.col("_nl") - (F.col("_n") - F.col("_nl"))
+    both = per_row.agg(
+        F.coalesce(F.sum(F.greatest(surplus, F.lit(0))), F.lit(0)).cast("long").alias("left_only"),
+        F.coalesce(F.sum(F.greatest(-surplus, F.lit(0))), F.lit(0)).cast("long").alias("right_only"))
     return both.select(
         "left_only", "right_only",
         ((F.col("left_only") == 0) & (F.col("right_only") == 0)).alias("equal"))

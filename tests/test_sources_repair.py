@@ -123,3 +123,15 @@ def test_quantiles_over_many_slices_match_numpy(spark):
         for col, values in (("a", a), ("b", np.array([r[1] for r in rows if r[1] is not None]))):
             for p in probs:
                 assert abs(got[(col, p)] - float(np.quantile(values.astype(float), p))) < 1e-9, (col, p, slices)
+
+
+def test_dataset_difference_matches_multiset_count(spark):
+    from collections import Counter
+    left = [(1, "a"), (1, "a"), (2, None), (3, "c")] + [(9, "hot")] * 50
+    right = [(1, "a"), (2, None), (2, None), (4, "d")] + [(9, "hot")] * 47
+    lc, rc = Counter(left), Counter(right)
+    row = tables.dataset_difference(spark.createDataFrame(left, "k int, s string"),
+                                    spark.createDataFrame(right, "k long, s string")).first()
+    assert row["left_only"] == sum((lc - rc).values()) == 5
+    assert row["right_only"] == sum((rc - lc).values()) == 2
+    assert row["equal"] is False
