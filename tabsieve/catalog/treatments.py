@@ -162,7 +162,12 @@ def _plan_inputs(spark, d):
 
 def _apply_plan(spark, d):
     df, inv, plan = _plan_inputs(spark, d)
-    return treatment.apply_treatment_plan(df, inv, plan, CUSTOMER_RULES, order_by="c_custkey")
+    try:
+        # The plan is checked and compiled eagerly; the result does not
+        # read the issue table any more.
+        return treatment.apply_treatment_plan(df, inv, plan, CUSTOMER_RULES, order_by="c_custkey")
+    finally:
+        inv.unpersist()
 
 
 # Same plan in SQL: nulls -> trim -> categories -> imputations (priority order).
