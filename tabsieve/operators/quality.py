@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsieve.functions.columns import (
@@ -173,11 +173,12 @@ def categorical_inconsistencies(df: DataFrame, columns: Sequence[str] | None = N
         "column", norm("value").alias("normalized"), F.col("value").alias("variant"))
     if skip_markers:
         spellings = spellings.where(~F.col("normalized").isin(*NULL_MARKERS))
-    group = Window.partitionBy("column", "normalized")
-    return (
-        spellings.withColumn("n_variants", F.count(F.lit(1)).over(group))
+    # Group sizes by aggregate (partial counts before the shuffle), joined
+    # back on the group key: unlike a window partition, a group with very
+    # many spellings can be split by AQE's skew-join handling.
+    groups = spellings.groupBy("column", "normalized").agg(F.count(F.lit(1)).alias("n_variants")) \
         .where(F.col("n_variants") > 1)
-    )
+    return spellings.join(groups, ["column", "normalized"]).select("column", "normalized", "variant", "n_variants")
 
 
 def string_formatting_issues(df: DataFrame, columns: Sequence[str] | None = None,
