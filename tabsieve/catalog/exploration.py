@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsieve.operators import eda
 from tabsieve.registry import register
-from tabsieve.sources.derived import dirty_customer, table
+from tabsieve.sources.derived import DIRTY_CUSTOMER_SQL, dirty_customer, table
 from tabsieve.sqlkit import DIRTY_CTE, DIRTY_TEXT, unpivot_double, unpivot_text
 
 LINEITEM_NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -154,7 +154,7 @@ with {DIRTY_CTE}, m as (
 ) select "column" from m where other = 0
 """)(lambda spark, d: eda.target_candidates(dirty_customer(spark, d)))
 
-register("leakage_names")(lambda spark, d: eda.leakage_name_columns(dirty_customer(spark, d), "acctbal"))
+
 
 # ---------------------------------------------------------------- P8, P9
 
@@ -175,6 +175,12 @@ from customer order by c_custkey limit 10
     order_by=["customer_id"]))
 
 _leak_like = " or ".join(f"lower(trim(column_name)) like '%{t}%'" for t in eda.LEAKAGE_TERMS)
+# The view's column names come from DESCRIBE of its defining query.
+register("leakage_names", f"""
+select column_name as "column" from (describe {DIRTY_CUSTOMER_SQL.format(customer="customer")})
+where lower(trim(column_name)) <> 'acctbal' and ({_leak_like})
+""")(lambda spark, d: eda.leakage_name_columns(dirty_customer(spark, d), "acctbal"))
+
 register("leakage_names_embeddings", f"""
 select column_name as "column" from information_schema.columns
 where table_name = 'embeddings' and lower(trim(column_name)) <> 'vec_id' and ({_leak_like})
