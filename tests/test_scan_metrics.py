@@ -83,3 +83,24 @@ def test_scan_metrics_without_text_columns(spark):
     df = spark.createDataFrame([(1, None), (2, 2.0)], "k int, x double")
     got = _scan(df)
     assert got["x"]["missing"] == 1 and got["k"]["date_like"] == 0
+
+
+def test_per_column_applies_in_wide_and_long_form(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 2.0), (None, " b", None), (3, None, 4.0)], "k int, t string, x double")
+    metrics = {
+        "nulls": columnwise.count_if(lambda c, dt: F.col(c).isNull()),
+        "spaced": columnwise.count_if(lambda c, dt: F.col(c).startswith(" ")),
+        "mean": columnwise.numeric(F.avg, lambda c, dt: F.col(c)),
+    }
+
+    def applies(c, dt):
+        return ("nulls", "spaced") if is_text_type(dt) else ("nulls", "mean")
+
+    def run():
+        return {r["column"]: (r["nulls"], r["spaced"], r["mean"])
+                for r in columnwise.per_column(df, df.columns, metrics, applies).collect()}
+
+    expected = {"k": (1, 0, 2.0), "t": (1, 1, None), "x": (1, 0, 3.0)}
+    assert run() == expected
+    monkeypatch.setattr(columnwise, "WIDE_AGG_LIMIT", 0)
+    assert run() == expected
