@@ -25,7 +25,7 @@ from tabsieve.plans.lineage import materialize
 
 BITS = 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1e-3
+ALPHA, BETA, L1, L2 = 2.0, 0.1, 1e-3, 1e-3
 DRAW = 1 << 20
 
 
@@ -62,7 +62,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> No
         n[slots] = grown
 
 
-def train_classifier(labelled: DataFrame, epochs: int = 4, lanes: int = 8, bits: int = BITS) -> np.ndarray:
+def train_classifier(labelled: DataFrame, epochs: int = 6, lanes: int = 8, bits: int = BITS) -> np.ndarray:
     """Weights (bias last) from ``doc_id, text, label`` rows; null labels are
     left out. Without rows all weights are zero, which scores 0.5."""
 

@@ -30,9 +30,11 @@ _TAIL_BYTES = bytes(range(0x80, 0xC0))  # all but the first byte of a code point
 _NOT_LETTERS = bytes(b for b in range(256) if not (65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC0))
 _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _SENTENCE_END = re.compile(rb"(?:[.!?:;\"')]|\xe2\x80[\x9c\x9d\xa6]|\xc2\xbb)[ \t\x0b\x0c\r]*(?:\n|\Z)")
+_SYMBOL = re.compile(rb"[#*$%&|<>]")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper",
-          "n_ended", "n_distinct")
-RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "letters", "capitals", "sentences", "variety")
+          "n_ended", "n_distinct", "n_symbol_lines")
+RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "letters", "capitals", "sentences", "variety",
+         "symbol_lines")
 
 
 def repeated_words(ids: np.ndarray, distinct: int, window: int = 3) -> int:
@@ -65,7 +67,8 @@ def count_text(text: bytes) -> tuple[int, ...]:
     return (len(words), len(text.translate(None, _SPACE + _TAIL_BYTES)),
             len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
             repeated_words(ids, len(number)), len(lines), len(text.translate(None, _NOT_LETTERS)),
-            len(text.translate(None, _NOT_UPPER)), len(_SENTENCE_END.findall(text)), len(number))
+            len(text.translate(None, _NOT_UPPER)), len(_SENTENCE_END.findall(text)), len(number),
+            sum(_SYMBOL.search(x) is not None for x in lines))
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -96,22 +99,26 @@ def votes() -> dict[str, Column]:
         "symbols": _vote((n > 0) & (100 * F.col("n_symbols") <= 2 * n), 10 * F.col("n_symbols") > n),
         "dup_lines": _vote((lines > 1) & (10 * F.col("n_dup_lines") <= lines), 10 * F.col("n_dup_lines") > 3 * lines),
         "repeats": _vote((n >= 20) & (10 * F.col("n_repeat_words") <= 2 * n), 10 * F.col("n_repeat_words") > 5 * n),
-        "letters": _vote((n > 0) & (10 * F.col("n_letters") >= 7 * chars), 2 * F.col("n_letters") < chars),
+        "letters": _vote((n > 0) & (100 * F.col("n_letters") >= 93 * chars), 10 * F.col("n_letters") < 8 * chars),
         "capitals": _vote((n > 0) & (10 * F.col("n_upper") <= 2 * F.col("n_letters")),
                           2 * F.col("n_upper") > F.col("n_letters")),
         "sentences": _vote((n > 0) & (2 * F.col("n_ended") >= lines), 10 * F.col("n_ended") < lines),
         "variety": _vote((n >= 20) & (10 * F.col("n_distinct") >= 3 * n), 10 * F.col("n_distinct") < n),
+        "symbol_lines": _vote((lines > 0) & (10 * F.col("n_symbol_lines") <= lines),
+                              2 * F.col("n_symbol_lines") > lines),
     }
 
 
 def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) with
     their counts. Returns the prior log odds of good and, per rule, the log
-    odds that a good vote and a bad vote add. It starts from the majority
-    vote; rules' votes are smoothed by one document each way."""
+    odds that a good vote and a bad vote add. It starts from the all-must-pass
+    filter that it replaces (kinds of bad text differ, so a majority vote would
+    find the most frequent kind only), and each rule is then trusted as far as
+    the other rules bear it out. Votes are smoothed by one document each way."""
     k = patterns.shape[1]
     up, down = patterns == 1, patterns == -1
-    p = 1.0 / (1.0 + np.exp(-patterns.sum(axis=1).astype(float)))
+    p = np.where(down.any(axis=1), 0.1, 0.9)
     prior, plus, minus = 0.0, np.zeros(k), np.zeros(k)
     for _ in range(rounds if weight.sum() else 0):
         good, bad = weight * p, weight * (1 - p)
@@ -119,7 +126,7 @@ def estimate(patterns: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tupl
         prior = float(np.log(share / (1 - share)))
         right_good = (good @ up + 1) / (good @ (up | down) + 2)  # P(good vote | good, votes)
         right_bad = (bad @ down + 1) / (bad @ (up | down) + 2)
-        right_good, right_bad = np.clip(right_good, 0.01, 0.99), np.clip(right_bad, 0.01, 0.99)
+        right_good, right_bad = np.clip(right_good, 0.005, 0.995), np.clip(right_bad, 0.005, 0.995)
         plus, minus = np.log(right_good / (1 - right_bad)), np.log((1 - right_good) / right_bad)
         p = 1.0 / (1.0 + np.exp(-np.clip(prior + up @ plus + down @ minus, -500, 500)))
     return prior, plus, minus

@@ -6,11 +6,14 @@ heap of partial partitions and repeatedly merges the two with the largest
 spread, largest slot onto smallest slot.
 
 The heap never sees all groups at once. Groups too large to be averaged out
-(by the total, at most ``SLOTS_PER_SHARD * shards`` of them) stay single. The
-others are dealt by hash into bounded chunks; in each chunk differencing makes
-bundles of nearly equal bytes, and bundles are bundled again until one bounded
-chunk is left. That last chunk, large groups included, is differenced into the
-shards. Each round moves group hashes and sizes only; texts are read once.
+(by the total, a bounded number of them) stay single. The others are dealt by
+hash into bounded chunks and, inside a chunk, into classes of one half, one
+quarter, one eighth and so on of the rows; differencing makes each class a few
+bundles, so bundles of all sizes come out, and bundles are bundled again until
+one bounded chunk is left. That last chunk, large groups included, is
+differenced into the shards: large pieces level each other, the smallest
+bundles fill what is left. Each round moves group hashes and sizes only; texts
+are read once.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from tabsieve.plans.ranking import cumulative_before
 
 CHUNK = 8192
 SLOTS_PER_SHARD = 50
+CLASSES = 10
 ROW_BYTES = 16
 
 
@@ -83,22 +87,23 @@ def assign_groups(groups: DataFrame, shards: int, chunk: int = CHUNK) -> DataFra
     total, count = groups.agg(F.sum("bytes"), F.count(F.lit(1))).first()
     if not count:
         return groups.select("item", F.lit(0).alias("shard"))
-    large = F.col("bytes") * (shards * SLOTS_PER_SHARD) >= F.lit(total)
+    singles = min(shards * SLOTS_PER_SHARD, chunk // 4)  # more of them cannot be this large
+    large = F.col("bytes") * singles >= F.lit(total)
     paths: list[DataFrame] = []  # item -> bundle, per round
     items, n = groups.select("item", "bytes"), count
     while n > chunk:
         chunks = -(-n // (chunk // 2))
-        bundles = max(shards, min(chunk // 16, (chunk // 4) // chunks))
-        dealt = items.where(~large).withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(chunks)))
+        bundles = max(1, chunk // 2 // (chunks * CLASSES))
+        part = F.pmod(F.xxhash64("item", F.lit(len(paths))), F.lit(chunks)) * CLASSES
+        low = F.pmod(F.xxhash64("item", F.lit("class")), F.lit(1 << (CLASSES - 1)))  # class c: 2 ** -(c + 1) of all
+        scale = F.when(low == 0, CLASSES - 1).otherwise(F.floor(F.lit(CLASSES - 1) - F.log2(low + 0.5)))
+        dealt = items.where(~large).withColumn("chunk", part + scale.cast("long"))
         dealt = materialize(_bundled(dealt.select("chunk", "item", "bytes"), bundles))
         name = F.unhex(F.md5(F.concat_ws("/", F.lit(len(paths)), "chunk", "part").cast("binary")))
         paths.append(dealt.select("item", name.alias("bundle")))
         made = dealt.groupBy(name.alias("item")).agg(F.sum("bytes").alias("bytes"))
         items = materialize(items.where(large).union(made))
-        fewer = items.count()
-        if fewer >= n:
-            raise ValueError(f"chunks of {chunk} items are too small for {shards} shards")
-        n = fewer
+        n = items.count()
     out = _bundled(items.select(F.lit(0).cast("long").alias("chunk"), "item", "bytes"), shards)
     out = materialize(out.select("item", F.col("part").alias("shard")))
     for path in reversed(paths):
