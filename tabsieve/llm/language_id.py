@@ -47,7 +47,7 @@ class LanguageModel:
         for n in ORDERS:
             table = self.grams.get(n, {})
             parts = [padded[i:i + n] for i in range(len(padded) - n + 1)]
-            known = [table[g] for g in parts if g in table]
+            known = [table[g] for g in parts if g in table]  # never the space alone
             if known and 2 * len(known) >= len(parts):
                 return np.mean(known, axis=0)
             best = best or known
@@ -78,6 +78,7 @@ def build_model(word_counts: list[tuple[str, str, int]]) -> LanguageModel:
         for n in ORDERS:
             for i in range(len(padded) - n + 1):
                 grams[n].setdefault(padded[i:i + n], np.zeros(len(languages)))[at[lang]] += weight
+    grams[1].pop(" ", None)
     k = len(languages)
     return LanguageModel(languages, _rows(words, k), {n: _rows(g, k) for n, g in grams.items()})
 
