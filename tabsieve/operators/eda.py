@@ -136,7 +136,8 @@ def _check_binary_numeric_target(df: DataFrame, target: str) -> None:
     require_columns(df, [target])
     if not is_numeric_type(df.schema[target].dataType):
         raise TypeError(f"Target column '{target}' must be numeric.")
-    bad = df.where(F.col(target).isNotNull() & ~F.col(target).isin(0, 1)).limit(1).count()
+    y = nan_to_null(target, df.schema[target].dataType)
+    bad = df.where(y.isNotNull() & ~y.isin(0, 1)).limit(1).count()
     if bad:
         raise ValueError(f"Target column '{target}' must contain only 0 and 1.")
 
@@ -222,7 +223,7 @@ def column_information(df: DataFrame) -> DataFrame:
 def target_candidates(df: DataFrame) -> DataFrame:
     """P10: numeric columns whose non-null values are a subset of {0, 1}."""
     cols = _numeric(df)
-    out = per_column(df, cols, {"other": count_if(lambda c, dt: F.col(c).isNotNull() & ~F.col(c).isin(0, 1))})
+    out = per_column(df, cols, {"other": count_if(lambda c, dt: nan_to_null(c, dt).isNotNull() & ~nan_to_null(c, dt).isin(0, 1))})
     return out.where(F.col("other") == 0).select("column")
 
 

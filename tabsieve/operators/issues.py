@@ -261,18 +261,10 @@ def check_issue_ids(issues: DataFrame) -> None:
         raise ValueError(f"Duplicate or empty data preparation issue ID: {bad[0]['issue_id']!r}.")
 
 
-# --- fixed values: review questions raised by each kind of finding ----------
-PREPARATION_QUESTIONS: tuple[tuple[str, str], ...] = (
-    ("missing_values", "How should the missing values of the affected columns be handled?"),
-    ("numeric_conversion", "Should the mostly numeric text columns become numeric columns?"),
-    ("categorical_inconsistency", "Which spelling, case or whitespace variants mean the same category?"),
-    ("formatting_issue", "Should leading and trailing whitespace be removed?"),
-    ("date_conversion", "Which date-like text columns should become dates?"),
-    ("identifier", "Which high-cardinality columns are real business identifiers?"),
-    ("outlier", "Do any of the statistical outliers need a business investigation?"),
-    ("exact_duplicates", "Are the exact duplicate rows duplicate records or repeated observations?"),
-)
-# ---------------------------------------------------------------------------
+# Review questions as codes, one per kind of finding in detector order.
+PREPARATION_QUESTIONS: tuple[tuple[str, str], ...] = tuple((kind, f"review_{kind}") for kind in (
+    "missing_values", "numeric_conversion", "categorical_inconsistency", "formatting_issue", "date_conversion",
+    "identifier", "outlier", "exact_duplicates"))
 
 
 def preparation_questions(issues: DataFrame) -> DataFrame:

@@ -28,7 +28,6 @@ from tabsieve.functions.columns import (
     to_timestamp_any,
 )
 from tabsieve.operators.rules import ValidationRule, violation_flag
-from tabsieve.plans.joins import join_small
 from tabsieve.plans.lineage import materialize
 from tabsieve.plans.ranking import exact_quantiles
 
@@ -116,13 +115,12 @@ def category_map(df: DataFrame, column: str, order_by: str | None = None) -> Dat
 
 def normalize_categories(df: DataFrame, column: str, order_by: str | None = None) -> DataFrame:
     """T4: replace every spelling of a multi-spelling group by its canonical
-    form. The map has one row per such group; its size is data dependent, so
-    it is counted and broadcast only when small (else a shuffle join, with
-    AQE splitting a hot key)."""
+    form. The map has one row per such group and is joined without a hint:
+    AQE broadcasts it by its measured bytes or splits a hot key."""
     if not is_text_type(df.schema[column].dataType):
         raise ValueError("normalize_categories requires a text column.")
     mapping = category_map(df, column, order_by)
-    joined = join_small(df, mapping, norm(F.col(column)) == F.col("_key"), "left")
+    joined = df.join(mapping, norm(F.col(column)) == F.col("_key"), "left")
     out = F.coalesce(F.col("_canonical"), F.col(column))
     return joined.select(*[out.alias(c) if c == column else F.col(c) for c in df.columns])
 
@@ -202,7 +200,7 @@ def iqr_bounds(df: DataFrame, column: str) -> tuple[float, float] | None:
 
 
 def cap_outliers(df: DataFrame, column: str) -> DataFrame:
-    """Clamp to the IQR bounds (nulls stay null)."""
+    """Clamp to the IQR bounds (nulls and NaN stay)."""
     dt = df.schema[column].dataType
     if not is_numeric_type(dt):
         raise ValueError(f"cap_outliers requires a numeric column: '{column}'.")
@@ -211,7 +209,7 @@ def cap_outliers(df: DataFrame, column: str) -> DataFrame:
         return df
     lo, hi = bounds
     c = F.col(column).cast("double")
-    return _replace(df, column, F.when(c.isNull(), c).otherwise(F.least(F.greatest(c, F.lit(lo)), F.lit(hi))))
+    return _replace(df, column, F.when(c.isNull() | F.isnan(c), c).otherwise(F.least(F.greatest(c, F.lit(lo)), F.lit(hi))))
 
 
 def set_missing(df: DataFrame, rule: ValidationRule) -> DataFrame:

@@ -80,7 +80,7 @@ def repair_accounts(df: DataFrame) -> RepairResult:
     median = valid_age_median(df)
     monthly = currency_to_number("monthly_charge")
     age = F.when(invalid_age("age"), F.lit(median)).otherwise(to_number("age"))
-    total = F.when(F.col("total_charge") > EXTREME_TOTAL, monthly * F.col("tenure_months")).otherwise(
+    total = F.when(extreme_total("total_charge"), monthly * F.col("tenure_months")).otherwise(
         F.col("total_charge"))
     replaced = {"monthly_charge": monthly, "signup_date": normalized_date_text("signup_date"),
                 "age": age, "total_charge": total}
@@ -88,13 +88,18 @@ def repair_accounts(df: DataFrame) -> RepairResult:
     return RepairResult(df.select(*[replaced.get(c, F.col(c)).alias(c) for c in keep]), median)
 
 
+def extreme_total(c: str) -> Column:
+    """Above the limit; NaN is missing, not extreme."""
+    return (F.col(c) > EXTREME_TOTAL) & ~F.isnan(F.col(c).cast("double"))
+
+
 def repair_report(df: DataFrame) -> DataFrame:
     """Counts of repaired values per rule and the replacement median."""
     median = valid_age_median(df)
     return df.agg(
         F.count(F.when(invalid_age("age"), F.lit(1))).alias("invalid_ages_repaired"),
         F.lit(median).alias("age_median"),
-        F.count(F.when(F.col("total_charge") > EXTREME_TOTAL, F.lit(1))).alias("extreme_charges_repaired"),
+        F.count(F.when(extreme_total("total_charge"), F.lit(1))).alias("extreme_charges_repaired"),
         F.lit(len([c for c in LEAKAGE_COLUMNS if c in df.columns])).alias("leakage_columns_removed"),
     )
 

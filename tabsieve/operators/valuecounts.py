@@ -42,8 +42,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         dt = fields[c]
         if isinstance(dt, INTEGRAL):
             return no_s, F.col(c).cast("long"), no_d
-        if isinstance(dt, T.DoubleType):
-            return no_s, no_i, nan_to_null(c, dt)
+        if isinstance(dt, (T.DoubleType, T.FloatType)):
+            return no_s, no_i, nan_to_null(c, dt).cast("double")
         return nan_to_null(c, dt).cast("string"), no_i, no_d
 
     records = F.explode(F.array(*[

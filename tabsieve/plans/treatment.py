@@ -69,7 +69,10 @@ def plan_violations(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     repeated = decisions.groupBy("issue_id").agg(F.count(F.lit(1)).alias("k")).where(
         (F.col("k") > 1) | F.col("issue_id").isNull() | (F.col("issue_id") == "")).select(
         F.lit("duplicate_or_empty_decision").alias("kind"), "issue_id", F.lit(None).cast("string").alias("treatment"))
-    return unknown.unionByName(undecided).unionByName(forbidden).unionByName(repeated)
+    unclear = issues.groupBy("issue_id").agg(F.count(F.lit(1)).alias("k")).where(
+        (F.col("k") > 1) | F.col("issue_id").isNull() | (F.col("issue_id") == "")).select(
+        F.lit("duplicate_or_empty_issue").alias("kind"), "issue_id", F.lit(None).cast("string").alias("treatment"))
+    return unknown.unionByName(undecided).unionByName(forbidden).unionByName(repeated).unionByName(unclear)
 
 
 def validate_plan(df: DataFrame, issues: DataFrame, plan: TreatmentPlan, check_fingerprints: bool = True) -> None:
@@ -85,7 +88,7 @@ def validate_plan(df: DataFrame, issues: DataFrame, plan: TreatmentPlan, check_f
             raise PlanValidationError("The dataset changed since the plan was reviewed.")
         if evidence_fingerprint(issues).first()["fingerprint"] != plan.evidence_fingerprint:
             raise PlanValidationError("The issue evidence changed since the plan was reviewed.")
-    problems = plan_violations(issues, decisions_frame(df.sparkSession, plan.decisions)).limit(20).collect()
+    problems = plan_violations(issues, decisions_frame(df.sparkSession, plan.decisions)).collect()
     if problems:
         text = "; ".join(f"{p['kind']}: {p['issue_id']}" for p in problems)
         raise PlanValidationError(f"Treatment plan is invalid: {text}")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.columns import is_text_type
+from tabsieve.functions.columns import is_text_type, to_number
 from tabsieve.plans.columnwise import count_if, count_present, per_column
 
 # --- fixed values -----------------------------------------------------------
@@ -62,7 +62,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     stats = {r["column"]: r for r in per_column(df, text, {
         "n": count_present(lambda c, dt: F.col(c)),
         "longs": count_present(lambda c, dt: F.col(c).try_cast("long")),
-        "doubles": count_present(lambda c, dt: F.col(c).try_cast("double")),
+        "doubles": count_present(lambda c, dt: to_number(c)),
         "bools": count_if(lambda c, dt: F.col(c).isin(*BOOLEAN_TEXT)),
     }).collect()}  # one row per text column
     casts = {}
@@ -79,9 +79,11 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[casts.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+               multi_line: bool = True) -> DataFrame:
     """Dispatch by extension; CSV gets pandas-like NA handling and type
-    inference unless an explicit schema is given."""
+    inference unless an explicit schema is given. ``multi_line=False`` lets
+    large CSV files without line breaks in fields be split among tasks."""
     ext = _extension(path)
     if ext not in SUPPORTED_EXTENSIONS:
         raise UnsupportedFileTypeError(f"Unsupported file type: {ext or '(none)'}")
@@ -89,7 +91,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         raise FileNotFoundError(path)
     if ext == ".parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("multiLine", False)
+    # quoted fields may hold quotes (doubled) and line breaks; a file is then read
+    # by one task, so large tables should come as many files
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         return normalize_csv_nulls(reader.schema(schema).csv(path))
     raw = reader.option("inferSchema", False).csv(path)
@@ -109,7 +113,7 @@ def write_table_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
         # Spark's CSV writer trims values by default; keep them as they are.
-        writer = (writer.option("header", True).option("ignoreLeadingWhiteSpace", False)
+        writer = (writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
                   .option("ignoreTrailingWhiteSpace", False))
     try:
         writer.format(fmt).save(staging)
@@ -125,7 +129,13 @@ def write_table_atomic(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     if had_old and not fs.rename(tgt, bk):
         fs.delete(st, True)
         raise OSError(f"could not move previous output {target} aside")
-    if not fs.rename(st, tgt):
+    try:
+        published = fs.rename(st, tgt)
+    except Exception:
+        if had_old:
+            fs.rename(bk, tgt)
+        raise
+    if not published:
         if had_old:
             fs.rename(bk, tgt)
         raise OSError(f"could not publish {staging} as {target}")

@@ -35,12 +35,12 @@ def _apply_step(df: DataFrame, step: tuple) -> DataFrame:
     if kind == "clamp":
         _, column, lo, hi = step
         c = F.col(column).cast("double")
-        return prepare._replace(df, column, F.when(c.isNull(), c).otherwise(F.least(F.greatest(c, F.lit(lo)),
+        return prepare._replace(df, column, F.when(c.isNull() | F.isnan(c), c).otherwise(F.least(F.greatest(c, F.lit(lo)),
                                                                                     F.lit(hi))))
     if kind == "map":
         _, column, mapping = step
-        # mapping size was checked when fitting
-        joined = df.join(F.broadcast(mapping), norm(F.col(column)) == F.col("_key"), "left")
+        # materialized when fitting; Spark broadcasts it only if it is small
+        joined = df.join(mapping, norm(F.col(column)) == F.col("_key"), "left")
         fixed = F.coalesce(F.col("_canonical"), F.col(column))
         return joined.select(*[fixed.alias(c) if c == column else F.col(c) for c in df.columns])
     if kind == "dedupe":
@@ -61,8 +61,7 @@ class FittedActions:
         return out
 
 
-def fit_actions(batch: DataFrame, actions: Sequence[Action], order_by: str | None = None,
-                max_map_rows: int = 1_000_000) -> FittedActions:
+def fit_actions(batch: DataFrame, actions: Sequence[Action], order_by: str | None = None) -> FittedActions:
     """Fit each statistic on ``batch`` as transformed by the earlier steps,
     exactly as ``apply_actions`` would."""
     steps: list[tuple] = []
@@ -81,8 +80,6 @@ def fit_actions(batch: DataFrame, actions: Sequence[Action], order_by: str | Non
             step = ("clamp", a.column, bounds[0], bounds[1])
         elif op == "normalize_categories":
             mapping = materialize(prepare.category_map(cur, a.column, order_by))
-            if mapping.limit(max_map_rows + 1).count() > max_map_rows:
-                raise ValueError("category map too large to join to a stream; normalize in batch.")
             step = ("map", a.column, mapping)
         elif op == "remove_duplicates":
             step = ("dedupe",)
