@@ -23,11 +23,22 @@ DATE_FORMATS: tuple[str, ...] = (
     "yyyy-MM-dd",
     "yyyy-MM-dd HH:mm:ss",
     "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
+    "M/d/yyyy",
+    "d/M/yyyy",
     "dd-MMM-yyyy",
     "MMMM d, yyyy",
     "yyyyMMdd",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "M-d-yyyy",
+    "d-M-yyyy",
+    "M.d.yyyy",
+    "d.M.yyyy",
+    "d MMM yyyy",
+    "MMM d, yyyy",
 )
 # ---------------------------------------------------------------------------
 
@@ -168,11 +179,15 @@ def format_shape(fmt: str) -> str:
     succeed, so it is deliberately loose."""
     import re as _re
     out = []
-    for run in _re.finditer(r"(y+|M+|d+|H+|m+|s+|[^yMdHms]+)", fmt):
+    for run in _re.finditer(r"('[^']*'|y+|M+|d+|H+|m+|s+|S+|X+|[^'yMdHmsSX]+)", fmt):
         tok = run.group(0)
-        if tok[0] == "M" and len(tok) >= 3:
+        if tok[0] == "'":
+            out.append(_re.escape(tok[1:-1]))
+        elif tok[0] == "X":
+            out.append(r"(?:[Zz]|[+-][0-9:]+)")
+        elif tok[0] == "M" and len(tok) >= 3:
             out.append(r"\p{L}+")
-        elif tok[0] in "yMdHms":
+        elif tok[0] in "yMdHmsS":
             out.append(r"\d+")
         else:
             out.append(_re.escape(tok))
@@ -181,7 +196,8 @@ def format_shape(fmt: str) -> str:
 
 def to_timestamp_any(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """First format that parses wins; failures give null (decision D4).
-    The result is a wall-clock ``timestamp_ntz`` like a naive pandas date.
+    The result is a wall-clock ``timestamp_ntz`` like a naive pandas date;
+    a text with a zone gives the wall clock of the session's time zone.
     Each parse is attempted only when the text has the format's shape, so
     prose costs one anchored regex test and no failed parse."""
     s = _col(c).cast("string")

@@ -215,9 +215,10 @@ def column_information(df: DataFrame) -> DataFrame:
     """Column, dtype, genuine missing count, distinct non-null count."""
     card = column_cardinality(value_counts(df))
     meta = schema_summary(df).select("column", "dtype", "position")
-    return meta.join(card, "column").select(
-        "column", "dtype", F.col("null_count").alias("missing_values"),
-        F.col("distinct_count").alias("unique_values"))
+    none = F.lit(0).cast("long")  # an empty table still has one row per column
+    return meta.join(card, "column", "left").select(
+        "column", "dtype", F.coalesce("null_count", none).alias("missing_values"),
+        F.coalesce("distinct_count", none).alias("unique_values"))
 
 
 def target_candidates(df: DataFrame) -> DataFrame:

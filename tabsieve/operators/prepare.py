@@ -21,6 +21,7 @@ from tabsieve.functions.columns import (
     is_marker_text,
     is_numeric_type,
     is_text_type,
+    nan_to_null,
     norm,
     strip,
     textual_null,
@@ -127,46 +128,70 @@ def normalize_categories(df: DataFrame, column: str, order_by: str | None = None
 
 # --- T5, T6 ---------------------------------------------------------------------
 
-def median_of(df: DataFrame, column: str) -> float | None:
-    row = exact_quantiles(df, [column], [0.5]).first()
-    return None if row is None else row["value"]
-
-
-def mode_of(df: DataFrame, column: str, order_by: str | None = None):
-    """Most frequent non-missing value; ties -> first observed by
-    ``order_by``, else the smallest value. One declarative aggregate."""
-    dt = df.schema[column].dataType
-    c = F.col(column)
-    present = df.where(~genuine_missing(column, dt))
-    first = F.min(order_by) if order_by else F.min(c)
-    counts = present.groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))
-    row = counts.agg(F.min_by("_v", F.struct(-F.col("_n"), F.col("_first"), F.col("_v"))).alias("m"),
-                     F.count(F.lit(1)).alias("k")).first()
-    if row is None or row["k"] == 0:
-        return None
-    return row["m"]
+def modes_of(df: DataFrame, columns: Sequence[str], order_by: str | None = None) -> dict[str, object]:
+    """Most frequent non-missing value of each column; ties -> first observed
+    by ``order_by``, else the smallest value. One scan and one shuffle for all
+    columns (grouping sets keep every column's own type); columns without a
+    value are left out."""
+    if not columns:
+        return {}
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    names = [f"_v{i}" for i in range(len(columns))]
+    values = [F.when(~genuine_missing(c, fields[c]), F.col(c)).alias(n) for c, n in zip(columns, names)]
+    rows = df.select(*values, (F.col(order_by) if order_by else F.lit(0)).alias("_o"))
+    counts = rows.groupingSets([[F.col(n)] for n in names], *names).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
+    # a group holds the value of its own column only, and none where it is missing
+    own = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)])
+    best = counts.withColumn("_own", own).where(F.col("_own").isNotNull()).groupBy("_own").agg(
+        F.min(F.struct((-F.col("_n")).alias("_n"), "_first", *names)).alias("m"))
+    return {columns[r["_own"]]: r["m"][names[r["_own"]]] for r in best.collect()}
+
+
+def impute_statistics(df: DataFrame, wanted: Sequence[tuple[str, str]],
+                      order_by: str | None = None) -> dict[str, tuple[object, T.DataType]]:
+    """Fill value and resulting type of T5/T6 for ``(column, strategy)`` pairs
+    of different columns: at most one pass per strategy, however many columns
+    there are."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    by: dict[str, list[str]] = {s: [c for c, t in wanted if t == s] for s in IMPUTE_STRATEGIES}
+    for column, strategy in wanted:
+        if strategy not in IMPUTE_STRATEGIES:
+            raise ValueError(f"Unsupported imputation strategy: {strategy!r}")
+        if strategy != "mode" and not is_numeric_type(fields[column]):
+            raise ValueError(f"{strategy.capitalize()} imputation requires a numeric column: '{column}'.")
+    found: dict[str, object] = {}
+    if by["median"]:
+        found |= {r["column"]: r["value"] for r in exact_quantiles(df, by["median"], [0.5]).collect()}
+    if by["mean"]:
+        row = df.agg(*[F.avg(nan_to_null(c, fields[c]).cast("double")) for c in by["mean"]]).first()
+        found |= dict(zip(by["mean"], row))
+    found |= modes_of(df, by["mode"], order_by)
+    out = {}
+    for column, strategy in wanted:
+        if found.get(column) is None:
+            raise ValueError(f"Column '{column}' has no value to take a {strategy} of.")
+        dt = fields[column]
+        fractional = isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType))
+        out[column] = (found[column], dt if strategy == "mode" or fractional else T.DoubleType())
+    return out
 
 
 def impute_statistic(df: DataFrame, column: str, strategy: str, order_by: str | None = None):
     """The fill value of T5/T6 and the column type after filling."""
-    dt = df.schema[column].dataType
-    if strategy in ("median", "mean"):
-        if not is_numeric_type(dt):
-            raise ValueError(f"{strategy.capitalize()} imputation requires a numeric column: '{column}'.")
-        if strategy == "median":
-            stat = median_of(df, column)
-        else:
-            stat = df.agg(F.avg(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")))).first()[0]
-        if stat is None:
-            raise ValueError(f"Cannot calculate {strategy} for column '{column}'.")
-        target_type = T.DoubleType() if not isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)) else dt
-        return stat, target_type
-    if strategy == "mode":
-        stat = mode_of(df, column, order_by)
-        if stat is None:
-            raise ValueError(f"Cannot calculate mode for column '{column}'.")
-        return stat, dt
-    raise ValueError(f"Unsupported imputation strategy: {strategy!r}")
+    return impute_statistics(df, [(column, strategy)], order_by)[column]
+
+
+def impute_columns(df: DataFrame, wanted: Sequence[tuple[str, str]], order_by: str | None = None) -> DataFrame:
+    """T5/T6 on several columns: their statistics together, one projection."""
+    fills = impute_statistics(df, wanted, order_by)
+    fields = {f.name: f.dataType for f in df.schema.fields}
+
+    def filled(c: str) -> Column:
+        value, kind = fills[c]
+        return F.when(genuine_missing(c, fields[c]), F.lit(value).cast(kind)).otherwise(F.col(c)).cast(kind)
+
+    return df.select(*[filled(c).alias(c) if c in fills else F.col(c) for c in df.columns])
 
 
 def fill_missing(df: DataFrame, column: str, value, target_type: T.DataType) -> DataFrame:
@@ -177,8 +202,7 @@ def fill_missing(df: DataFrame, column: str, value, target_type: T.DataType) ->
 
 def impute_missing(df: DataFrame, column: str, strategy: str, order_by: str | None = None) -> DataFrame:
     """Fill genuine missing values by the median, mean or mode."""
-    stat, target_type = impute_statistic(df, column, strategy, order_by)
-    return fill_missing(df, column, stat, target_type)
+    return impute_columns(df, [(column, strategy)], order_by)
 
 
 # --- X1 to X6 -------------------------------------------------------------------
@@ -269,13 +293,33 @@ STATEFUL = ("normalize_categories", "impute_missing", "cap_outliers", "remove_du
 def apply_actions(df: DataFrame, actions: Sequence[Action], order_by: str | None = None,
                   checkpoint_every: int | None = None) -> DataFrame:
     """Fold actions left to right. With ``checkpoint_every`` the lineage
-    is cut after that many aggregate-backed actions (reliable checkpoint)."""
+    is cut after that many aggregate-backed steps (reliable checkpoint);
+    neighbouring imputations of different columns are one step."""
     out = df
     heavy = 0
-    for a in actions:
-        out = apply_action(out, a, order_by)
-        if a.operation in STATEFUL:
+    for run in _runs(actions, order_by):
+        if len(run) > 1:
+            for a in run:
+                _require(out, a)
+            out = impute_columns(out, [(a.column, a.strategy or "") for a in run], order_by)
+        else:
+            out = apply_action(out, run[0], order_by)
+        if run[0].operation in STATEFUL:
             heavy += 1
             if checkpoint_every and heavy % checkpoint_every == 0:
                 out = materialize(out)
     return out
+
+
+def _runs(actions: Sequence[Action], order_by: str | None) -> list[list[Action]]:
+    """Neighbouring imputations of different columns form one run: none of
+    their statistics depends on another's fill. All else stands alone."""
+    runs: list[list[Action]] = []
+    for a in actions:
+        joins = a.operation == "impute_missing" and a.column != order_by and bool(runs) and all(
+            b.operation == "impute_missing" and b.column not in (a.column, order_by) for b in runs[-1])
+        if joins:
+            runs[-1].append(a)
+        else:
+            runs.append([a])
+    return runs

@@ -271,11 +271,15 @@ def constant_features(df: DataFrame, dominance_threshold: float = 0.95, min_non_
 
 
 def constant_columns(df: DataFrame, exclude: Sequence[str] = (), vc: DataFrame | None = None) -> DataFrame:
-    """At most one distinct non-null value (all-null columns included)."""
+    """At most one distinct non-null value (all-null columns included;
+    every column of an empty table)."""
     cols = [c for c in df.columns if c not in exclude]
     vc = vc if vc is not None else value_counts(df, cols)
-    return column_cardinality(vc.where(F.col("column").isin(*cols))).where(F.col("distinct_count") <= 1).select(
-        "column", "distinct_count")
+    card = column_cardinality(vc.where(F.col("column").isin(*cols)))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    counted = names.join(card, "column", "left").select(
+        "column", F.coalesce("distinct_count", F.lit(0).cast("long")).alias("distinct_count"))
+    return counted.where(F.col("distinct_count") <= 1)
 
 
 # --- A15, A16 -------------------------------------------------------------------

@@ -46,9 +46,12 @@ def to_number_sql(c: str) -> str:
             f"or regexp_matches({s}, '^[+-]?[0-9.].*[dDfF]$') then null else try_cast({s} as double) end")
 
 
-# DuckDB strptime formats matching functions.columns.DATE_FORMATS, in order.
+# DuckDB strptime formats matching functions.columns.DATE_FORMATS, in order
+# (of the zones only Z: a zone field would make the result a zoned type).
 DUCK_DATE_FORMATS = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d", "%m/%d/%Y", "%d/%m/%Y", "%d-%b-%Y",
-                     "%B %-d, %Y", "%Y%m%d")
+                     "%B %-d, %Y", "%Y%m%d", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S",
+                     "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%SZ", "%m-%d-%Y", "%d-%m-%Y", "%m.%d.%Y", "%d.%m.%Y",
+                     "%-d %b %Y", "%b %-d, %Y")
 
 
 def to_timestamp_sql(c: str) -> str:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tabsieve.operators import issues, prepare
+from tabsieve.operators import eda, issues, prepare, quality
 from tabsieve.operators.prepare import Action
 from tabsieve.plans import treatment
 from tabsieve.sources.tables import evidence_fingerprint, fingerprint_value
@@ -136,3 +136,37 @@ def test_normalize_nulls_fixture(spark):
                                                                                          "42")
     assert all(r["other"] == " N/A " for r in out)
     assert df.orderBy("k").collect()[1]["status"] == " N/A "
+
+
+def test_neighbouring_imputations_equal_one_by_one(spark):
+    rows = [(1, "b", 1.0, 5, "x"), (2, None, None, None, None), (3, "a", 3.0, 7, "y"), (4, "b", float("nan"), 9, "y"),
+            (5, "a", 8.0, None, None)]
+    df = spark.createDataFrame(rows, "k int, seg string, bal double, n int, tag string")
+    actions = [prepare.Action("impute_missing", c, s) for c, s in
+               (("seg", "mode"), ("bal", "median"), ("n", "mean"), ("tag", "mode"))]
+    for order_by in ("k", None):
+        single = df
+        for a in actions:
+            single = prepare.apply_action(single, a, order_by)
+        together = prepare.apply_actions(df, actions, order_by)
+        assert together.dtypes == single.dtypes
+        assert sorted(together.collect()) == sorted(single.collect())
+    picked = {r["k"]: r for r in prepare.apply_actions(df, actions, "k").collect()}
+    assert tuple(picked[2]) == (2, "b", 3.0, 7.0, "y")
+    with pytest.raises(ValueError):
+        prepare.apply_actions(df, [prepare.Action("impute_missing", "k", "mean"),
+                                   prepare.Action("impute_missing", "gone", "mode")])
+
+
+@pytest.mark.parametrize("text", ["2024-01-05T10:20:30", "2024-01-05T10:20:30Z", "2024-01-05T10:20:30.5",
+                                  "2024-01-05 10:20", "2024-01-05 10:20:30.25", "1/5/2024", "01/05/2024", "5 Jan 2024",
+                                  "Jan 5, 2024", "January 5, 2024", "01-05-2024", "01.05.2024", "05-Jan-2024"])
+def test_date_renderings(spark, text):
+    out = prepare.convert_date(spark.createDataFrame([(text,)], "d string"), "d").first()["d"]
+    assert (out.year, out.month, out.day) == (2024, 1, 5)
+
+
+def test_empty_table_has_a_row_per_column(spark):
+    df = spark.createDataFrame([], "a string, b double")
+    assert sorted(map(tuple, eda.column_information(df).collect())) == [("a", "string", 0, 0), ("b", "double", 0, 0)]
+    assert {r["column"] for r in quality.constant_columns(df).collect()} == {"a", "b"}

@@ -160,3 +160,21 @@ def test_shared_auc_metrics_match_single(spark):
     b = evaluation.classification_metrics(df, "label", "s", threshold=0.3, variant="b").first()
     for m in evaluation.METRICS:
         assert multi["a"][m] == pytest.approx(a[m]) and multi["b"][m] == pytest.approx(b[m])
+
+
+def test_categories_encode_by_value_order_and_unseen_as_zeros(spark):
+    train = spark.createDataFrame([(1.0, "b", None), (2.0, "a", None), (3.0, "b", None), (6.0, None, None)],
+                                  "x double, seg string, empty string")
+    prep = modeling.Preprocessor(["x"], ["seg", "empty"]).fit(train)
+    other = spark.createDataFrame([(2.5, "a", None), (2.5, "b", "q"), (2.5, "new", None), (2.5, None, None)],
+                                  "x double, seg string, empty string")
+    got = sorted(tuple(r["features"].toArray()) for r in prep.transform(other).collect())
+    x = got[0][0]
+    assert got == [(x, 0.0, 0.0), (x, 0.0, 1.0), (x, 0.0, 1.0), (x, 1.0, 0.0)]
+
+
+def test_many_categories_need_no_labels_on_the_driver(spark):
+    train = spark.range(5000).selectExpr("cast(id as double) x", "concat('c', id) as seg")
+    prep = modeling.Preprocessor([], ["seg"]).fit(train)
+    rows = prep.transform(train).collect()
+    assert len({int(r["features"].indices[0]) for r in rows}) == 5000 == rows[0]["features"].size
