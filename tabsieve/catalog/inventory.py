@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabsieve.operators import issues, quality
 from tabsieve.operators.rules import ValidationRule, evaluate_rules
 from tabsieve.registry import register
-from tabsieve.sources.derived import dirty_customer, table
+from tabsieve.sources.derived import LEDGER_SQL, dirty_customer, ledger, table
 from tabsieve.sources.tables import evidence_fingerprint
 from tabsieve.sqlkit import DIRTY_CTE, MARKERS_SQL, to_number_sql, to_timestamp_sql
 
@@ -267,3 +267,30 @@ LINEITEM_ONLY_RULES = tuple(r for r in LINEITEM_RULES
 register("issue_inventory_lineitem", f"""
 {inventory_sql('lineitem', LINEITEM_KINDS, LINEITEM_ONLY_RULES)}
 """)(lambda spark, d: _issue_projection(issues.issue_inventory(table(spark, d, "lineitem"), LINEITEM_ONLY_RULES)))
+
+# --- issue inventories in which I4, I8, I9 and I10 find something ----------------
+
+LEDGER_CTE = "ledger as (" + LEDGER_SQL.format(orders="orders") + ")"
+LEDGER_KINDS = {"order_ref": "text", "booked_on": "text", "currency": "text", "state": "text", "amount": "float"}
+LEDGER_DAY_KINDS = {c: LEDGER_KINDS[c] for c in ("booked_on", "currency", "state")}
+
+register("issue_inventory_ledger", f"""
+with {LEDGER_CTE} {inventory_sql('ledger', LEDGER_KINDS, ())}
+""")(lambda spark, d: _issue_projection(issues.issue_inventory(ledger(spark, d))))
+
+register("issue_inventory_ledger_days", f"""
+with {LEDGER_CTE}, days as (select booked_on, currency, state from ledger) {inventory_sql('days', LEDGER_DAY_KINDS, ())}
+""")(lambda spark, d: _issue_projection(issues.issue_inventory(ledger(spark, d).select(*LEDGER_DAY_KINDS))))
+
+# --- A28 with every comparison operator ------------------------------------------
+
+COMPARISON_RULES: tuple[ValidationRule, ...] = tuple(
+    ValidationRule(f"tax_{name}_discount", "column_comparison", "business_rule_violation", "l_tax",
+                   f"tax {operator} discount", "finance", comparison_column="l_discount",
+                   comparison_operator=operator)
+    for name, operator in (("below", "<"), ("at_most", "<="), ("above", ">"), ("at_least", ">="),
+                           ("equals", "=="), ("differs_from", "!=")))
+
+register("rule_comparisons", f"""
+{rules_sql('lineitem', COMPARISON_RULES, LINEITEM_ORDERS_KINDS)}
+""")(lambda spark, d: evaluate_rules(table(spark, d, "lineitem"), COMPARISON_RULES))

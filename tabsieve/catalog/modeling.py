@@ -8,10 +8,12 @@ from tabsieve.operators import evaluation, modeling
 from tabsieve.registry import register
 from tabsieve.sources.derived import (
     SCORED_LABELS_SQL,
+    UNREADY_CUSTOMER_SQL,
     dirty_customer,
     labeled_documents,
     scored_labels,
     table,
+    unready_customer,
 )
 from tabsieve.sqlkit import DIRTY_CTE, MARKERS_SQL, to_timestamp_sql
 
@@ -47,6 +49,20 @@ union all select 'status', case when count(*) filter (where severity = 'error')
  when count(*) filter (where severity = 'warning') > 0 then 'WARNING' else 'PASS' end, null, null from found
 """)(lambda spark, d: modeling.readiness_check(dirty_customer(spark, d), "target"))
 
+register("readiness_check_blocked", f"""
+with u as ({UNREADY_CUSTOMER_SQL.format(customer="customer")}), f as (
+ select count(*) filter (where target is null) as invalid_target,
+  count(*) filter (where isinf(acctbal)) as infinite, count(*) filter (where isnan(acctbal)) as nans from u
+), found as (
+ select 'error' as severity, 'invalid_target_values' as code, 'target' as "column", invalid_target as n from f
+  where invalid_target > 0
+ union all select 'error', 'infinite_values', 'acctbal', infinite from f where infinite > 0
+ union all select 'warning', 'missing_or_blank_values', 'acctbal', nans from f where nans > 0
+ union all select 'error', 'not_two_classes', 'target', count(distinct target) from u having count(distinct target) <> 2
+)
+select * from found union all select 'status', 'BLOCK', null, null from found where severity = 'error' group by severity
+""")(lambda spark, d: modeling.readiness_check(unready_customer(spark, d), "target"))
+
 # ---------------------------------------------------------------- M1
 
 

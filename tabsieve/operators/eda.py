@@ -15,7 +15,7 @@ from tabsieve.functions.columns import (
     require_columns,
 )
 from tabsieve.plans.columnwise import count_if, count_present, numeric, pair_correlations, per_column
-from tabsieve.operators.valuecounts import column_cardinality, value_counts
+from tabsieve.operators.valuecounts import column_cardinality, value_counts, value_keys
 from tabsieve.plans.ranking import approx_quantiles, exact_quantiles
 
 # --- fixed values -----------------------------------------------------------
@@ -156,7 +156,7 @@ def target_rate_by_category(df: DataFrame, target: str, check: bool = True,
     long = df.select(y.alias("_y"), *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         ["_y"], cols, "column", "value")
     if max_levels is not None:
-        small = column_cardinality(value_counts(df, cols)).where(F.col("distinct_count") <= max_levels)
+        small = column_cardinality(value_keys(df, cols)).where(F.col("distinct_count") <= max_levels)
         long = long.join(F.broadcast(small.select("column")), "column", "left_semi")
     return long.groupBy("column", "value").agg(
         F.count("_y").alias("n"), F.avg("_y").alias("target_rate"))
@@ -170,7 +170,7 @@ def category_target_distribution(df: DataFrame, target: str, k: int = 20, max_le
         return df.sparkSession.createDataFrame([], "column string, value string, target_value string, n bigint")
     long = df.select(F.col(target).cast("string").alias("_t"), *[F.col(c).cast("string").alias(c) for c in cols]) \
         .unpivot(["_t"], cols, "column", "value")
-    small = column_cardinality(value_counts(df, cols)).where(F.col("distinct_count") <= max_levels)
+    small = column_cardinality(value_keys(df, cols)).where(F.col("distinct_count") <= max_levels)
     long = long.join(F.broadcast(small.select("column")), "column", "left_semi")
     counts = long.where(F.col("_t").isNotNull()).groupBy("column", "value", "_t").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("column", "value").orderBy(F.desc("n"), F.asc("_t"))
@@ -213,7 +213,7 @@ def schema_summary(df: DataFrame) -> DataFrame:
 
 def column_information(df: DataFrame) -> DataFrame:
     """Column, dtype, genuine missing count, distinct non-null count."""
-    card = column_cardinality(value_counts(df))
+    card = column_cardinality(value_keys(df))
     meta = schema_summary(df).select("column", "dtype", "position")
     none = F.lit(0).cast("long")  # an empty table still has one row per column
     return meta.join(card, "column", "left").select(

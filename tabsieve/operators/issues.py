@@ -27,7 +27,7 @@ from tabsieve.functions.columns import (
 )
 from tabsieve.operators import quality
 from tabsieve.operators.rules import RULE_TREATMENTS, ValidationRule, check_unique_rule_ids, evaluate_rules
-from tabsieve.operators.valuecounts import value_counts
+from tabsieve.operators.valuecounts import spelling_groups, value_keys
 from tabsieve.plans.columnwise import count_if, count_present, per_column
 from tabsieve.plans.lineage import materialize
 
@@ -125,8 +125,8 @@ def fake_null_issues(metrics: DataFrame) -> DataFrame:  # I2
 
 
 def categorical_inconsistency_issues(df: DataFrame, vc: DataFrame) -> DataFrame:  # I3
-    groups = quality.categorical_inconsistencies(df, vc=vc).groupBy("column").agg(
-        F.count_distinct("normalized").alias("groups"), F.count(F.lit(1)).alias("variants"))
+    groups = spelling_groups(vc).groupBy("column").agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("n_variants").alias("variants"))
     pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     rows = groups.withColumn("position", pos[F.col("column")])
     return _issue(rows, "categorical_inconsistency",
@@ -230,10 +230,10 @@ def issue_inventory(df: DataFrame, rules: Sequence[ValidationRule] = ()) -> Data
     """The ordered union of all detectors (order by ``ordinal``).
 
     The two shared aggregates (row-level metrics of all columns, value
-    counts of all columns) are materialized once, so the table is scanned
+    keys of all columns, without texts) are materialized once, so the table is scanned
     once for each, plus once for duplicates and once for rules."""
     metrics = materialize(scan_metrics(df))
-    vc = materialize(value_counts(df))
+    vc = materialize(value_keys(df))
     parts = [
         missing_value_issues(df, metrics),
         fake_null_issues(metrics),

@@ -26,7 +26,17 @@ from tabsieve.functions.columns import (
     to_number,
     to_timestamp_any,
 )
-from tabsieve.operators.valuecounts import column_cardinality, value_counts
+from tabsieve.operators.valuecounts import (
+    BLANK,
+    EDGE,
+    column_cardinality,
+    has_trait,
+    row_key,
+    spelling_groups,
+    text_key,
+    value_counts,
+    value_keys,
+)
 from tabsieve.plans.columnwise import Metric, count_if, count_present, per_column
 from tabsieve.plans.lineage import materialize
 from tabsieve.plans.ranking import quantiles_from_slices, slice_weights, value_weights
@@ -66,10 +76,11 @@ def textual_null_counts(df: DataFrame) -> DataFrame:
 # --- A3, A4 -------------------------------------------------------------------
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """A3: rows that repeat an earlier identical row. Grouping on all columns
-    is a hash aggregate with map-side combine, so a hot duplicate collapses
-    before the shuffle."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_k"))
+    """A3: rows that repeat an earlier identical row. Rows are grouped by a
+    128-bit key with map-side combine: no cell is shuffled, and a hot
+    duplicate collapses before the shuffle."""
+    key = row_key([F.col(f"`{c}`") for c in df.columns])
+    groups = df.groupBy(key.alias("_row")).agg(F.count(F.lit(1)).alias("_k"))
     return groups.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
@@ -132,11 +143,9 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
 
 
 def numeric_weights_from_value_counts(vc: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """``column, v, w`` for numeric columns from the value counts (typed
-    integers and doubles; other numeric types via their exact text)."""
-    v = F.coalesce(F.col("num"), F.col("value").cast("double"))
+    """``column, v, w`` for numeric columns from the value keys."""
     return (vc.where(F.col("column").isin(*numeric) & F.col("value").isNotNull())
-            .groupBy("column", v.alias("v")).agg(F.sum("n").alias("w")))
+            .groupBy("column", F.col("num").alias("v")).agg(F.sum("n").alias("w")))
 
 
 # --- A7, A8 -------------------------------------------------------------------
@@ -158,27 +167,33 @@ def numeric_like_columns(df: DataFrame, threshold: float = 0.8, evidence_names:
 
 # --- A9, A10, A11, A12 -------------------------------------------------------
 
+BROADCAST_GROUPS = 500_000  # rows of fixed width, about 50 bytes each
+
+
 def categorical_inconsistencies(df: DataFrame, columns: Sequence[str] | None = None,
-                                skip_markers: bool = True, vc: DataFrame | None = None) -> DataFrame:
+                                skip_markers: bool = True) -> DataFrame:
     """A9 (A10 with ``skip_markers=False``): raw spellings that share a
     strip+lower form, one row per spelling, for groups with > 1 spelling.
 
     Long form ``column, normalized, variant, n_variants``: the list of
-    variants of a group is data, so it is not folded into one array.
-    """
+    variants of a group is data, so it is not folded into one array. Groups
+    are found by key; only the texts of those with more than one spelling are
+    fetched, by a second pass that joins the group keys: broadcast after a
+    count of their rows, else left to AQE, which can split a hot group."""
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType)
             and (columns is None or f.name in columns)]
-    vc = vc if vc is not None else value_counts(df, text)
-    spellings = vc.where(F.col("column").isin(*text) & F.col("value").isNotNull()).select(
-        "column", norm("value").alias("normalized"), F.col("value").alias("variant"))
-    if skip_markers:
-        spellings = spellings.where(~F.col("normalized").isin(*NULL_MARKERS))
-    # Group sizes by aggregate (partial counts before the shuffle), joined
-    # back on the group key: unlike a window partition, a group with very
-    # many spellings can be split by AQE's skew-join handling.
-    groups = spellings.groupBy("column", "normalized").agg(F.count(F.lit(1)).alias("n_variants")) \
-        .where(F.col("n_variants") > 1)
-    return spellings.join(groups, ["column", "normalized"]).select("column", "normalized", "variant", "n_variants")
+    if not text:
+        return df.sparkSession.createDataFrame(
+            [], "column string, normalized string, variant string, n_variants bigint")
+    groups = materialize(spelling_groups(value_keys(df, text), skip_markers).drop("rows"))
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+    cells = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("variant")) for c in text])).alias("r"))
+    cells = cells.select("r.*").where(F.col("variant").isNotNull()).withColumn("form", text_key(norm("variant")))
+    found = cells.join(groups, ["column", "form"]).groupBy("column", "variant", "n_variants").agg(
+        F.count(F.lit(1)).alias("n"))
+    return found.select("column", norm("variant").alias("normalized"), "variant", "n_variants")
 
 
 def string_formatting_issues(df: DataFrame, columns: Sequence[str] | None = None,
@@ -194,17 +209,12 @@ def string_formatting_issues(df: DataFrame, columns: Sequence[str] | None = None
         wrong = [c for c in columns if c not in text]
         if wrong:
             raise TypeError(f"Column(s) {wrong} must contain string-like values.")
-    vc = vc if vc is not None else value_counts(df, text)
+    vc = vc if vc is not None else value_keys(df, text)
     present = vc.where(F.col("column").isin(*text) & F.col("value").isNotNull())
     ws = present.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(has_edge_whitespace("value"), F.col("n"))), F.lit(0)).alias("whitespace_count"))
-    groups = (
-        present.where(strip("value") != F.lit(""))
-        .groupBy("column", norm("value").alias("normalized"))
-        .agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("rows"))
-    )
-    case = groups.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("spellings") > 1, F.col("rows"))), F.lit(0)).alias("case_inconsistency_count"))
+        F.coalesce(F.sum(F.when(has_trait(EDGE), F.col("n"))), F.lit(0)).alias("whitespace_count"))
+    case = spelling_groups(present.where(~has_trait(BLANK)), skip_markers=False).groupBy("column").agg(
+        F.sum("rows").alias("case_inconsistency_count"))
     spark = df.sparkSession
     all_cols = spark.createDataFrame([(c,) for c in text], "column string")
     return all_cols.join(ws, "column", "left").join(case, "column", "left").select(
@@ -231,7 +241,7 @@ def identifier_columns(df: DataFrame, threshold: float = 0.95, min_non_null_coun
 
     ``approx_rsd`` switches to one pass of HyperLogLog
     (``approx_count_distinct``, relative standard deviation ``approx_rsd``)
-    instead of the exact value-count frame: no shuffle of values."""
+    instead of the exact value keys: no shuffle of keys."""
     _check_threshold("threshold", threshold)
     _check_min_count(min_non_null_count)
     cols = [f.name for f in df.schema.fields
@@ -243,7 +253,7 @@ def identifier_columns(df: DataFrame, threshold: float = 0.95, min_non_null_coun
                                      lambda x: F.approx_count_distinct(x, approx_rsd), "string"),
         })
     else:
-        vc = vc if vc is not None else value_counts(df, cols)
+        vc = vc if vc is not None else value_keys(df, cols)
         card = column_cardinality(vc.where(F.col("column").isin(*cols)))
     ratio = F.col("distinct_count") / F.col("non_null_count")
     return card.where((F.col("non_null_count") >= min_non_null_count) & (ratio >= threshold)).select(
@@ -256,7 +266,7 @@ def constant_features(df: DataFrame, dominance_threshold: float = 0.95, min_non_
     values, a dominant value share >= threshold -> near-constant."""
     _check_threshold("dominance_threshold", dominance_threshold)
     _check_min_count(min_non_null_count)
-    vc = vc if vc is not None else value_counts(df)
+    vc = vc if vc is not None else value_keys(df)
     card = column_cardinality(vc)
     share = F.col("top_count") / F.col("non_null_count")
     kind = (
@@ -274,7 +284,7 @@ def constant_columns(df: DataFrame, exclude: Sequence[str] = (), vc: DataFrame |
     """At most one distinct non-null value (all-null columns included;
     every column of an empty table)."""
     cols = [c for c in df.columns if c not in exclude]
-    vc = vc if vc is not None else value_counts(df, cols)
+    vc = vc if vc is not None else value_keys(df, cols)
     card = column_cardinality(vc.where(F.col("column").isin(*cols)))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     counted = names.join(card, "column", "left").select(
@@ -344,7 +354,7 @@ def profile_headline(df: DataFrame) -> DataFrame:
         "numeric_like": count_present(lambda c, dt: to_number(c) if is_text_type(dt) else F.lit(None)),
         "non_null": count_present(lambda c, dt: F.col(c)),
     }))
-    vc = materialize(value_counts(df))
+    vc = materialize(value_keys(df))
     like = metrics.where(F.col("column").isin(*text) & (F.col("non_null") > 0)
                          & (F.try_divide(F.col("numeric_like"), F.col("non_null")) >= 0.8))
     parts = [
@@ -356,9 +366,9 @@ def profile_headline(df: DataFrame) -> DataFrame:
                                        F.col("duplicate_rows").alias("affected_rows")),
         like.agg(F.lit("numeric_like_text").alias("check"), F.count(F.lit(1)).alias("affected_columns"),
                  F.sum("numeric_like").alias("affected_rows")),
-        categorical_inconsistencies(df, vc=vc).agg(F.lit("categorical_inconsistency").alias("check"),
-                                                   F.count_distinct("column").alias("affected_columns"),
-                                                   F.count(F.lit(1)).alias("affected_rows")),
+        spelling_groups(vc).agg(F.lit("categorical_inconsistency").alias("check"),
+                                F.count_distinct("column").alias("affected_columns"),
+                                F.sum("n_variants").alias("affected_rows")),
         string_formatting_issues(df, vc=vc).where(F.col("whitespace_count") > 0).agg(
             F.lit("leading_or_trailing_whitespace").alias("check"),
             F.count(F.lit(1)).alias("affected_columns"), F.sum("whitespace_count").alias("affected_rows")),

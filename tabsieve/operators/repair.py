@@ -1,8 +1,8 @@
 """Repairs of a dirty account table with invariants.
 
 Each repair is a column expression; the only statistic (median of valid
-ages) is one exact-median job returning a scalar. Invariants compare source
-and result by key with one full outer join and one aggregate, instead of
+ages) is one exact-median job returning a scalar. Invariants compare the cells
+that source and result hold per key by hash sums in one aggregate, instead of
 relying on row positions.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.columns import strip, to_number, to_timestamp_any
 from tabsieve.operators.quality import duplicate_row_count
-from tabsieve.plans.ranking import exact_quantiles
+from tabsieve.plans.lineage import materialize
+from tabsieve.plans.ranking import quantiles_from_slices, slice_weights
 
 # --- fixed values -----------------------------------------------------------
 CURRENCY_SIGN = "£"
@@ -63,21 +64,34 @@ class RepairResult:
     age_median: float
 
 
-def valid_age_median(df: DataFrame, column: str = "age") -> float:
-    """R4 statistic: exact median of the valid ages (one scalar)."""
-    valid = df.where(~invalid_age(column)).select(to_number(column).alias(column))
-    row = exact_quantiles(valid, [column], [0.5]).first()
+def _age_weights(df: DataFrame, column: str, *more: Column) -> DataFrame:
+    """``column, v, w`` per distinct valid age (null: all the others), and
+    ``more`` aggregates, in one pass."""
+    age = F.when(~invalid_age(column), to_number(column)).alias("v")
+    return df.groupBy(age).agg(F.count(F.lit(1)).alias("w"), *more).withColumn("column", F.lit(column))
+
+
+def _median_of(weights: DataFrame) -> float:
+    valid = weights.where(F.col("v").isNotNull()).select("column", "v", "w")
+    row = quantiles_from_slices(slice_weights(valid), [0.5]).first()
     if row is None:
         raise RepairError("No valid ages available for median repair")
     return float(row["value"])
 
 
+def valid_age_median(df: DataFrame, column: str = "age") -> float:
+    """R4 statistic: exact median of the valid ages (one scalar)."""
+    return _median_of(_age_weights(df, column))
+
+
 def repair_accounts(df: DataFrame) -> RepairResult:
-    """R1 to R6 in one projection (plus the median job and a parse check)."""
-    unparsed = df.where(parse_dates("signup_date").isNull()).limit(1).count()
-    if unparsed:
+    """R1 to R6 in one projection, after one pass for the statistics (ages
+    and the number of dates that do not parse)."""
+    unparsed = F.count(F.when(parse_dates("signup_date").isNull(), F.lit(1))).alias("unparsed")
+    ages = materialize(_age_weights(df, "age", unparsed))
+    if ages.agg(F.sum("unparsed")).first()[0]:
         raise RepairError("Some signup dates could not be parsed")
-    median = valid_age_median(df)
+    median = _median_of(ages)
     monthly = currency_to_number("monthly_charge")
     age = F.when(invalid_age("age"), F.lit(median)).otherwise(to_number("age"))
     total = F.when(extreme_total("total_charge"), monthly * F.col("tenure_months")).otherwise(
@@ -109,16 +123,22 @@ def repair_invariants(source: DataFrame, result: DataFrame, key: str = "customer
     spark = source.sparkSession
     expected = [c for c in source.columns if c not in LEAKAGE_COLUMNS]
     unchanged = [c for c in expected if c not in CHANGED_COLUMNS and c != key]
-    s = source.select(*[F.col(c).alias(f"s_{c}") for c in [key, *unchanged]])
-    r = result.select(*[F.col(c).alias(f"r_{c}") for c in [key, *unchanged]])
-    paired = s.join(r, F.col(f"s_{key}") == F.col(f"r_{key}"), "full_outer")
-    checks = [
-        F.count(F.when(F.col(f"s_{key}").isNull() | F.col(f"r_{key}").isNull(), F.lit(1))).alias("row_pairing"),
-    ]
-    for c in unchanged:
+    # Per key, both sides' cells as signed hash sums: zero where both hold the
+    # same cells as often. An aggregate, so hot or repeated keys combine
+    # before the shuffle and never pair up; null keys are one key.
+
+    def signed(frame: DataFrame, sign: int) -> DataFrame:
+        cells = [(F.xxhash64(c, F.col(c).isNull()).cast("decimal(38,0)") * sign).alias(f"_h{i}")
+                 for i, c in enumerate(unchanged)]
+        return frame.select(F.col(key).alias("_key"), F.lit(sign).alias("_side"), *cells)
+
+    sums = signed(source, 1).unionByName(signed(result, -1)).groupBy("_key").agg(
+        F.sum("_side").alias("_rows"), *[F.sum(f"_h{i}").alias(f"_h{i}") for i in range(len(unchanged))])
+    checks = [F.coalesce(F.sum(F.abs("_rows")), F.lit(0)).alias("row_pairing")]
+    for i, c in enumerate(unchanged):
         kind = "protected_column_changed" if c in PROTECTED_COLUMNS else "unchanged_column_changed"
-        checks.append(F.count(F.when(~F.col(f"s_{c}").eqNullSafe(F.col(f"r_{c}")), F.lit(1))).alias(f"{kind}:{c}"))
-    joined = paired.agg(*checks)
+        checks.append(F.count(F.when(F.col(f"_h{i}") != 0, F.lit(1))).alias(f"{kind}:{c}"))
+    joined = sums.agg(*checks)
     ranges = result.agg(
         F.count(F.when(invalid_age("age"), F.lit(1))).alias("invalid_ages_remain"),
         F.count(F.when(F.col("monthly_charge").try_cast("double").isNull(), F.lit(1))).alias("unparseable_charges_remain"),

@@ -18,7 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.columns import is_text_type, nan_to_null
+from tabsieve.functions.columns import (
+    has_edge_whitespace,
+    is_marker_text,
+    is_numeric_type,
+    is_text_type,
+    nan_to_null,
+    norm,
+    stripped_or_null,
+)
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -70,7 +78,65 @@ def column_cardinality(vc: DataFrame) -> DataFrame:
     )
 
 
-def text_value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    cols = [f.name for f in df.schema.fields
-            if is_text_type(f.dataType) and (columns is None or f.name in columns)]
-    return value_counts(df, cols)
+BLANK, EDGE, MARKER = 1, 2, 4  # bits of ``traits``
+
+
+def text_key(value: Column) -> Column:
+    """128 bits that stand for a value in a shuffle: two differently seeded
+    64-bit hashes. Null stays null."""
+    return F.when(value.isNotNull(), F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b")))
+
+
+def row_key(columns: Sequence[Column]) -> Column:
+    """128 bits that stand for a whole row. Hashing skips nulls, so where
+    they are is hashed too."""
+    cells = [*columns, *[c.isNull() for c in columns]] or [F.lit(0)]
+    return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *cells).alias("b"))
+
+
+def value_keys(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """:func:`value_counts` for checks that need no value back: ``column,
+    value, num, form, traits, n`` where ``value`` and ``form`` (strip + lower)
+    are keys of fixed width, so no text is shuffled or stored however long it
+    is. ``num`` is set for every numeric type; ``form`` and ``traits`` (blank,
+    edge white space, null marker) for text columns."""
+    cols = list(columns) if columns is not None else list(df.columns)
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    key = "struct<a: bigint, b: bigint>"
+    if not cols:
+        return df.sparkSession.createDataFrame(
+            [], f"column string, value {key}, num double, form {key}, traits int, n bigint")
+
+    def record(c: str) -> list[Column]:
+        dt = fields[c]
+        value = nan_to_null(c, dt)
+        if isinstance(dt, INTEGRAL):
+            value_key = F.when(value.isNotNull(), F.struct(value.cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+        else:  # a hash takes 0.0 and -0.0 as one, their texts differ
+            value_key = text_key(value.cast("double" if isinstance(dt, (T.DoubleType, T.FloatType)) else "string"))
+        text = is_text_type(dt)
+        traits = (F.when(stripped_or_null(value).isNull(), BLANK).otherwise(0)
+                  + F.when(has_edge_whitespace(value), EDGE).otherwise(0)
+                  + F.when(is_marker_text(value), MARKER).otherwise(0)) if text else F.lit(0)
+        return [value_key.cast(key).alias("value"),
+                (value.cast("double") if is_numeric_type(dt) else F.lit(None).cast("double")).alias("num"),
+                (text_key(norm(value)) if text else F.lit(None)).cast(key).alias("form"), traits.alias("traits")]
+
+    records = F.explode(F.array(*[F.struct(F.lit(i).alias("_ci"), *record(c)) for i, c in enumerate(cols)])).alias("r")
+    counted = df.select(records).select("r.*").groupBy("_ci", "value", "num", "form", "traits").agg(
+        F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return counted.select(F.element_at(names, F.col("_ci") + 1).alias("column"), "value", "num", "form", "traits", "n")
+
+
+def has_trait(trait: int) -> Column:
+    return F.col("traits").bitwiseAND(F.lit(trait)) != 0
+
+
+def spelling_groups(keys: DataFrame, skip_markers: bool = True) -> DataFrame:
+    """``column, form, n_variants, rows``: forms with more than one spelling."""
+    present = keys.where(F.col("form").isNotNull())
+    if skip_markers:
+        present = present.where(~has_trait(MARKER))
+    return present.groupBy("column", "form").agg(F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("rows")) \
+        .where(F.col("n_variants") > 1)

@@ -52,6 +52,30 @@ from {orders}
 """
 
 
+# orders as a ledger: an identifying text, a date text with some non-dates, a
+# constant and a nearly constant column; and the same without the identifier,
+# so that rows repeat.
+_LEDGER_COMMON = """
+select 'O-' || cast(o_orderkey as {text}) as order_ref,
+ case when o_orderkey % 9 = 0 then 'soon' else {fmt_iso} end as booked_on,
+ 'USD' as currency,
+ case when o_orderkey % 40 = 0 then 'late' else 'open' end as state,
+ case when o_orderkey % 31 = 0 then null else o_totalprice end as amount
+from {{orders}}
+"""
+LEDGER_SQL = _LEDGER_COMMON.format(text="varchar", fmt_iso="strftime(o_orderdate, '%Y-%m-%d')")
+SPARK_LEDGER_SQL = _LEDGER_COMMON.format(text="string", fmt_iso="date_format(o_orderdate, 'yyyy-MM-dd')")
+
+# a table that is not ready for modeling: three target classes, infinities
+UNREADY_CUSTOMER_SQL = """
+select c_custkey, c_mktsegment as segment,
+ case when c_custkey % 50 = 0 then cast('Infinity' as double) when c_custkey % 51 = 0 then cast('NaN' as double)
+      else c_acctbal end as acctbal,
+ case when c_acctbal > 5000 then 1 when c_acctbal < 0 then 2 when c_custkey % 97 <> 0 then 0 end as target
+from {customer}
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -64,6 +88,14 @@ def orders_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SPARK_ORDERS_TEXT_DATES_SQL, orders=table(spark, sf_dir, "orders"))
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SPARK_LEDGER_SQL, orders=table(spark, sf_dir, "orders"))
+
+
+def unready_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(UNREADY_CUSTOMER_SQL, customer=table(spark, sf_dir, "customer"))
+
+
 def duck(sql: str, **tables: str) -> str:
     """The DuckDB form of a derived view: table names substituted."""
     return sql.format(**{k: v for k, v in tables.items()})

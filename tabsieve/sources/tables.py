@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.columns import is_text_type, to_number
+from tabsieve.operators.valuecounts import row_key
 from tabsieve.plans.columnwise import count_if, count_present, per_column
 
 # --- fixed values -----------------------------------------------------------
@@ -203,12 +204,13 @@ def dataset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
         return spark.createDataFrame([(None, None, False)], "left_only long, right_only long, equal boolean")
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in left.schema.fields]
     # One aggregate instead of two EXCEPT ALL (each a union plus an aggregate
-    # of both tables): per distinct row, its multiplicity on each side.
-    # Grouping is null-safe like EXCEPT ALL, and a row repeated many times
-    # collapses in the map-side partial aggregate.
+    # of both tables): per distinct row, its multiplicity on each side. Rows
+    # are grouped by a 128-bit key, so no cell is shuffled; nulls are part of
+    # it like in EXCEPT ALL, and a row repeated many times collapses in the
+    # map-side partial aggregate.
     tagged = left.select(*cols, F.lit(1).alias("_in_left")).unionByName(
         right.select(*cols, F.lit(0).alias("_in_left")))
-    per_row = tagged.groupBy(*left.columns).agg(
+    per_row = tagged.groupBy(row_key([F.col(f"`{c}`") for c in left.columns]).alias("_row")).agg(
         F.sum("_in_left").alias("_nl"), F.count(F.lit(1)).alias("_n"))
     surplus = F.col("_nl") - (F.col("_n") - F.col("_nl"))
     both = per_row.agg(

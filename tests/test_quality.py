@@ -166,3 +166,36 @@ def test_approximate_fast_paths(spark, sf_dir):
     cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
     assert [r["column"] for r in quality.identifier_columns(cust, approx_rsd=0.01).collect()] == \
         [r["column"] for r in quality.identifier_columns(cust).collect()]
+
+
+def test_value_keys_stand_for_values(spark):
+    from tabsieve.operators.valuecounts import column_cardinality, spelling_groups, value_keys
+
+    long = "x" * 100_000
+    rows = [(long, 0.0, 1), (long + " ", -0.0, 1), (long.upper(), float("nan"), 2), ("N/A", 1.5, None), ("n/a", 1.5, 3),
+            ("", None, 3), (None, 2.5, 3)]
+    keys = value_keys(spark.createDataFrame(rows, "t string, d double, i int"))
+    card = {r["column"]: (r["non_null_count"], r["distinct_count"], r["top_count"]) for r in
+            column_cardinality(keys).collect()}
+    assert card == {"t": (6, 6, 1), "d": (5, 3, 2), "i": (6, 3, 3)}  # 0.0 and -0.0 are one value
+    assert [(r["n_variants"], r["rows"]) for r in spelling_groups(keys).collect()] == [(3, 3)]
+    assert sorted(r["n_variants"] for r in spelling_groups(keys, skip_markers=False).collect()) == [2, 3]
+    assert "string" not in dict(keys.dtypes)["value"] + dict(keys.dtypes)["form"]
+
+
+def test_spellings_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [("A", "x"), ("a ", "X"), ("b", "x"), ("null", "y"), (" NULL", None)]
+    df = spark.createDataFrame(rows, "p string, q string")
+
+    def found():
+        return sorted(tuple(r) for r in quality.categorical_inconsistencies(df).collect())
+
+    small = found()
+    assert small == [("p", "a", "A", 2), ("p", "a", "a ", 2), ("q", "x", "X", 2), ("q", "x", "x", 2)]
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    assert found() == small
+
+
+def test_duplicate_rows_tell_nulls_apart(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", None), (None, None)], "p string, q string")
+    assert quality.duplicate_row_count(df).first()[0] == 1

@@ -135,3 +135,21 @@ def test_dataset_difference_matches_multiset_count(spark):
     assert row["left_only"] == sum((lc - rc).values()) == 5
     assert row["right_only"] == sum((rc - lc).values()) == 2
     assert row["equal"] is False
+
+
+def test_invariants_with_repeated_and_null_keys(spark):
+    schema = ("customer_id int, account_number string, age string, monthly_charge double, tenure_months int, "
+              "total_charge double, signup_date string, churned int")
+    rows = [(1, "a", "30", 1.0, 2, 2.0, "2024-01-01", 0), (1, "b", "31", 1.0, 3, 2.0, "2024-01-01", 1),
+            (None, "c", "32", 1.0, 4, 2.0, "2024-01-01", 0)]
+    same = spark.createDataFrame(rows, schema)
+
+    def failed(result):
+        found = repair.repair_invariants(same, result).where("violations > 0").collect()
+        return {r["invariant"]: r["violations"] for r in found}
+
+    assert failed(spark.createDataFrame(rows[::-1], schema)) == {}
+    changed = [rows[0], rows[1][:1] + ("x",) + rows[1][2:], rows[2]]
+    assert failed(spark.createDataFrame(changed, schema)) == {"protected_column_changed:account_number": 1}
+    lost = failed(spark.createDataFrame(rows[:2], schema))
+    assert lost["row_count_changed"] == 1 and lost["row_pairing"] == 1
