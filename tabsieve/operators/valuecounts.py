@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsieve.functions.columns import (
-    has_edge_whitespace,
-    is_marker_text,
+    MAX_MARKER_LENGTH,
+    NULL_MARKERS,
     is_numeric_type,
     is_text_type,
     nan_to_null,
-    norm,
-    stripped_or_null,
+    strip,
 )
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -107,26 +106,49 @@ def value_keys(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
         return df.sparkSession.createDataFrame(
             [], f"column string, value {key}, num double, form {key}, traits int, n bigint")
 
+    # Each text is stripped and lower-cased once, in projections of their own
+    # (used several times below, so Catalyst does not inline them).
+    text = {c: i for i, c in enumerate(cols) if is_text_type(fields[c])}
+    rows = df.select(*cols, *[strip(c).alias(f"_strip_{i}") for c, i in text.items()])
+    rows = rows.select("*", *[F.lower(f"_strip_{i}").alias(f"_form_{i}") for i in text.values()])
+
+    no_long, no_double = F.lit(None).cast("long"), F.lit(None).cast("double")
+
     def record(c: str) -> list[Column]:
+        """Flat cells, which Spark groups faster than structs. Integers and
+        doubles stand for themselves, all else is hashed."""
         dt = fields[c]
         value = nan_to_null(c, dt)
+        a, b, num, fa, fb, traits = no_long, no_long, no_double, no_long, no_long, F.lit(0)
         if isinstance(dt, INTEGRAL):
-            value_key = F.when(value.isNotNull(), F.struct(value.cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-        else:  # a hash takes 0.0 and -0.0 as one, their texts differ
-            value_key = text_key(value.cast("double" if isinstance(dt, (T.DoubleType, T.FloatType)) else "string"))
-        text = is_text_type(dt)
-        traits = (F.when(stripped_or_null(value).isNull(), BLANK).otherwise(0)
-                  + F.when(has_edge_whitespace(value), EDGE).otherwise(0)
-                  + F.when(is_marker_text(value), MARKER).otherwise(0)) if text else F.lit(0)
-        return [value_key.cast(key).alias("value"),
-                (value.cast("double") if is_numeric_type(dt) else F.lit(None).cast("double")).alias("num"),
-                (text_key(norm(value)) if text else F.lit(None)).cast(key).alias("form"), traits.alias("traits")]
-
+            a = value.cast("long")
+        elif isinstance(dt, (T.DoubleType, T.FloatType)):
+            num = value.cast("double")
+        else:
+            shown = value.cast("string")
+            a, b = (F.when(shown.isNotNull(), h) for h in (F.xxhash64(shown), F.xxhash64(F.lit(1), shown)))
+            num = value.cast("double") if is_numeric_type(dt) else no_double
+        if c in text:
+            stripped, lowered = F.col(f"_strip_{text[c]}"), F.col(f"_form_{text[c]}")
+            fa, fb = (F.when(lowered.isNotNull(), h) for h in (F.xxhash64(lowered), F.xxhash64(F.lit(1), lowered)))
+            marker = (F.length(stripped) <= MAX_MARKER_LENGTH) & lowered.isin(*NULL_MARKERS)
+            traits = (F.when(F.octet_length(stripped) == 0, BLANK).otherwise(0)
+                      + F.when(F.octet_length(stripped) != F.octet_length(value), EDGE).otherwise(0)
+                      + F.when(marker, MARKER).otherwise(0))
+        return [x.alias(n) for x, n in zip((a, b, num, fa, fb, traits), flat, strict=True)]
+
+    flat = ("_a", "_b", "num", "_fa", "_fb", "traits")
     records = F.explode(F.array(*[F.struct(F.lit(i).alias("_ci"), *record(c)) for i, c in enumerate(cols)])).alias("r")
-    counted = df.select(records).select("r.*").groupBy("_ci", "value", "num", "form", "traits").agg(
-        F.count(F.lit(1)).alias("n"))
+    counted = rows.select(records).select("r.*").groupBy("_ci", *flat).agg(F.count(F.lit(1)).alias("n"))
     names = F.array(*[F.lit(c) for c in cols])
-    return counted.select(F.element_at(names, F.col("_ci") + 1).alias("column"), "value", "num", "form", "traits", "n")
+    integral = F.col("_ci").isin(*[i for i, c in enumerate(cols) if isinstance(fields[c], INTEGRAL)])
+    value = F.struct(F.coalesce("_a", F.xxhash64("num")).alias("a"), F.coalesce("_b", F.lit(0)).cast("long").alias("b"))
+    form = F.struct(F.col("_fa").alias("a"), F.col("_fb").alias("b"))
+    return counted.select(
+        F.element_at(names, F.col("_ci") + 1).alias("column"),
+        F.when(F.col("_a").isNotNull() | F.col("num").isNotNull(), value).alias("value"),
+        F.when(integral, F.col("_a").cast("double")).otherwise(F.col("num")).alias("num"),
+        F.when(F.col("_fa").isNotNull(), form).alias("form"), "traits", "n")
 
 
 def has_trait(trait: int) -> Column:
