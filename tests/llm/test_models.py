@@ -195,3 +195,25 @@ def test_training_lowers_the_loss(spark, sf_dir):
     before = score(params)
     after = score(lm_scoring.train_group(params, ids[:120], 0.01, batch=32))
     assert after > before * 0.95  # both negative
+
+
+def test_model_learns_from_every_document(spark):
+    known = lm_scoring.Subwords(lm_scoring.vocabulary_path())
+    first = {}
+    for word in (a + b + c for a in "bcdfgmpst" for b in "aeiou" for c in "dlmnrst"):
+        ids = known.ids([word.encode()])
+        if len(ids) == 2:
+            first.setdefault(int(ids[0]), word)
+    rare = list(first.items())[:60]
+    assert len(rare) == 60
+    train = spark.createDataFrame([(w,) for _, w in rare] + [("one and two",)] * 2940, "text string").repartition(4)
+    params = lm_scoring.train_model(train)
+    # an input's row moves only if a document with it is learned from
+    still = lm_scoring.initial(np.zeros(lm_scoring.TOKENS))["embed"]
+    assert all((params["embed"][token] != still[token]).any() for token, _ in rare)
+
+
+def test_steps_grow_with_the_documents():
+    plans = [lm_scoring.rounds_of(n, 400) for n in (0, 300, 2_000, 40_000, 200_000, 2_000_000)]
+    assert plans[:3] == [(1, 1), (1, 1), (1, 5)]
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(plans[2:], plans[3:]))
