@@ -217,3 +217,19 @@ def test_steps_grow_with_the_documents():
     plans = [lm_scoring.rounds_of(n, 400) for n in (0, 300, 2_000, 40_000, 200_000, 2_000_000)]
     assert plans[:3] == [(1, 1), (1, 1), (1, 5)]
     assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(plans[2:], plans[3:]))
+
+
+def test_a_token_sees_at_least_33_subwords_back():
+    rng = np.random.default_rng(4)
+    params = {k: rng.standard_normal(s).astype(np.float32) * 0.3 for k, s in lm_scoring.SHAPES.items()}
+    doc = rng.integers(0, lm_scoring.END, 200).astype(np.uint16)
+
+    def score_of(place: int, doc: np.ndarray) -> float:
+        until = [lm_scoring.log_probs(params, *lm_scoring.blocks([doc[:n]])[:3]).sum() for n in (place, place + 1)]
+        return until[1] - until[0]
+
+    for place in (96, 103, 111, 127, 128):  # input ``place`` is token ``place - 1``
+        for back, seen in ((33, True), (48, True), (66, False)):
+            other = doc.copy()
+            other[place - back] = (other[place - back] + 1000) % lm_scoring.END
+            assert (abs(score_of(place, other) - score_of(place, doc)) > 1e-5) == seen
