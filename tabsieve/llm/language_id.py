@@ -5,9 +5,11 @@ falls back to its character 5-grams, and on to shorter ones while fewer than
 half of them are known. The language with the largest summed log probability
 wins.
 
-The tables are fitted on a bounded sample of the labelled rows (``train_docs``
-in expectation, chosen by a hash of the row) and hold the most frequent
-``max_words`` words a language: all other words are what the backoff is for.
+The tables are fitted on a bounded sample of each language's labelled rows (all
+of them up to ``train_docs``, else that many in expectation, chosen by a hash of
+the row), so a rare language is learned however large the others are. They hold
+the most frequent ``max_words`` words a language: all other words are what the
+backoff is for.
 """
 
 from __future__ import annotations
@@ -87,10 +89,10 @@ def train_language_model(labelled: DataFrame, train_docs: int = 20_000, max_word
     """Fits on ``text, lang`` rows; rows with a null in either are left out.
     Without any labelled row the model knows no language."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    n = rows.count()
-    if n > train_docs:
-        draw = F.pmod(F.xxhash64("text", "lang", F.monotonically_increasing_id()), F.lit(SAMPLE_UNITS))
-        rows = rows.where(draw < int(SAMPLE_UNITS * train_docs / n))
+    rates = rows.groupBy("lang").agg((F.lit(SAMPLE_UNITS * train_docs) / F.count(F.lit(1))).alias("below"))
+    draw = F.pmod(F.xxhash64("text", "lang", F.monotonically_increasing_id()), F.lit(SAMPLE_UNITS))
+    rows = rows.withColumn("draw", draw).join(F.broadcast(rates), "lang")  # one row per language
+    rows = rows.where("draw < below").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -104,7 +106,7 @@ def train_language_model(labelled: DataFrame, train_docs: int = 20_000, max_word
                                                   pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
 
     counts = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(
-        F.sum("n").alias("n")).where("n > 1 and length(word) <= 64")
+        F.sum("n").alias("n")).where("length(word) <= 64")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= max_words).select("lang", "word", "n")
     return build_model(sorted((r["lang"], r["word"], int(r["n"])) for r in top.collect()))

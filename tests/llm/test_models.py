@@ -233,3 +233,17 @@ def test_a_token_sees_at_least_33_subwords_back():
             other = doc.copy()
             other[place - back] = (other[place - back] + 1000) % lm_scoring.END
             assert (abs(score_of(place, other) - score_of(place, doc)) > 1e-5) == seen
+
+
+def test_a_rare_language_is_learned_from_a_large_corpus(spark):
+    greek = ["το σπίτι και ο κήπος", "οι άνθρωποι της πόλης", "ένα παλιό βιβλίο"]
+    many = spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(EN)).otherwise(F.lit(DE)).alias("text"),
+        F.when(F.col("id") % 2 == 0, F.lit("en")).otherwise(F.lit("de")).alias("lang"))
+    few = spark.createDataFrame([(t, "el") for t in greek], "text string, lang string")
+    model = language_id.train_language_model(many.union(few), train_docs=2_000)
+    assert model.languages == ["de", "el", "en"]
+    scorer = language_id.Scorer(model)
+    for text, lang in [(greek[0], "el"), ("η πόλη και το βιβλίο", "el"), (EN, "en"), (DE, "de")]:
+        found, score = scorer.predict(text)
+        assert found == lang and score >= 0.5
