@@ -80,17 +80,34 @@ def mix_report(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_ratio: i
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_ratio: int = 3) -> DataFrame:
     """The mixed documents: every row as often as it has copies, all columns
-    unchanged. Rows that share a doc_id, source and size take the most copies
-    dealt to any of them (equal rows differ by one copy at most)."""
+    unchanged. Rows that share a doc_id, source and size share out the copies
+    dealt to them together (they differ by one copy at most), so the copies
+    add up to those of :func:`mix_report`."""
+    keys = ("doc_id", "source", "size")
     dealt = _copies(materialize(sizes(docs)), weights, max_ratio)
-    dealt = materialize(dealt.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-                        .where("copies > 0"))
+    dealt = dealt.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    dealt = materialize(dealt.where("copies > 0").withColumn("key", F.monotonically_increasing_id()))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("size", F.coalesce(F.regexp_count(F.col("row.text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    same = [F.col(f"row.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("doc_id", "source")]
-    joined = rows.join(dealt.alias("d"), same[0] & same[1] & (rows["size"] == F.col("d.size")))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("d.copies")))
-    return joined.select("row", times.alias("copy")).select("row.*")
+
+    def met(part: DataFrame) -> DataFrame:
+        same = [F.col(f"row.{c}").eqNullSafe(F.col(f"d.{c}")) for c in keys[:2]]
+        found = rows.join(part.alias("d"), same[0] & same[1] & (rows["size"] == F.col("d.size")))
+        return found.select("row", *[f"d.{c}" for c in part.columns if c not in keys])
+
+    even = F.col("copies") % F.col("rows") == 0
+    out = met(dealt.where(even)).select("row", (F.col("copies") / F.col("rows")).cast("long").alias("copies"))
+    odd = dealt.where(~even)
+    if odd.limit(1).count():  # repeated rows that differ in their copies are numbered
+        # one rank over all of them, less the rows of the keys before: no key is a group
+        odd = cumulative_before(odd, [F.col("key")], weight="rows").withColumnRenamed("cum_before", "earlier")
+        tagged = materialize(met(odd.drop("group_total")).withColumn("tag", F.monotonically_increasing_id()))
+        number = cumulative_before(tagged, [F.col("key"), F.col("tag")])
+        until = lambda n: F.floor(n * F.col("copies") / F.col("rows"))
+        at = (F.col("cum_before") - F.col("earlier")).cast("long")
+        out = out.union(number.select("row", (until(at + 1) - until(at)).alias("copies")).where("copies > 0"))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return out.select("row", times.alias("copy")).select("row.*")
 
 
 REPORT_SQL = """

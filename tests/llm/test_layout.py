@@ -112,3 +112,14 @@ def test_shards_of_odd_rows(spark):
     nothing = {r["shard"] for r in found if r["text_crc32"] == 0}
     assert len(nothing) == 1 and all(0 <= r["shard"] < 40 and r["law"] == "bytes" for r in found)
     assert sharding.shard_documents(empty(spark)).count() == 0
+
+
+def test_repeated_rows_add_up_to_the_report(spark):
+    table = [(None, "two words", None, "a", 9, 0.0, "", 0)] * 3000 + [(7, "three words here", None, "a", 16, 0.0, "", 1)] * 5
+    table += [(100 + i, "w " * 40, None, "b", 80, 0.0, "", 2) for i in range(2000)]
+    docs = spark.createDataFrame(table, SCHEMA).repartition(6)
+    report = Counter()
+    for r in source_mixing.mix_report(docs, weights=(1, 9)).collect():
+        report[r["doc_id"]] += r["copies"]
+    mixed = Counter(r["doc_id"] for r in source_mixing.mix(docs, weights=(1, 9)).select("doc_id").collect())
+    assert report[None] % 3000 and mixed == +report
