@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsieve.llm import (ann_hnsw, language_id, line_dedup, lm_scoring, quality_classifier, quality_rules,
-                          sentencepiece_codec, sharding, simhash_dedup, source_mixing)
+                          sentencepiece_codec, sharding, simhash_dedup, source_mixing, token_files)
 from tabsieve.llm.common import id_fold, table
 
 
@@ -63,9 +63,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_simhash_dedup, op3_hnsw_neighbours, op4_quality_rules, op5_quality_classifier,
-    op6_lm_scoring, op7_sentencepiece, op8_source_mixing, op9_sharding, op10_line_dedup)}
+    op6_lm_scoring, op7_sentencepiece, op8_source_mixing, op9_sharding, op10_line_dedup,
+    op13_token_files)}
 ORACLES: dict[str, str] = {
     "op8_source_mixing": source_mixing.REPORT_SQL.strip(),
     "op10_line_dedup": line_dedup.REPORT_SQL.strip(),
