@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsieve.llm import (ann_hnsw, language_id, line_dedup, lm_scoring, periodic_runs, quality_classifier,
-                          quality_rules, sentencepiece_codec, sharding, simhash_dedup, source_mixing, token_files)
+from tabsieve.llm import (ann_hnsw, language_id, line_dedup, lm_scoring, periodic_runs, prefix_trie,
+                          quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash_dedup, source_mixing, token_files)
 from tabsieve.llm.common import id_fold, table
 
 
@@ -63,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(table(spark, sf_dir, "documents"))
 
@@ -76,8 +80,9 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_simhash_dedup, op3_hnsw_neighbours, op4_quality_rules, op5_quality_classifier,
     op6_lm_scoring, op7_sentencepiece, op8_source_mixing, op9_sharding, op10_line_dedup,
-    op12_periodic_runs, op13_token_files)}
+    op11_prefix_trie, op12_periodic_runs, op13_token_files)}
 ORACLES: dict[str, str] = {
     "op8_source_mixing": source_mixing.REPORT_SQL.strip(),
     "op10_line_dedup": line_dedup.REPORT_SQL.strip(),
+    "op11_prefix_trie": prefix_trie.REPORT_SQL.strip(),
 }
