@@ -104,7 +104,7 @@ with lo as ({LINEITEM_ORDERS_SQL}) {rules_sql('lo', LINEITEM_RULES, LINEITEM_ORD
 
 
 def _issue_projection(df: DataFrame) -> DataFrame:
-    """Issue rows as compared with the oracle (evidence prose left out)."""
+    """Issue rows without evidence, which ``evidence_fingerprint`` compares."""
     return df.select("issue_id", "issue_type", "column",
                      F.array_join("allowed_treatments", ",").alias("allowed_treatments"),
                      "requires_explicit_human_decision")
@@ -113,11 +113,15 @@ def _issue_projection(df: DataFrame) -> DataFrame:
 RULE_TREATMENTS_TXT = "set_missing,drop_rows,retain,investigate"
 
 
-def rule_issues_sql(tab: str, rules: Sequence[ValidationRule], kinds: dict[str, str]) -> str:
+def rule_issues_sql(tab: str, rules: Sequence[ValidationRule], kinds: dict[str, str], full: bool = False) -> str:
     meta = "\n union all ".join(
-        f"select '{r.rule_id}' as rule_id, '{r.issue_type}' as issue_type, '{r.column}' as col" for r in rules)
+        f"select '{r.rule_id}' as rule_id, '{r.issue_type}' as issue_type, '{r.column}' as col, "
+        f"'{r.description.replace(chr(39), 2 * chr(39))}' as description, '{r.source}' as source, {i} as i"
+        for i, r in enumerate(rules))
+    more = (""", 'violations=' || violation_count || '; checked=' || checked_count || '; rule=' || description
+ || '; source=' || source as evidence, 1100000 + i as ordinal""" if full else "")
     return f"""select 'rule:' || r.rule_id as issue_id, m.issue_type, m.col as "column",
- '{RULE_TREATMENTS_TXT}' as allowed_treatments, true as requires_explicit_human_decision
+ '{RULE_TREATMENTS_TXT}' as allowed_treatments, true as requires_explicit_human_decision{more}
 from ({rules_sql(tab, rules, kinds)}) r join ({meta}) m using (rule_id) where r.violation_count > 0"""
 
 
@@ -130,64 +134,87 @@ with lo as ({LINEITEM_ORDERS_SQL}) {rule_issues_sql('lo', LINEITEM_RULES, LINEIT
 DIRTY_KINDS = {"c_custkey": "int", "segment": "text", "acctbal": "float", "nation_txt": "text", "target": "int"}
 
 
+SHOWN = 'issue_id, issue_type, "column", allowed_treatments, requires_explicit_human_decision'
+
+
 def inventory_sql(tab: str, kinds: dict[str, str], rules: Sequence[ValidationRule]) -> str:
+    return f"select {SHOWN} from ({issues_sql(tab, kinds, rules)})"
+
+
+def _metrics_sql(**values: str) -> str:
+    return " || '; ' || ".join(f"'{name}=' || {value}" for name, value in values.items())
+
+
+def issues_sql(tab: str, kinds: dict[str, str], rules: Sequence[ValidationRule]) -> str:
+    """All issues with evidence and ordinal."""
     text = [c for c, k in kinds.items() if k == "text"]
     numeric = [c for c, k in kinds.items() if k in ("int", "float")]
     cols = list(kinds)
     parts = []
 
-    def row(issue_type: str, col: str | None, allowed: str, human: bool, cond: str) -> str:
+    def row(issue_type: str, col: str | None, allowed: str, human: bool, cond: str, detector: int,
+            evidence: str, stats: str) -> str:
+        ordinal = detector * 100000 + (cols.index(col) if col else 0)
         iid = f"'{issue_type}:{col if col else 'dataset'}'"
         colv = f"'{col}'" if col else "cast(null as varchar)"
         return (f"select {iid} as issue_id, '{issue_type}' as issue_type, {colv} as \"column\", "
-                f"'{allowed}' as allowed_treatments, {str(human).lower()} as requires_explicit_human_decision "
-                f"where {cond}")
+                f"'{allowed}' as allowed_treatments, {str(human).lower()} as requires_explicit_human_decision, "
+                f"{evidence} as evidence, {ordinal} as ordinal from ({stats}) where {cond}")
 
     for c in cols:  # I1
         floating = f" or isnan({c})" if kinds[c] == "float" else ""
         allowed = "median,mean,mode,drop_rows,retain" if c in numeric else "mode,constant,drop_rows,retain"
-        parts.append(row("missing_values", c, allowed, False,
-                         f"(select count(*) from {tab} where {c} is null{floating}) > 0"))
+        parts.append(row("missing_values", c, allowed, False, "k > 0", 1, _metrics_sql(missing="k"),
+                         f"select count(*) as k from {tab} where {c} is null{floating}"))
     for c in text:  # I2
-        parts.append(row("fake_nulls", c, "normalize_nulls,retain", True,
-                         f"(select count(*) from {tab} where {c} is not null and lower(trim({c})) in {MARKERS_SQL}) > 0"))
+        parts.append(row("fake_nulls", c, "normalize_nulls,retain", True, "k > 0", 2, _metrics_sql(null_markers="k"),
+                         f"select count(*) as k from {tab} where {c} is not null and lower(trim({c})) in {MARKERS_SQL}"))
     for c in text:  # I3
-        parts.append(row("categorical_inconsistency", c, "normalize_categories,retain", False,
-                         f"exists (select 1 from {tab} where {c} is not null and lower(trim({c})) not in {MARKERS_SQL} "
+        parts.append(row("categorical_inconsistency", c, "normalize_categories,retain", False, "k > 0", 3,
+                         _metrics_sql(groups="k", spellings="s"),
+                         f"select count(*) as k, sum(d) as s from (select count(distinct {c}) as d from {tab} "
+                         f"where {c} is not null and lower(trim({c})) not in {MARKERS_SQL} "
                          f"group by lower(trim({c})) having count(distinct {c}) > 1)"))
     for c in text:  # I4
         kept = f"case when trim({c}) <> '' then trim({c}) end"
-        parts.append(row("date_conversion", c, "convert_date,retain", False,
-                         f"(select count({kept}) > 0 and count({to_number_sql(kept)}) / count({kept}) < 0.8 "
-                         f"and count({to_timestamp_sql(kept)}) / count({kept}) >= 0.8 from {tab})"))
+        parts.append(row("date_conversion", c, "convert_date,retain", False, "n > 0 and m / n < 0.8 and k / n >= 0.8", 4,
+                         _metrics_sql(dates="k", values="n"),
+                         f"select count({kept}) as n, count({to_number_sql(kept)}) as m, "
+                         f"count({to_timestamp_sql(kept)}) as k from {tab}"))
     for c in text:  # I5
-        parts.append(row("numeric_conversion", c, "convert_numeric,retain", False,
-                         f"(select count({c}) > 0 and count({to_number_sql(c)}) / count({c}) >= 0.8 from {tab})"))
+        parts.append(row("numeric_conversion", c, "convert_numeric,retain", False, "n > 0 and k / n >= 0.8", 5,
+                         _metrics_sql(numbers="k", values="n"),
+                         f"select count({c}) as n, count({to_number_sql(c)}) as k from {tab}"))
     for c in numeric:  # I6
         v = f"cast({c} as double)"
-        parts.append(row("outlier", c, "cap_outliers,retain,investigate", True,
-                         f"(select count(*) from {tab}, (select quantile_cont({v}, 0.25) as q1, quantile_cont({v}, 0.75) as q3 "
-                         f"from {tab}) b where {v} < q1 - 1.5 * (q3 - q1) or {v} > q3 + 1.5 * (q3 - q1)) > 0"))
+        parts.append(row("outlier", c, "cap_outliers,retain,investigate", True, "k > 0", 6,
+                         _metrics_sql(outside="k", lower="cast(lo as decimal(38,6))", upper="cast(hi as decimal(38,6))"),
+                         f"select count(*) as k, any_value(lo) as lo, any_value(hi) as hi from {tab}, "
+                         f"(select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from "
+                         f"(select quantile_cont({v}, 0.25) as q1, quantile_cont({v}, 0.75) as q3 from {tab})) b "
+                         f"where {v} < lo or {v} > hi"))
     for c in text:  # I7
-        parts.append(row("formatting_issue", c, "trim_whitespace,retain", False,
-                         f"(select count(*) from {tab} where {c} <> trim({c})) > 0"))
+        parts.append(row("formatting_issue", c, "trim_whitespace,retain", False, "k > 0", 7,
+                         _metrics_sql(edge_whitespace="k"), f"select count(*) as k from {tab} where {c} <> trim({c})"))
     for c in cols:  # I8
-        stats = (f"(select count({c}) as nn, count(distinct {c}) as nd, "
+        stats = (f"select count({c}) as nn, count(distinct {c}) as nd, "
                  f"(select coalesce(max(k), 0) from (select count(*) as k from {tab} where {c} is not null group by {c})) as top "
-                 f"from {tab})")
-        parts.append(row("constant_feature", c, "exclude_feature,retain", True,
-                         f"(select nn > 0 and nd = 1 from {stats})"))
+                 f"from {tab}")
+        evidence = _metrics_sql(distinct="nd", values="nn", top="top")
+        parts.append(row("constant_feature", c, "exclude_feature,retain", True, "nn > 0 and nd = 1", 8, evidence, stats))
         parts.append(row("near_constant_feature", c, "exclude_feature,retain,investigate", True,
-                         f"(select nn >= 20 and nd > 1 and top / nn >= 0.95 from {stats})"))
+                         "nn >= 20 and nd > 1 and top / nn >= 0.95", 8, evidence, stats))
     all_cols = ", ".join(cols)  # I9
-    parts.append(row("exact_duplicates", None, "remove_duplicates,retain", False,
-                     f"(select coalesce(sum(k - 1), 0) from (select count(*) as k from {tab} group by {all_cols})) > 0"))
+    parts.append(row("exact_duplicates", None, "remove_duplicates,retain", False, "s > 0", 9,
+                     _metrics_sql(repeated_rows="s"),
+                     f"select coalesce(sum(k - 1), 0)::bigint as s from (select count(*) as k from {tab} group by {all_cols})"))
     for c in text:  # I10
-        parts.append(row("identifier", c, "exclude_feature,retain,investigate", True,
-                         f"(select count({c}) >= 20 and count(distinct {c}) / count({c}) >= 0.95 from {tab})"))
+        parts.append(row("identifier", c, "exclude_feature,retain,investigate", True, "nn >= 20 and nd / nn >= 0.95", 10,
+                         _metrics_sql(distinct="nd", values="nn"),
+                         f"select count({c}) as nn, count(distinct {c}) as nd from {tab}"))
     body = "\n union all ".join(parts)
     if rules:
-        body += "\n union all " + rule_issues_sql(tab, rules, kinds)
+        body += "\n union all " + rule_issues_sql(tab, rules, kinds, full=True)
     return body
 
 
@@ -195,7 +222,13 @@ register("issue_inventory", f"""
 with {DIRTY_CTE} {inventory_sql('dirty_customer', DIRTY_KINDS, CUSTOMER_RULES)}
 """)(lambda spark, d: _issue_projection(issues.issue_inventory(dirty_customer(spark, d), CUSTOMER_RULES)))
 
-register("evidence_fingerprint")(
+register("evidence_fingerprint", f"""
+with {DIRTY_CTE}, inv as ({issues_sql('dirty_customer', DIRTY_KINDS, CUSTOMER_RULES)}),
+lines as (select issue_id, to_json({{'allowed_treatments': string_split(allowed_treatments, ','), 'column': "column",
+ 'evidence': evidence, 'issue_id': issue_id, 'issue_type': issue_type, 'ordinal': ordinal,
+ 'requires_explicit_human_decision': requires_explicit_human_decision}})::varchar as line from inv)
+select sha256(string_agg(line, chr(10) order by issue_id)) as fingerprint, count(*) as issue_count from lines
+""")(
     lambda spark, d: evidence_fingerprint(issues.issue_inventory(dirty_customer(spark, d), CUSTOMER_RULES)))
 
 # --- A30 -------------------------------------------------------------------------

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
+from tabsieve.functions.dates import SHAPE_NAMES, date_format_counts
 from tabsieve.operators import quality
 from tabsieve.registry import register
-from tabsieve.sources.derived import dirty_customer, orders_text_dates, table
+from tabsieve.sources.derived import date_texts, dirty_customer, orders_text_dates, table
 from tabsieve.sqlkit import (
     DIRTY_COLUMNS,
+    DATE_TEXTS_CTE,
     DIRTY_CTE,
     DIRTY_FLOAT,
     DIRTY_NUMERIC,
     DIRTY_TEXT,
     MARKERS_SQL,
     ORDERS_DATES_CTE,
+    date_shape_sql,
     missing_sql,
     per_column,
     to_number_sql,
@@ -191,7 +196,8 @@ select "column", distinct_count from card where distinct_count <= 1
 ORDERS_DATE_TEXT = ("order_date_txt", "mostly_date_txt", "custkey_txt", "o_orderpriority")
 
 
-def _dates_sql(modeling: bool) -> str:
+def _dates_sql(modeling: bool, cte: str = ORDERS_DATES_CTE, tab: str = "orders_dates",
+               columns: Sequence[str] = ORDERS_DATE_TEXT) -> str:
     if modeling:
         metrics = {
             "value_count": lambda c: f"count({c})",
@@ -210,8 +216,8 @@ def _dates_sql(modeling: bool) -> str:
         keep = ("value_count > 0 and date_count / value_count >= 0.8 "
                 "and numeric_count / value_count < 0.8")
     return f"""
-with {ORDERS_DATES_CTE}, m as (
-{per_column('orders_dates', ORDERS_DATE_TEXT, metrics)}
+with {cte}, m as (
+{per_column(tab, columns, metrics)}
 ) select "column", value_count, numeric_count / value_count as numeric_ratio, date_count / value_count as date_ratio
 from m where {keep}
 """
@@ -223,6 +229,19 @@ register("date_candidates_modeling", _dates_sql(True))(
     lambda spark, d: quality.date_candidate_columns(orders_text_dates(spark, d), modeling=True,
                                                     exclude=["o_orderkey"]))
 
+DATE_TEXT_COLUMNS = ("any_txt", "days_first_txt", "months_first_txt", "order_txt")
+
+register("date_candidates_mixed", _dates_sql(False, DATE_TEXTS_CTE, "date_texts", DATE_TEXT_COLUMNS))(
+    lambda spark, d: quality.date_candidate_columns(date_texts(spark, d)))
+
+register("date_formats", f"""
+with {DATE_TEXTS_CTE}, k as (
+{' union all '.join(f"select '{c}' as col, case when trim({c}) <> '' then 1 end as v, {date_shape_sql(f'trim({c})')} as k from date_texts" for c in DATE_TEXT_COLUMNS)}
+) select col as "column", count(v) as value_count, {', '.join(f"count(*) filter (where k = '{n}') as {n}" for n in SHAPE_NAMES)},
+ count(*) filter (where k = 'day_first') > count(*) filter (where k = 'month_first') as day_first_order
+from k group by col
+""")(lambda spark, d: date_format_counts(date_texts(spark, d)))
+
 # ---------------------------------------------------------------- A30, A31
 
 register("dataset_health", f"""

@@ -3,18 +3,35 @@ J1 to J5, S4 to S6)."""
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.catalog.inventory import CUSTOMER_RULES, DIRTY_KINDS, inventory_sql, rule_sql
+from tabsieve.catalog.inventory import CUSTOMER_RULES, DIRTY_KINDS, LINEITEM_KINDS, inventory_sql, rule_sql
 from tabsieve.operators import issues, prepare
 from tabsieve.plans import treatment
 from tabsieve.registry import register
-from tabsieve.sources.derived import dirty_customer, orders_text_dates, table
+from tabsieve.sources.derived import (
+    CUSTOMER_NOTES_SQL,
+    customer_notes,
+    date_texts,
+    dirty_customer,
+    orders_text_dates,
+    table,
+)
 from tabsieve.sources.tables import content_fingerprint, dataset_difference, evidence_fingerprint, fingerprint_value
-from tabsieve.sqlkit import DIRTY_CTE, MARKERS_SQL, ORDERS_DATES_CTE, to_number_sql, to_timestamp_sql
+from tabsieve.sqlkit import (
+    DATE_TEXTS_CTE,
+    DIRTY_CTE,
+    MARKERS_SQL,
+    ORDERS_DATES_CTE,
+    day_first_sql,
+    fingerprint_sql,
+    to_number_sql,
+    to_timestamp_sql,
+)
 
 COLS = ("c_custkey", "segment", "acctbal", "nation_txt", "target")
 
@@ -103,11 +120,20 @@ with {DIRTY_CTE} select {_select(nation_txt=to_number_sql('nation_txt'))} from d
 """)(lambda spark, d: prepare.convert_numeric(_dirty(spark, d), "nation_txt"))
 
 register("convert_date", f"""
-with {ORDERS_DATES_CTE}
-select o_orderkey, {to_timestamp_sql('order_date_txt')} as order_date_txt, mostly_date_txt, custkey_txt, o_orderpriority
-from orders_dates
+with {ORDERS_DATES_CTE}, elected as (select {day_first_sql('order_date_txt', 'orders_dates')} as days_first)
+select o_orderkey, {to_timestamp_sql('trim(order_date_txt)', 'days_first')} as order_date_txt, mostly_date_txt, custkey_txt, o_orderpriority
+from orders_dates, elected
 """)(lambda spark, d: prepare.convert_date(orders_text_dates(spark, d), "order_date_txt"))
 
+DATE_TEXT_COLUMNS = ("any_txt", "days_first_txt", "months_first_txt")
+
+register("convert_date_mixed", f"""
+with {DATE_TEXTS_CTE},
+elected as (select {', '.join(f"{day_first_sql(c, 'date_texts')} as {c}_order" for c in DATE_TEXT_COLUMNS)})
+select o_orderkey, {', '.join(f"{to_timestamp_sql(f'trim({c})', f'{c}_order')} as {c}" for c in DATE_TEXT_COLUMNS)}
+from date_texts, elected
+""")(lambda spark, d: functools.reduce(prepare.convert_date, DATE_TEXT_COLUMNS, date_texts(spark, d)).drop("order_txt"))
+
 register("cap_outliers", f"""
 with {DIRTY_CTE}, b as (select quantile_cont(acctbal, 0.25) as q1, quantile_cont(acctbal, 0.75) as q3 from dirty_customer),
  bb as (select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from b)
@@ -226,7 +252,16 @@ from dec join inv using (issue_id) where dec.treatment in ('retain', 'investigat
 
 # ---------------------------------------------------------------- S4 to S6
 
-register("dataset_fingerprint")(lambda spark, d: content_fingerprint(table(spark, d, "customer")))
+CUSTOMER_SCHEMA = "c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string"
+LINEITEM_SCHEMA = ("l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int,l_quantity:double,"
+                   "l_extendedprice:double,l_discount:double,l_tax:double,l_returnflag:string,l_linestatus:string,"
+                   "l_shipdate:timestamp_ntz")
+CUSTOMER_KINDS = {"c_custkey": "int", "c_name": "text", "c_nationkey": "int", "c_acctbal": "float", "c_mktsegment": "text"}
+
+register("dataset_fingerprint", fingerprint_sql("customer", CUSTOMER_KINDS, CUSTOMER_SCHEMA))(
+    lambda spark, d: content_fingerprint(table(spark, d, "customer")))
+register("dataset_fingerprint_lineitem", fingerprint_sql("lineitem", LINEITEM_KINDS, LINEITEM_SCHEMA))(
+    lambda spark, d: content_fingerprint(table(spark, d, "lineitem")))
 
 
 def _equality(spark, d):
@@ -265,6 +300,36 @@ select c_custkey, case when segment = '' then null else segment end as segment,
 """)(_csv_roundtrip)
 
 
+def _csv_quoted(spark, d):
+    # S3 in one step, twice, then S1: text with quotes, commas and line breaks
+    # in CSV files that are cut anywhere, the second version being the table.
+    from tabsieve.sources.tables import read_table, shared_output_dir
+    from tabsieve.sources.versions import publish_table
+    path = f"{shared_output_dir(spark)}/tabsieve-versions-{uuid.uuid4().hex}/notes.csv"
+    notes = customer_notes(spark, d)
+    publish_table(notes.select("c_custkey", "note"), path, fmt="csv")
+    publish_table(notes, path, fmt="csv")
+    return read_table(spark, path)
+
+
+register("csv_roundtrip_quoted", CUSTOMER_NOTES_SQL.format(customer="customer"))(_csv_quoted)
+
+
+def _verified_copy(spark, d):
+    # S5 with S3: the one scan that copies the table also checks it, and the
+    # copy is published only if its input was the expected one.
+    from tabsieve.sources.tables import VerifiedScan, read_table, save_files, shared_output_dir
+    from tabsieve.sources.versions import publish_written
+    expected = fingerprint_value(table(spark, d, "customer"))
+    scan = VerifiedScan(spark, f"{d.rstrip('/')}/customer.parquet", expected)
+    path = f"{shared_output_dir(spark)}/tabsieve-copy-{uuid.uuid4().hex}/customer.parquet"
+    publish_written(spark, path, lambda target: scan.run(lambda frame: save_files(frame, target, "parquet")))
+    return read_table(spark, path)
+
+
+register("verified_copy", "select * from customer")(_verified_copy)
+
+
 def _verified(spark, d):
     from tabsieve.sources.tables import read_verified
     path = f"{d.rstrip('/')}/customer.parquet"

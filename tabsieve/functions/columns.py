@@ -47,8 +47,13 @@ DATE_FORMATS: tuple[str, ...] = (
 WHITESPACE: str = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
+def quoted(name: str) -> Column:
+    """The top-level column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return quoted(c) if isinstance(c, str) else c
 
 
 # --- type predicates --------------------------------------------------------

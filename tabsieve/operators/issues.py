@@ -23,8 +23,8 @@ from tabsieve.functions.columns import (
     is_text_type,
     stripped_or_null,
     to_number,
-    to_timestamp_any,
 )
+from tabsieve.functions.dates import parse_date
 from tabsieve.operators import quality
 from tabsieve.operators.rules import RULE_TREATMENTS, ValidationRule, check_unique_rule_ids, evaluate_rules
 from tabsieve.operators.valuecounts import spelling_groups, value_keys
@@ -68,6 +68,17 @@ def _issue(frame: DataFrame, issue_type: str | Column, evidence: Column, treatme
         (F.lit(detector * 100000) + pos).cast("int").alias("ordinal"))
 
 
+def _metrics(**values: Column) -> Column:
+    """Evidence: the metrics behind an issue as ``name=value; name=value``."""
+    parts = [F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in values.items()]
+    return F.concat_ws("; ", *parts)
+
+
+def _fixed(value: Column) -> Column:
+    """A double for evidence, to six digits after the point."""
+    return F.coalesce(value.try_cast("decimal(38,6)").cast("string"), value.cast("string"))
+
+
 PRESENCE_METRICS = ("missing", "non_null")
 TEXT_METRICS = ("missing", "fake_nulls", "whitespace", "non_null", "non_blank", "numeric_like", "date_like")
 
@@ -103,7 +114,7 @@ def scan_metrics(df: DataFrame) -> DataFrame:
         "non_null": count_present(lambda c, dt: F.col(c)),
         "non_blank": count_present(lambda c, dt: k(c)),
         "numeric_like": count_present(lambda c, dt: to_number(k(c))),
-        "date_like": count_present(lambda c, dt: to_timestamp_any(k(c))),
+        "date_like": count_present(lambda c, dt: parse_date(k(c))),
     }, applies=lambda c, dt: TEXT_METRICS if c in kept else PRESENCE_METRICS)
     return out.withColumn("numeric_non_blank", F.col("numeric_like"))
 
@@ -112,7 +123,7 @@ def missing_value_issues(df: DataFrame, metrics: DataFrame) -> DataFrame:  # I1
     numeric = [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
     rows = metrics.where(F.col("missing") > 0)
     return _issue(rows, "missing_values",
-                  F.format_string("Column '%s' contains %d genuine missing values.", F.col("column"), F.col("missing")),
+                  _metrics(missing=F.col("missing")),
                   F.when(F.col("column").isin(*numeric), _arr(NUMERIC_MISSING_TREATMENTS))
                   .otherwise(_arr(OTHER_MISSING_TREATMENTS)), False, 1)
 
@@ -120,8 +131,7 @@ def missing_value_issues(df: DataFrame, metrics: DataFrame) -> DataFrame:  # I1
 def fake_null_issues(metrics: DataFrame) -> DataFrame:  # I2
     rows = metrics.where(F.col("fake_nulls") > 0)
     return _issue(rows, "fake_nulls",
-                  F.format_string("Column '%s' contains %d textual null placeholders.", F.col("column"),
-                                  F.col("fake_nulls")), _arr(FAKE_NULL_TREATMENTS), True, 2)
+                  _metrics(null_markers=F.col("fake_nulls")), _arr(FAKE_NULL_TREATMENTS), True, 2)
 
 
 def categorical_inconsistency_issues(df: DataFrame, vc: DataFrame) -> DataFrame:  # I3
@@ -130,8 +140,7 @@ def categorical_inconsistency_issues(df: DataFrame, vc: DataFrame) -> DataFrame:
     pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     rows = groups.withColumn("position", pos[F.col("column")])
     return _issue(rows, "categorical_inconsistency",
-                  F.format_string("Column '%s' contains categorical case or whitespace variants: %d groups, %d spellings.",
-                                  F.col("column"), F.col("groups"), F.col("variants")),
+                  _metrics(groups=F.col("groups"), spellings=F.col("variants")),
                   _arr(CATEGORICAL_TREATMENTS), False, 3)
 
 
@@ -140,8 +149,7 @@ def date_conversion_issues(metrics: DataFrame, threshold: float = 0.8) -> DataFr
     rows = metrics.where((n > 0) & (F.try_divide(F.col("numeric_non_blank"), n) < threshold)
                          & (F.try_divide(F.col("date_like"), n) >= threshold))
     return _issue(rows, "date_conversion",
-                  F.format_string("Column '%s' contains predominantly date-like text and may require date "
-                                  "conversion before modeling.", F.col("column")), _arr(DATE_TREATMENTS), False, 4)
+                  _metrics(dates=F.col("date_like"), values=n), _arr(DATE_TREATMENTS), False, 4)
 
 
 def numeric_conversion_issues(metrics: DataFrame, threshold: float = 0.8) -> DataFrame:  # I5
@@ -149,8 +157,7 @@ def numeric_conversion_issues(metrics: DataFrame, threshold: float = 0.8) -> Dat
     ratio = F.try_divide(F.col("numeric_like"), n)
     rows = metrics.where((n > 0) & (ratio >= threshold))
     return _issue(rows, "numeric_conversion",
-                  F.format_string("Column '%s' is stored as text but %d of %d non-null values are numeric-like "
-                                  "(%.1f%%).", F.col("column"), F.col("numeric_like"), n, ratio * 100),
+                  _metrics(numbers=F.col("numeric_like"), values=n),
                   _arr(NUMERIC_CONVERSION_TREATMENTS), False, 5)
 
 
@@ -161,27 +168,23 @@ def outlier_issues(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:  #
     rows = quality.iqr_summary(df, counts=counts).where(F.col("outlier_count") > 0).withColumn(
         "position", pos[F.col("column")])
     return _issue(rows, "outlier",
-                  F.format_string("Column '%s' has %d IQR outlier(s); lower bound: %s; upper bound: %s. These are "
-                                  "statistical anomalies, not confirmed errors.", F.col("column"),
-                                  F.col("outlier_count"), F.col("lower_bound").cast("string"),
-                                  F.col("upper_bound").cast("string")),
+                  _metrics(outside=F.col("outlier_count"), lower=_fixed(F.col("lower_bound")),
+                           upper=_fixed(F.col("upper_bound"))),
                   _arr(OUTLIER_TREATMENTS), True, 6)
 
 
 def formatting_issues(metrics: DataFrame) -> DataFrame:  # I7
     rows = metrics.where(F.col("whitespace") > 0)
     return _issue(rows, "formatting_issue",
-                  F.format_string("Column '%s' contains %d value(s) with leading or trailing whitespace.",
-                                  F.col("column"), F.col("whitespace")), _arr(FORMATTING_TREATMENTS), False, 7)
+                  _metrics(edge_whitespace=F.col("whitespace")), _arr(FORMATTING_TREATMENTS), False, 7)
 
 
 def feature_variability_issues(df: DataFrame, vc: DataFrame) -> DataFrame:  # I8
     pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     rows = quality.constant_features(df, vc=vc).withColumn("position", pos[F.col("column")])
     return _issue(rows, F.col("issue_type"),
-                  F.format_string("Column '%s' has %d distinct non-null value(s) across %d non-null observation(s); "
-                                  "dominant-value proportion: %.2f%%.", F.col("column"), F.col("distinct_count"),
-                                  F.col("non_null_count"), F.col("dominant_proportion") * 100),
+                  _metrics(distinct=F.col("distinct_count"), values=F.col("non_null_count"),
+                           top=F.round(F.col("dominant_proportion") * F.col("non_null_count")).cast("long")),
                   F.when(F.col("issue_type") == "constant_feature", _arr(CONSTANT_TREATMENTS))
                   .otherwise(_arr(NEAR_CONSTANT_TREATMENTS)), True, 8)
 
@@ -189,8 +192,7 @@ def feature_variability_issues(df: DataFrame, vc: DataFrame) -> DataFrame:  # I8
 def exact_duplicate_issues(df: DataFrame) -> DataFrame:  # I9
     rows = quality.duplicate_row_count(df).where(F.col("duplicate_rows") > 0)
     return _issue(rows, "exact_duplicates",
-                  F.format_string("Dataset contains %d exact duplicate row(s) after the first occurrence.",
-                                  F.col("duplicate_rows")), _arr(DUPLICATE_TREATMENTS), False, 9,
+                  _metrics(repeated_rows=F.col("duplicate_rows")), _arr(DUPLICATE_TREATMENTS), False, 9,
                   column=F.lit(None).cast("string"))
 
 
@@ -198,8 +200,7 @@ def identifier_issues(df: DataFrame, vc: DataFrame) -> DataFrame:  # I10
     pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
     rows = quality.identifier_columns(df, vc=vc).withColumn("position", pos[F.col("column")])
     return _issue(rows, "identifier",
-                  F.format_string("Column '%s' is a high-cardinality string column with at least 95%% unique "
-                                  "non-null values and may represent a business identifier.", F.col("column")),
+                  _metrics(distinct=F.col("distinct_count"), values=F.col("non_null_count")),
                   _arr(IDENTIFIER_TREATMENTS), True, 10)
 
 
@@ -214,9 +215,8 @@ def validation_rule_issues(df: DataFrame, rules: Sequence[ValidationRule]) -> Da
     # meta has one row per declared rule: a broadcast of proven size.
     rows = evaluate_rules(df, rules).where(F.col("violation_count") > 0).join(F.broadcast(meta), "rule_id")
     return _issue(rows, F.col("issue_type"),
-                  F.format_string("Validation rule '%s' (%s) from source '%s' was violated by %d of %d checked row(s).",
-                                  F.col("rule_id"), F.col("description"), F.col("source"), F.col("violation_count"),
-                                  F.col("checked_count")),
+                  _metrics(violations=F.col("violation_count"), checked=F.col("checked_count"),
+                           rule=F.col("description"), source=F.col("source")),
                   _arr(RULE_TREATMENTS), True, 11, issue_id=F.concat(F.lit("rule:"), F.col("rule_id")),
                   column=F.col("rule_column"))
 

@@ -26,8 +26,8 @@ from tabsieve.functions.columns import (
     strip,
     textual_null,
     to_number,
-    to_timestamp_any,
 )
+from tabsieve.functions.dates import date_orders, parse_date
 from tabsieve.operators.rules import ValidationRule, violation_flag
 from tabsieve.plans.lineage import materialize
 from tabsieve.plans.ranking import exact_quantiles
@@ -211,8 +211,13 @@ def convert_numeric(df: DataFrame, column: str) -> DataFrame:
     return _replace(df, column, to_number(column))
 
 
-def convert_date(df: DataFrame, column: str) -> DataFrame:
-    return _replace(df, column, to_timestamp_any(column))
+def convert_date(df: DataFrame, column: str, day_first: bool | None = None) -> DataFrame:
+    """Mixed-format date text -> ``timestamp_ntz`` (null where it is no
+    date). The order of day and month is elected by the column's texts that
+    leave no choice (one pass, see ``functions.dates``) unless it is given."""
+    if day_first is None:
+        day_first = date_orders(df, [column]).get(column, False)
+    return _replace(df, column, parse_date(strip(F.col(f"`{column}`").cast("string")), day_first))
 
 
 def iqr_bounds(df: DataFrame, column: str) -> tuple[float, float] | None:

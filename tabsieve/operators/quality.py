@@ -24,8 +24,9 @@ from tabsieve.functions.columns import (
     stripped_or_null,
     textual_null,
     to_number,
-    to_timestamp_any,
 )
+from tabsieve.functions.canonical import hashable
+from tabsieve.functions.dates import parse_date
 from tabsieve.operators.valuecounts import (
     BLANK,
     EDGE,
@@ -79,7 +80,7 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
     """A3: rows that repeat an earlier identical row. Rows are grouped by a
     128-bit key with map-side combine: no cell is shuffled, and a hot
     duplicate collapses before the shuffle."""
-    key = row_key([F.col(f"`{c}`") for c in df.columns])
+    key = row_key(hashable(df))
     groups = df.groupBy(key.alias("_row")).agg(F.count(F.lit(1)).alias("_k"))
     return groups.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
@@ -305,7 +306,7 @@ def date_candidate_columns(df: DataFrame, threshold: float = 0.8, modeling: bool
         out = per_column(df, text, {
             "value_count": count_present(lambda c, dt: F.col(c)),
             "numeric_count": count_if(lambda c, dt: F.lit(False)),
-            "date_count": count_present(lambda c, dt: to_timestamp_any(c)),
+            "date_count": count_present(lambda c, dt: parse_date(c)),
         })
     else:
         def kept(c: str) -> Column:
@@ -313,7 +314,7 @@ def date_candidate_columns(df: DataFrame, threshold: float = 0.8, modeling: bool
         out = per_column(df, text, {
             "value_count": count_present(lambda c, dt: kept(c)),
             "numeric_count": count_present(lambda c, dt: to_number(kept(c))),
-            "date_count": count_present(lambda c, dt: to_timestamp_any(kept(c))),
+            "date_count": count_present(lambda c, dt: parse_date(kept(c))),
         })
     n = F.col("value_count")
     numeric_ratio = F.col("numeric_count") / n

@@ -52,6 +52,33 @@ from {orders}
 """
 
 
+# order dates in every rendering the date reader knows: all of them in one
+# column, numeric ones with days first, numeric ones with months first
+_DATE_PARTS = """
+select o_orderkey, cast(year(o_orderdate) as {text}) as y, cast(month(o_orderdate) as {text}) as m1,
+ cast(day(o_orderdate) as {text}) as d1, lpad(cast(month(o_orderdate) as {text}), 2, '0') as m,
+ lpad(cast(day(o_orderdate) as {text}), 2, '0') as d, substr(cast(year(o_orderdate) as {text}), 3, 2) as yy,
+ substr('JanFebMarAprMayJunJulAugSepOctNovDec', cast(3 * month(o_orderdate) - 2 as int), 3) as mon, o_orderpriority
+from {{orders}}
+"""
+_DATE_TEXTS = """
+select o_orderkey,
+ case o_orderkey % 16 when 0 then y || '-' || m || '-' || d || 'T10:00:00.123Z' when 1 then m || '/' || d || '/' || yy
+  when 2 then mon || ' ' || d1 || ' ' || y when 3 then d1 || ' ' || mon || ' ' || y when 4 then y || '-' || m || '-' || d || 'T10:00'
+  when 5 then y || m || d || 'T101500' when 6 then m1 || '/' || d1 || '/' || y || ' 10:00'
+  when 7 then m1 || '/' || d1 || '/' || y || ' 3:04 PM' when 8 then y || m || d when 9 then ' ' || y || '/' || m || '/' || d || ' '
+  when 10 then mon || '. ' || d || ', ' || y || ' 12:30 am' when 11 then y || '-' || m || '-' || d || ' 23:59:59+05:30'
+  when 12 then d || '-' || mon || '-' || yy when 13 then m || '.' || d || '.' || y when 14 then 'Fri, ' || d || ' ' || mon || ' ' || y || ' 08:00:00 GMT'
+  else y || '-' || m || '-' || d end as any_txt,
+ case when o_orderkey % 23 = 0 then 'unknown' else d || '/' || m || '/' || y end as days_first_txt,
+ case when o_orderkey % 19 = 0 then m || '/' || m || '-' || y when o_orderkey % 7 = 0 then '31/02/' || y
+  else m1 || '-' || d1 || '-' || y end as months_first_txt,
+ o_orderpriority as order_txt
+from (""" + _DATE_PARTS + """) parts
+"""
+DATE_TEXTS_SQL = _DATE_TEXTS.format(text="varchar")
+SPARK_DATE_TEXTS_SQL = _DATE_TEXTS.format(text="string")
+
 # orders as a ledger: an identifying text, a date text with some non-dates, a
 # constant and a nearly constant column; and the same without the identifier,
 # so that rows repeat.
@@ -76,6 +103,16 @@ from {customer}
 """
 
 
+# customers with text that CSV has to quote: quotes, commas, line breaks
+CUSTOMER_NOTES_SQL = """
+select c_custkey, case c_custkey % 6 when 0 then 'said "' || c_mktsegment || '", twice'
+  when 1 then c_name || chr(10) || '"quoted line"' || chr(10) || chr(10) || 'end, of note' when 2 then '"'
+  when 3 then chr(10) || c_mktsegment when 4 then null else c_mktsegment end as note,
+ c_acctbal, case when c_custkey % 5 = 0 then 'a,b' || chr(10) else 'plain' end as tag
+from {customer}
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -88,6 +125,14 @@ def orders_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SPARK_ORDERS_TEXT_DATES_SQL, orders=table(spark, sf_dir, "orders"))
 
 
+def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CUSTOMER_NOTES_SQL, customer=table(spark, sf_dir, "customer"))
+
+
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SPARK_DATE_TEXTS_SQL, orders=table(spark, sf_dir, "orders"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SPARK_LEDGER_SQL, orders=table(spark, sf_dir, "orders"))
 

@@ -133,7 +133,7 @@ def test_rule_issue(spark):
     rule = ValidationRule("age_range", "numeric_range", "invalid_value", "age", "plausible age", "policy",
                           min_value=0, max_value=120)
     r = issues.validation_rule_issues(df, [rule]).first()
-    assert r["issue_id"] == "rule:age_range" and "2 of 3 checked" in r["evidence"]
+    assert r["issue_id"] == "rule:age_range" and r["evidence"].startswith("violations=2; checked=3;")
     assert r["requires_explicit_human_decision"]
 
 

@@ -12,7 +12,7 @@ from tabsieve.sources.tables import evidence_fingerprint, fingerprint_value
 def test_fake_nulls_issue(spark):
     df = spark.createDataFrame([("active",), ("N/A",), (" null ",), ("",), ("   ",), ("none",)], "status string")
     inv = {r["issue_id"]: r for r in issues.issue_inventory(df).collect()}
-    assert "5 textual null placeholders" in inv["fake_nulls:status"]["evidence"]
+    assert inv["fake_nulls:status"]["evidence"] == "null_markers=5"
     assert "missing_values:status" not in inv
 
 
