@@ -247,6 +247,10 @@ def headline_sql(tab: str, kinds: dict[str, str]) -> str:
         f"where {c} is not null and lower(trim({c})) not in {MARKERS_SQL} group by 2" for c in text)
     ws = "\n union all ".join(
         f"select '{c}' as col, count(*) filter (where {c} <> trim({c})) as n from {tab}" for c in text)
+    formats = "\n union all ".join(
+        f"select (select count(*) from {tab} where {c} <> trim({c})) + (select coalesce(sum(k), 0) from (select count(*) as k "
+        f"from {tab} where {c} is not null and trim({c}) <> '' group by lower(trim({c})) having count(distinct {c}) > 1)) as n"
+        for c in text)
     out = "\n union all ".join(
         f"select '{c}' as col, (select count(*) from {tab}, (select quantile_cont(cast({c} as double), 0.25) as q1, "
         f"quantile_cont(cast({c} as double), 0.75) as q3 from {tab}) b where cast({c} as double) < q1 - 1.5 * (q3 - q1) "
@@ -263,6 +267,7 @@ select * from (
  union all select 'categorical_inconsistency', count(distinct col), coalesce(sum(sp), 0)::bigint
         from ({variants}) where sp > 1
  union all select 'leading_or_trailing_whitespace', count(*), coalesce(sum(n), 0)::bigint from ({ws}) where n > 0
+ union all select 'string_formatting', count(*), coalesce(sum(n), 0)::bigint from ({formats}) where n > 0
  union all select 'iqr_outliers', count(*), coalesce(sum(n), 0)::bigint from ({out}) where n > 0
 ) where affected_rows > 0
 """

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 from tabsieve.functions.dates import SHAPE_NAMES, date_format_counts
 from tabsieve.operators import quality
 from tabsieve.registry import register
-from tabsieve.sources.derived import date_texts, dirty_customer, orders_text_dates, table
+from tabsieve.sources.derived import (
+    REPEATED_EVENTS_SQL,
+    STREETS_SQL,
+    date_texts,
+    dirty_customer,
+    orders_text_dates,
+    repeated_events,
+    streets,
+    table,
+)
 from tabsieve.sqlkit import (
     DIRTY_COLUMNS,
     DATE_TEXTS_CTE,
@@ -66,6 +75,19 @@ group by all having count(*) > 1
 """)(lambda spark, d: quality.duplicate_values(dirty_customer(spark, d),
                                                ["c_custkey", "segment", "nation_txt", "target"]))
 
+register("duplicate_rows_events", f"""
+with e as ({REPEATED_EVENTS_SQL.format(events="events")})
+select coalesce(sum(k - 1), 0)::bigint as duplicate_rows from (select count(*) as k from e group by event_id, ts, user_id, event_type, value, props)
+""")(
+    lambda spark, d: quality.duplicate_row_count(repeated_events(spark, d)))
+
+register("duplicate_values_all", f"""
+with {DIRTY_CTE}, vc as (
+{unpivot_text('dirty_customer', DIRTY_COLUMNS)}
+) select "column", trim(value) as value, count(*) as n from vc where value is not null
+group by all having count(*) > 1
+""")(lambda spark, d: quality.duplicate_values(dirty_customer(spark, d)))
+
 # ---------------------------------------------------------------- A5, A6
 
 
@@ -126,6 +148,13 @@ register("categorical_inconsistencies", _variants_sql(True))(
 register("categorical_inconsistencies_evidence", _variants_sql(False))(
     lambda spark, d: quality.categorical_inconsistencies(dirty_customer(spark, d), skip_markers=False))
 
+register("categorical_evidence_folded", f"""
+with s as ({STREETS_SQL.format(customer="customer")}), v as (
+ select distinct street as variant, replace(lower(trim(street)), 'ß', 'ss') as normalized from s)
+select 'street' as "column", normalized, variant, count(*) over (partition by normalized) as n_variants from v
+qualify n_variants > 1
+""")(lambda spark, d: quality.categorical_inconsistencies(streets(spark, d), skip_markers=False))
+
 register("formatting_issues", f"""
 with {DIRTY_CTE}, vc as (
 {unpivot_text('dirty_customer', DIRTY_TEXT)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabsieve.operators import repair
@@ -64,8 +65,40 @@ def _invariants(spark, d):
     return repair.repair_invariants(src, repair.repair_accounts(src).table)
 
 
-register("invariants", f"""
-with {ACCOUNTS_CTE}, r as ({REPAIRED_SQL}),
+def _broken_invariants(spark, d):
+    """A repair gone wrong in every way the invariants look at; a NaN total is
+    missing, not extreme."""
+    src = dirty_accounts(spark, d)
+    good = repair.repair_accounts(src).table
+
+    def where(n: int, c: str, value) -> Column:
+        return F.when(F.col("customer_id") % n == 0, value).otherwise(F.col(c))
+
+    wrong = {
+        "tenure_months": where(11, "tenure_months", F.col("tenure_months") + 1),
+        "account_number": where(19, "account_number", F.lit(None)),
+        "churned": where(23, "churned", 1 - F.col("churned")),
+        "age": where(29, "age", F.lit(200)),
+        "monthly_charge": where(31, "monthly_charge", F.lit(None)),
+        "total_charge": F.when(F.col("customer_id") % 17 == 0, F.lit(float("nan"))).otherwise(
+            where(37, "total_charge", F.lit(30000.0))),
+        "signup_date": where(41, "signup_date", F.lit("2024-02-30")),
+    }
+    result = good.where("customer_id % 13 <> 0").select(*[wrong.get(c, F.col(c)).alias(c) for c in good.columns])
+    return repair.repair_invariants(src, result)
+
+
+BROKEN_SQL = """select customer_id, case when customer_id % 19 <> 0 then account_number end as account_number,
+ case when customer_id % 29 = 0 then 200 else age end as age,
+ case when customer_id % 31 <> 0 then monthly_charge end as monthly_charge,
+ case when customer_id % 11 = 0 then tenure_months + 1 else tenure_months end as tenure_months,
+ case when customer_id % 17 = 0 then 'nan'::double when customer_id % 37 = 0 then 30000.0 else total_charge end as total_charge,
+ case when customer_id % 41 = 0 then '2024-02-30' else signup_date end as signup_date,
+ case when customer_id % 23 = 0 then 1 - churned else churned end as churned
+from good where customer_id % 13 <> 0"""
+
+
+INVARIANTS_SQL = f"""
 p as (select s.customer_id as sk, r.customer_id as rk, s.account_number as sa, r.account_number as ra,
         s.tenure_months as st, r.tenure_months as rt, s.churned as sc, r.churned as rc
       from accounts s full outer join r on s.customer_id = r.customer_id)
@@ -81,8 +114,13 @@ union all select 'duplicate_count_changed', abs(
 union all select 'invalid_ages_remain', count(*) filter (where {INVALID_AGE_R}) from r
 union all select 'unparseable_charges_remain', count(*) filter (where monthly_charge is null) from r
 union all select 'invalid_signup_dates_remain', count(*) filter (where try_strptime(signup_date, '%Y-%m-%d') is null) from r
-union all select 'extreme_totals_remain', count(*) filter (where total_charge > 20000) from r
-""")(_invariants)
+union all select 'extreme_totals_remain', count(*) filter (where total_charge > 20000 and not isnan(total_charge)) from r
+"""
+
+register("invariants", f"with {ACCOUNTS_CTE}, r as ({REPAIRED_SQL}), {INVARIANTS_SQL.strip()}")(_invariants)
+register("invariants_broken", f"""
+with {ACCOUNTS_CTE}, good as ({REPAIRED_SQL}), r as ({BROKEN_SQL}), {INVARIANTS_SQL.strip()}
+""")(_broken_invariants)
 
 register("repair_report", f"""
 with {ACCOUNTS_CTE}

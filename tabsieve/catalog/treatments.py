@@ -15,10 +15,12 @@ from tabsieve.plans import treatment
 from tabsieve.registry import register
 from tabsieve.sources.derived import (
     CUSTOMER_NOTES_SQL,
+    REPEATED_EVENTS_SQL,
     customer_notes,
     date_texts,
     dirty_customer,
     orders_text_dates,
+    repeated_events,
     table,
 )
 from tabsieve.sources.tables import content_fingerprint, dataset_difference, evidence_fingerprint, fingerprint_value
@@ -51,6 +53,10 @@ register("remove_duplicates", """
 select distinct event_type, user_id from events
 """)(lambda spark, d: prepare.remove_duplicates(table(spark, d, "events").select("event_type", "user_id")))
 
+register("remove_duplicates_events", f"""
+select distinct * from ({REPEATED_EVENTS_SQL.format(events="events")})
+""")(lambda spark, d: prepare.remove_duplicates(repeated_events(spark, d)))
+
 register("drop_missing", f"""
 with {DIRTY_CTE} select * from dirty_customer where not (acctbal is null or isnan(acctbal))
 """)(lambda spark, d: prepare.drop_missing_rows(_dirty(spark, d), "acctbal"))

@@ -119,6 +119,32 @@ def norm(c: str | Column) -> Column:
     return F.lower(strip(c))
 
 
+# Full case folding beyond lower case, from the interpreter's tables: letters
+# that stay as they are in lower case but fold to another text (one to one, or
+# one to many such as sharp s).
+_FOLDS = {ch: ch.casefold() for ch in map(chr, range(0x110000)) if ch.lower() == ch != ch.casefold()}
+_FOLD_ONE = {ch: to for ch, to in _FOLDS.items() if len(to) == 1}
+_FOLD_MANY = {ch: to for ch, to in _FOLDS.items() if len(to) > 1}
+_FOLDED = "[" + "".join(_FOLDS) + "]"
+
+
+def casefold(c: str | Column) -> Column:
+    """``str.casefold()``. Only texts that hold one of the special letters are
+    folded beyond lower case; the one-element array binds the lowered text."""
+    def folded(s: Column) -> Column:
+        out = F.translate(s, "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
+        for ch, to in _FOLD_MANY.items():
+            out = F.replace(out, F.lit(ch), F.lit(to))
+        return F.when(s.rlike(_FOLDED), out).otherwise(s)
+
+    return F.get(F.transform(F.array(F.lower(_col(c))), folded), F.lit(0))
+
+
+def folded_norm(c: str | Column) -> Column:
+    """strip + casefold: the key that groups spelling variants of evidence."""
+    return casefold(strip(c))
+
+
 # --- missing-value predicates (P6, P7) -------------------------------------
 
 def genuine_missing(c: str | Column, dt: T.DataType) -> Column:

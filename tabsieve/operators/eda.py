@@ -12,10 +12,13 @@ from tabsieve.functions.columns import (
     is_numeric_type,
     is_text_type,
     nan_to_null,
+    quoted,
     require_columns,
 )
+from tabsieve.plans.gram import gram_correlations
 from tabsieve.plans.columnwise import count_if, count_present, numeric, pair_correlations, per_column
-from tabsieve.operators.valuecounts import column_cardinality, value_counts, value_keys
+from tabsieve.operators.valuecounts import column_cardinality, text_keys, value_counts, value_keys, values_of_keys
+from tabsieve.plans.lineage import materialize
 from tabsieve.plans.ranking import approx_quantiles, exact_quantiles
 
 # --- fixed values -----------------------------------------------------------
@@ -76,36 +79,54 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None,
 
 # --- A20 -----------------------------------------------------------------------
 
+TIED_KEYS = 20_000  # values tied with the k-th of a column whose texts are fetched by key
+
+
 def categorical_top_values(df: DataFrame, k: int = TOP_VALUES, columns: Sequence[str] | None = None) -> DataFrame:
     """Top ``k`` values per text column by frequency (null is a value), with
     the column's distinct non-null count. Ties: value ascending, null last.
 
-    ``row_number() <= k`` is planned with a partial WindowGroupLimit before
-    the shuffle, so each task forwards at most k rows per column."""
+    Values are counted by 128-bit key, so no text is shuffled for that. Only
+    keys that can be among the first ``k`` (counted at least as often as the
+    column's k-th) get their texts fetched. A column in which more than
+    ``TIED_KEYS`` values tie with the k-th (an identifier) is counted by text,
+    since the order of its texts decides."""
     cols = list(columns) if columns is not None else _text(df)
-    vc = value_counts(df, cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long, rank int, unique_count long")
+    keys = materialize(text_keys(df, cols))
+    first = Window.partitionBy("column").orderBy(F.desc("n"))
+    # row_number() <= k is planned with a partial WindowGroupLimit before the shuffle
+    kth = keys.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).groupBy("column").agg(F.min("n").alias("kth"))
+    able = keys.join(F.broadcast(kth), "column").where(F.col("n") >= F.col("kth"))  # kth: one row a column
+    sizes = keys.groupBy("column").agg(F.count("key").alias("unique_count"))
+    crowded = {r["column"] for r in able.groupBy("column").agg(F.count(F.lit(1)).alias("m"))
+               .where(F.col("m") > k + TIED_KEYS).select("column").collect()}
+    fetched = [c for c in cols if c not in crowded]
+    parts = [able.where(F.col("key").isNull()).select("column", F.lit(None).cast("string").alias("value"), "n")
+             .where(F.col("column").isin(*fetched))] if fetched else []
+    if fetched:
+        parts.append(values_of_keys(df, fetched, able.where(F.col("key").isNotNull())))
+    if crowded:
+        parts.append(value_counts(df, sorted(crowded)).select("column", "value", "n"))
+    counted = parts[0]
+    for p in parts[1:]:
+        counted = counted.unionByName(p)
     rank = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
-    top = vc.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    card = column_cardinality(vc).select("column", F.col("distinct_count").alias("unique_count"))
-    return top.join(F.broadcast(card), "column").select("column", "value", "n", "rank", "unique_count")
+    top = counted.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return top.join(F.broadcast(sizes), "column").select("column", "value", "n", "rank", "unique_count")
 
 
 # --- A21, A22, A23 -------------------------------------------------------------
 
 def numeric_correlations(df: DataFrame) -> DataFrame:
     """Correlation matrix without the diagonal, long form; < 2 numeric
-    columns -> empty. One scan over all pairs; each pair is reported in both
-    directions from the same aggregate."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    columns -> empty. One scan whatever the number of columns: tasks fold
+    their rows into blocks of cross products (``plans.gram``)."""
     cols = _numeric(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "column string, other_column string, r double")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    half = pair_correlations(df, pairs, lambda c: nan_to_null(c, fields[c]).cast("double"))
-    both = F.explode(F.array(
-        F.struct(F.col("a").alias("column"), F.col("b").alias("other_column"), F.col("r")),
-        F.struct(F.col("b").alias("column"), F.col("a").alias("other_column"), F.col("r"))))
-    return half.select(both.alias("x")).select("x.*")
+    return gram_correlations(df, cols)
 
 
 def target_correlations(df: DataFrame, target: str, require_variation: bool = False) -> DataFrame:
@@ -153,8 +174,8 @@ def target_rate_by_category(df: DataFrame, target: str, check: bool = True,
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint, target_rate double")
     y = nan_to_null(target, df.schema[target].dataType).cast("double")
-    long = df.select(y.alias("_y"), *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ["_y"], cols, "column", "value")
+    long = df.select(y.alias("_y"), *[quoted(c).cast("string").alias(c) for c in cols]).unpivot(
+        ["_y"], list(map(quoted, cols)), "column", "value")
     if max_levels is not None:
         small = column_cardinality(value_keys(df, cols)).where(F.col("distinct_count") <= max_levels)
         long = long.join(F.broadcast(small.select("column")), "column", "left_semi")
@@ -168,8 +189,8 @@ def category_target_distribution(df: DataFrame, target: str, k: int = 20, max_le
     cols = _text(df, exclude=[target])
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, target_value string, n bigint")
-    long = df.select(F.col(target).cast("string").alias("_t"), *[F.col(c).cast("string").alias(c) for c in cols]) \
-        .unpivot(["_t"], cols, "column", "value")
+    long = df.select(quoted(target).cast("string").alias("_t"), *[quoted(c).cast("string").alias(c) for c in cols]) \
+        .unpivot(["_t"], list(map(quoted, cols)), "column", "value")
     small = column_cardinality(value_keys(df, cols)).where(F.col("distinct_count") <= max_levels)
     long = long.join(F.broadcast(small.select("column")), "column", "left_semi")
     counts = long.where(F.col("_t").isNotNull()).groupBy("column", "value", "_t").agg(F.count(F.lit(1)).alias("n"))
@@ -230,9 +251,9 @@ def target_candidates(df: DataFrame) -> DataFrame:
 
 def leakage_name_columns(df: DataFrame, target: str) -> DataFrame:
     """Feature names (casefolded) containing a leakage term."""
-    t = target.strip().lower()
+    t = target.strip().casefold()
     rows = [(c,) for c in df.columns
-            if c.strip().lower() != t and any(term in c.strip().lower() for term in LEAKAGE_TERMS)]
+            if c.strip().casefold() != t and any(term in c.strip().casefold() for term in LEAKAGE_TERMS)]
     return df.sparkSession.createDataFrame(rows, "column string")
 
 
@@ -241,7 +262,7 @@ def leakage_name_columns(df: DataFrame, target: str) -> DataFrame:
 def mask_value(c: str | Column) -> Column:
     """Null -> ''; up to 4 characters -> all '*'; else keep the first and
     last two characters."""
-    s = (F.col(c) if isinstance(c, str) else c).cast("string")
+    s = (quoted(c) if isinstance(c, str) else c).cast("string")
     n = F.length(s)
     return (
         F.when(s.isNull(), F.lit(""))
@@ -259,4 +280,4 @@ def safe_preview(df: DataFrame, order_by: Sequence[str], n: int = PREVIEW_ROWS)
     """The first ``n`` rows by ``order_by`` (a top-k, planned as
     TakeOrderedAndProject), masked columns rendered with :func:`mask_value`."""
     return df.orderBy(*order_by).limit(n).select(
-        *[mask_value(c).alias(c) if should_mask(c) else F.col(c) for c in df.columns])
+        *[mask_value(c).alias(c) if should_mask(c) else quoted(c) for c in df.columns])

@@ -21,6 +21,7 @@ from tabsieve.functions.columns import (
     genuine_missing,
     is_numeric_type,
     is_text_type,
+    quoted,
     stripped_or_null,
     to_number,
 )
@@ -96,14 +97,14 @@ def scan_metrics(df: DataFrame) -> DataFrame:
     fields = {f.name: f.dataType for f in df.schema.fields}
     text = [c for c in df.columns if is_text_type(fields[c])]
     kept = {c: f"_kept{i}" for i, c in enumerate(text)}
-    pre = df.select(*df.columns, *[stripped_or_null(c).alias(kept[c]) for c in text])
+    pre = df.select(*map(quoted, df.columns), *[stripped_or_null(c).alias(kept[c]) for c in text])
 
     def k(c: str) -> Column:
         return F.col(kept[c])
 
     def is_marker(c: str, dt) -> Column:
         short = F.when(F.length(k(c)) <= MAX_MARKER_LENGTH, F.lower(k(c)).isin(*NULL_MARKERS))
-        return F.col(c).isNotNull() & (k(c).isNull() | F.coalesce(short, F.lit(False)))
+        return quoted(c).isNotNull() & (k(c).isNull() | F.coalesce(short, F.lit(False)))
 
     # Non-text columns only need the two presence counts; the text metrics
     # do not apply to them (0 without an aggregate).
@@ -111,7 +112,7 @@ def scan_metrics(df: DataFrame) -> DataFrame:
         "missing": count_if(genuine_missing),
         "fake_nulls": count_if(is_marker),
         "whitespace": count_if(lambda c, dt: F.octet_length(c) != F.coalesce(F.octet_length(k(c)), F.lit(0))),
-        "non_null": count_present(lambda c, dt: F.col(c)),
+        "non_null": count_present(lambda c, dt: quoted(c)),
         "non_blank": count_present(lambda c, dt: k(c)),
         "numeric_like": count_present(lambda c, dt: to_number(k(c))),
         "date_like": count_present(lambda c, dt: parse_date(k(c))),

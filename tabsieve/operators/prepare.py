@@ -23,12 +23,15 @@ from tabsieve.functions.columns import (
     is_text_type,
     nan_to_null,
     norm,
+    quoted,
     strip,
     textual_null,
     to_number,
 )
+from tabsieve.functions.canonical import hashable
 from tabsieve.functions.dates import date_orders, parse_date
 from tabsieve.operators.rules import ValidationRule, violation_flag
+from tabsieve.operators.valuecounts import row_key
 from tabsieve.plans.lineage import materialize
 from tabsieve.plans.ranking import exact_quantiles
 
@@ -54,7 +57,7 @@ class Action:
 
 def _replace(df: DataFrame, column: str, expr: Column) -> DataFrame:
     """Swap one column, keeping column order (one projection)."""
-    return df.select(*[expr.alias(c) if c == column else F.col(c) for c in df.columns])
+    return df.select(*[expr.alias(c) if c == column else quoted(c) for c in df.columns])
 
 
 def _require(df: DataFrame, action: Action) -> str:
@@ -67,10 +70,30 @@ def _require(df: DataFrame, action: Action) -> str:
 
 # --- T1 to T3, T7, T8 ----------------------------------------------------------
 
+BROADCAST_KEYS = 500_000  # rows of two longs
+
+
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """Identical rows are interchangeable, so keeping "the first" is
-    keeping one; a hash aggregate with map-side combine."""
-    return df.dropDuplicates()
+    """One of each set of identical rows; identical rows are
+    interchangeable, so keeping "the first" is keeping one.
+
+    Two phases: 128-bit row keys are counted (16 bytes a row, combined before
+    the shuffle), then only rows whose key repeats are shuffled whole; the
+    others stay where they were read. With more than ``BROADCAST_KEYS``
+    repeated keys all rows go through one hash aggregate instead."""
+    key = row_key(hashable(df))
+    repeated = materialize(df.groupBy(key.alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
+                           .where(F.col("_n") > 1).select("_row"))
+    n = repeated.count()
+    if not n:
+        return df
+    keyed = df.select(key.alias("_row"), F.struct(*map(quoted, df.columns)).alias("_cells"))
+    once = F.any_value("_cells").alias("_cells")
+    if n > BROADCAST_KEYS:
+        return keyed.groupBy("_row").agg(once).select("_cells.*")
+    keys = F.broadcast(repeated)
+    single = keyed.join(keys, "_row", "left_anti").select("_cells.*")
+    return single.union(keyed.join(keys, "_row", "left_semi").groupBy("_row").agg(once).select("_cells.*"))
 
 
 def drop_missing_rows(df: DataFrame, column: str) -> DataFrame:
@@ -94,7 +117,7 @@ def normalize_nulls(df: DataFrame, column: str) -> DataFrame:
     dt = df.schema[column].dataType
     if not is_text_type(dt):
         return df
-    return _replace(df, column, F.when(textual_null(column, dt), F.lit(None).cast(dt)).otherwise(F.col(column)))
+    return _replace(df, column, F.when(textual_null(column, dt), F.lit(None).cast(dt)).otherwise(quoted(column)))
 
 
 # --- T4 -------------------------------------------------------------------------
@@ -103,7 +126,7 @@ def category_map(df: DataFrame, column: str, order_by: str | None = None) -> Dat
     """Canonical spelling per strip+lower group with >= 2 raw spellings: the
     most frequent spelling (stripped); ties -> first observed by
     ``order_by``, else the smallest spelling. Markers and nulls excluded."""
-    c = F.col(column)
+    c = quoted(column)
     rows = df.where(c.isNotNull() & ~is_marker_text(c))
     first = F.min(order_by) if order_by else F.min(c)
     spellings = rows.groupBy(norm(c).alias("_key"), c.alias("_raw")).agg(
@@ -121,9 +144,9 @@ def normalize_categories(df: DataFrame, column: str, order_by: str | None = None
     if not is_text_type(df.schema[column].dataType):
         raise ValueError("normalize_categories requires a text column.")
     mapping = category_map(df, column, order_by)
-    joined = df.join(mapping, norm(F.col(column)) == F.col("_key"), "left")
-    out = F.coalesce(F.col("_canonical"), F.col(column))
-    return joined.select(*[out.alias(c) if c == column else F.col(c) for c in df.columns])
+    joined = df.join(mapping, norm(quoted(column)) == F.col("_key"), "left")
+    out = F.coalesce(F.col("_canonical"), quoted(column))
+    return joined.select(*[out.alias(c) if c == column else quoted(c) for c in df.columns])
 
 
 # --- T5, T6 ---------------------------------------------------------------------
@@ -137,7 +160,7 @@ def modes_of(df: DataFrame, columns: Sequence[str], order_by: str | None = None)
         return {}
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = [f"_v{i}" for i in range(len(columns))]
-    values = [F.when(~genuine_missing(c, fields[c]), F.col(c)).alias(n) for c, n in zip(columns, names)]
+    values = [F.when(~genuine_missing(c, fields[c]), quoted(c)).alias(n) for c, n in zip(columns, names)]
     rows = df.select(*values, (F.col(order_by) if order_by else F.lit(0)).alias("_o"))
     counts = rows.groupingSets([[F.col(n)] for n in names], *names).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
@@ -189,15 +212,15 @@ def impute_columns(df: DataFrame, wanted: Sequence[tuple[str, str]], order_by: s
 
     def filled(c: str) -> Column:
         value, kind = fills[c]
-        return F.when(genuine_missing(c, fields[c]), F.lit(value).cast(kind)).otherwise(F.col(c)).cast(kind)
+        return F.when(genuine_missing(c, fields[c]), F.lit(value).cast(kind)).otherwise(quoted(c)).cast(kind)
 
-    return df.select(*[filled(c).alias(c) if c in fills else F.col(c) for c in df.columns])
+    return df.select(*[filled(c).alias(c) if c in fills else quoted(c) for c in df.columns])
 
 
 def fill_missing(df: DataFrame, column: str, value, target_type: T.DataType) -> DataFrame:
     dt = df.schema[column].dataType
     return _replace(df, column, F.when(genuine_missing(column, dt), F.lit(value).cast(target_type))
-                    .otherwise(F.col(column)).cast(target_type))
+                    .otherwise(quoted(column)).cast(target_type))
 
 
 def impute_missing(df: DataFrame, column: str, strategy: str, order_by: str | None = None) -> DataFrame:
@@ -237,7 +260,7 @@ def cap_outliers(df: DataFrame, column: str) -> DataFrame:
     if bounds is None:
         return df
     lo, hi = bounds
-    c = F.col(column).cast("double")
+    c = quoted(column).cast("double")
     return _replace(df, column, F.when(c.isNull() | F.isnan(c), c).otherwise(F.least(F.greatest(c, F.lit(lo)), F.lit(hi))))
 
 
@@ -250,7 +273,7 @@ def set_missing(df: DataFrame, rule: ValidationRule) -> DataFrame:
 def fill_constant(df: DataFrame, column: str, value) -> DataFrame:
     """Genuine missing values -> a given literal."""
     dt = df.schema[column].dataType
-    return _replace(df, column, F.when(genuine_missing(column, dt), F.lit(value).cast(dt)).otherwise(F.col(column)))
+    return _replace(df, column, F.when(genuine_missing(column, dt), F.lit(value).cast(dt)).otherwise(quoted(column)))
 
 
 def drop_violations(df: DataFrame, rule: ValidationRule) -> DataFrame:

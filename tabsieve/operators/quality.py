@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from tabsieve.functions.columns import (
     NULL_MARKERS,
+    casefold,
+    folded_norm,
     genuine_missing,
     has_edge_whitespace,
     is_numeric_type,
     is_text_type,
     missing,
     norm,
+    quoted,
     strip,
     stripped_or_null,
     textual_null,
@@ -35,8 +38,10 @@ from tabsieve.operators.valuecounts import (
     row_key,
     spelling_groups,
     text_key,
+    text_keys,
     value_counts,
     value_keys,
+    values_of_keys,
 )
 from tabsieve.plans.columnwise import Metric, count_if, count_present, per_column
 from tabsieve.plans.lineage import materialize
@@ -85,17 +90,18 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("_k") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
-def duplicate_values(df: DataFrame, columns: Sequence[str] | None = None, vc: DataFrame | None = None) -> DataFrame:
-    """A4: non-null values (as stripped text) that occur more than once."""
-    vc = vc if vc is not None else value_counts(df, columns)
-    if columns is not None:
-        vc = vc.where(F.col("column").isin(*columns))
-    return (
-        vc.where(F.col("value").isNotNull())
-        .groupBy("column", strip("value").alias("value"))
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") > 1)
-    )
+def duplicate_values(df: DataFrame, columns: Sequence[str] | None = None, by_frequency: bool = False) -> DataFrame:
+    """A4: non-null values (as stripped text) that occur more than once.
+
+    Repeated values are found by 128-bit keys; only their texts are fetched,
+    so a value that occurs once is never shuffled. ``by_frequency`` sorts the
+    rows by column, falling count and value (L4)."""
+    cols = list(columns) if columns is not None else list(df.columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+    repeated = text_keys(df, cols, strip).where(F.col("key").isNotNull() & (F.col("n") > 1))
+    out = values_of_keys(df, cols, repeated, strip)
+    return out.orderBy("column", F.desc("n"), "value") if by_frequency else out
 
 
 # --- A5, A6 -------------------------------------------------------------------
@@ -138,7 +144,7 @@ def iqr_summary(df: DataFrame, columns: Sequence[str] | None = None, include_emp
         all_cols = spark.createDataFrame([(c,) for c in cols], "column string")
         zero = F.lit(0.0)
         result = all_cols.join(result, "column", "left").select(
-            "column", *[F.coalesce(F.col(c), zero).alias(c) for c in ("q1", "q3", "iqr", "lower_bound", "upper_bound")],
+            "column", *[F.coalesce(quoted(c), zero).alias(c) for c in ("q1", "q3", "iqr", "lower_bound", "upper_bound")],
             F.coalesce(F.col("outlier_count"), F.lit(0).cast("long")).alias("outlier_count"))
     return result
 
@@ -158,7 +164,7 @@ def numeric_like_columns(df: DataFrame, threshold: float = 0.8, evidence_names:
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType)]
     out = per_column(df, text, {
         "numeric_like_count": count_present(lambda c, dt: to_number(c)),
-        "non_null_count": count_present(lambda c, dt: F.col(c)),
+        "non_null_count": count_present(lambda c, dt: quoted(c)),
     })
     ratio = F.col("numeric_like_count") / F.col("non_null_count")
     name = "numeric_like_ratio" if evidence_names else "proportion"
@@ -173,8 +179,9 @@ BROADCAST_GROUPS = 500_000  # rows of fixed width, about 50 bytes each
 
 def categorical_inconsistencies(df: DataFrame, columns: Sequence[str] | None = None,
                                 skip_markers: bool = True) -> DataFrame:
-    """A9 (A10 with ``skip_markers=False``): raw spellings that share a
-    strip+lower form, one row per spelling, for groups with > 1 spelling.
+    """Raw spellings that share a strip+lower form; A10 with
+    ``skip_markers=False``: that share a strip+casefold form (sharp s and
+    double s are one), null markers included; one row per spelling, for groups with > 1 spelling.
 
     Long form ``column, normalized, variant, n_variants``: the list of
     variants of a group is data, so it is not folded into one array. Groups
@@ -186,15 +193,16 @@ def categorical_inconsistencies(df: DataFrame, columns: Sequence[str] | None = N
     if not text:
         return df.sparkSession.createDataFrame(
             [], "column string, normalized string, variant string, n_variants bigint")
-    groups = materialize(spelling_groups(value_keys(df, text), skip_markers).drop("rows"))
+    fold, form = (F.lower, norm) if skip_markers else (casefold, folded_norm)
+    groups = materialize(spelling_groups(value_keys(df, text, fold), skip_markers).drop("rows"))
     if groups.count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)
     cells = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("variant")) for c in text])).alias("r"))
-    cells = cells.select("r.*").where(F.col("variant").isNotNull()).withColumn("form", text_key(norm("variant")))
+        F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("variant")) for c in text])).alias("r"))
+    cells = cells.select("r.*").where(F.col("variant").isNotNull()).withColumn("form", text_key(form("variant")))
     found = cells.join(groups, ["column", "form"]).groupBy("column", "variant", "n_variants").agg(
         F.count(F.lit(1)).alias("n"))
-    return found.select("column", norm("variant").alias("normalized"), "variant", "n_variants")
+    return found.select("column", form("variant").alias("normalized"), "variant", "n_variants")
 
 
 def string_formatting_issues(df: DataFrame, columns: Sequence[str] | None = None,
@@ -249,8 +257,8 @@ def identifier_columns(df: DataFrame, threshold: float = 0.95, min_non_null_coun
             if (is_text_type(f.dataType) or not text_only) and f.name not in exclude]
     if approx_rsd is not None:
         card = per_column(df, cols, {
-            "non_null_count": count_present(lambda c, dt: F.col(c)),
-            "distinct_count": Metric(lambda c, dt: F.col(c).cast("string"),
+            "non_null_count": count_present(lambda c, dt: quoted(c)),
+            "distinct_count": Metric(lambda c, dt: quoted(c).cast("string"),
                                      lambda x: F.approx_count_distinct(x, approx_rsd), "string"),
         })
     else:
@@ -304,7 +312,7 @@ def date_candidate_columns(df: DataFrame, threshold: float = 0.8, modeling: bool
     text = [f.name for f in df.schema.fields if is_text_type(f.dataType) and f.name not in exclude]
     if modeling:
         out = per_column(df, text, {
-            "value_count": count_present(lambda c, dt: F.col(c)),
+            "value_count": count_present(lambda c, dt: quoted(c)),
             "numeric_count": count_if(lambda c, dt: F.lit(False)),
             "date_count": count_present(lambda c, dt: parse_date(c)),
         })
@@ -353,9 +361,10 @@ def profile_headline(df: DataFrame) -> DataFrame:
     metrics = materialize(per_column(df, df.columns, {
         "missing": count_if(missing),
         "numeric_like": count_present(lambda c, dt: to_number(c) if is_text_type(dt) else F.lit(None)),
-        "non_null": count_present(lambda c, dt: F.col(c)),
+        "non_null": count_present(lambda c, dt: quoted(c)),
     }))
     vc = materialize(value_keys(df))
+    either = F.col("whitespace_count") + F.col("case_inconsistency_count")
     like = metrics.where(F.col("column").isin(*text) & (F.col("non_null") > 0)
                          & (F.try_divide(F.col("numeric_like"), F.col("non_null")) >= 0.8))
     parts = [
@@ -373,6 +382,9 @@ def profile_headline(df: DataFrame) -> DataFrame:
         string_formatting_issues(df, vc=vc).where(F.col("whitespace_count") > 0).agg(
             F.lit("leading_or_trailing_whitespace").alias("check"),
             F.count(F.lit(1)).alias("affected_columns"), F.sum("whitespace_count").alias("affected_rows")),
+        string_formatting_issues(df, vc=vc).where(either > 0).agg(
+            F.lit("string_formatting").alias("check"),
+            F.count(F.lit(1)).alias("affected_columns"), F.sum(either).alias("affected_rows")),
         iqr_summary(df, counts=numeric_weights_from_value_counts(vc, numeric)).where(F.col("outlier_count") > 0).agg(
             F.lit("iqr_outliers").alias("check"), F.count(F.lit(1)).alias("affected_columns"),
             F.sum("outlier_count").alias("affected_rows")),

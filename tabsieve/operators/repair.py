@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.functions.columns import strip, to_number, to_timestamp_any
+from tabsieve.functions.columns import quoted, strip, to_number, to_timestamp_any
 from tabsieve.operators.quality import duplicate_row_count
 from tabsieve.plans.lineage import materialize
 from tabsieve.plans.ranking import quantiles_from_slices, slice_weights
@@ -38,13 +38,13 @@ class RepairError(ValueError):
 def currency_to_number(c: str | Column) -> Column:
     """Strip, drop the currency sign, strict cast (ANSI cast raises on
     text that is not a number)."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = quoted(c) if isinstance(c, str) else c
     return F.replace(strip(col.cast("string")), F.lit(CURRENCY_SIGN), F.lit("")).cast("double")
 
 
 def parse_dates(c: str | Column, formats: Sequence[str] = REPAIR_DATE_FORMATS) -> Column:
     """R2: first format that matches wins; null when none does."""
-    col = strip((F.col(c) if isinstance(c, str) else c).cast("string"))
+    col = strip((quoted(c) if isinstance(c, str) else c).cast("string"))
     return to_timestamp_any(col, formats)
 
 
@@ -99,12 +99,12 @@ def repair_accounts(df: DataFrame) -> RepairResult:
     replaced = {"monthly_charge": monthly, "signup_date": normalized_date_text("signup_date"),
                 "age": age, "total_charge": total}
     keep = [c for c in df.columns if c not in LEAKAGE_COLUMNS]
-    return RepairResult(df.select(*[replaced.get(c, F.col(c)).alias(c) for c in keep]), median)
+    return RepairResult(df.select(*[replaced.get(c, quoted(c)).alias(c) for c in keep]), median)
 
 
 def extreme_total(c: str) -> Column:
     """Above the limit; NaN is missing, not extreme."""
-    return (F.col(c) > EXTREME_TOTAL) & ~F.isnan(F.col(c).cast("double"))
+    return (quoted(c) > EXTREME_TOTAL) & ~F.isnan(quoted(c).cast("double"))
 
 
 def repair_report(df: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def repair_invariants(source: DataFrame, result: DataFrame, key: str = "customer
     # before the shuffle and never pair up; null keys are one key.
 
     def signed(frame: DataFrame, sign: int) -> DataFrame:
-        cells = [(F.xxhash64(c, F.col(c).isNull()).cast("decimal(38,0)") * sign).alias(f"_h{i}")
+        cells = [(F.xxhash64(quoted(c), quoted(c).isNull()).cast("decimal(38,0)") * sign).alias(f"_h{i}")
                  for i, c in enumerate(unchanged)]
         return frame.select(F.col(key).alias("_key"), F.lit(sign).alias("_side"), *cells)
 
@@ -144,7 +144,7 @@ def repair_invariants(source: DataFrame, result: DataFrame, key: str = "customer
         F.count(F.when(F.col("monthly_charge").try_cast("double").isNull(), F.lit(1))).alias("unparseable_charges_remain"),
         F.count(F.when(F.try_to_timestamp(F.col("signup_date"), F.lit(OUTPUT_DATE_FORMAT)).isNull(), F.lit(1)))
         .alias("invalid_signup_dates_remain"),
-        F.count(F.when(F.col("total_charge") > EXTREME_TOTAL, F.lit(1))).alias("extreme_totals_remain"),
+        F.count(F.when(extreme_total("total_charge"), F.lit(1))).alias("extreme_totals_remain"),
     )
     counts = source.agg(F.count(F.lit(1)).alias("n")).select(F.lit("s").alias("side"), "n").unionByName(
         result.agg(F.count(F.lit(1)).alias("n")).select(F.lit("r").alias("side"), "n"))

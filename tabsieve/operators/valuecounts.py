@@ -12,7 +12,7 @@ from this one frame.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +24,10 @@ from tabsieve.functions.columns import (
     is_numeric_type,
     is_text_type,
     nan_to_null,
+    quoted,
     strip,
 )
+from tabsieve.plans.lineage import materialize
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -48,7 +50,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     def typed(c: str) -> tuple[Column, Column, Column]:
         dt = fields[c]
         if isinstance(dt, INTEGRAL):
-            return no_s, F.col(c).cast("long"), no_d
+            return no_s, quoted(c).cast("long"), no_d
         if isinstance(dt, (T.DoubleType, T.FloatType)):
             return no_s, no_i, nan_to_null(c, dt).cast("double")
         return nan_to_null(c, dt).cast("string"), no_i, no_d
@@ -93,9 +95,10 @@ def row_key(columns: Sequence[Column]) -> Column:
     return F.struct(F.xxhash64(*cells).alias("a"), F.xxhash64(F.lit(1), *cells).alias("b"))
 
 
-def value_keys(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def value_keys(df: DataFrame, columns: Sequence[str] | None = None,
+               fold: Callable[[Column], Column] = F.lower) -> DataFrame:
     """:func:`value_counts` for checks that need no value back: ``column,
-    value, num, form, traits, n`` where ``value`` and ``form`` (strip + lower)
+    value, num, form, traits, n`` where ``value`` and ``form`` (strip + ``fold``)
     are keys of fixed width, so no text is shuffled or stored however long it
     is. ``num`` is set for every numeric type; ``form`` and ``traits`` (blank,
     edge white space, null marker) for text columns."""
@@ -109,8 +112,8 @@ def value_keys(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     # Each text is stripped and lower-cased once, in projections of their own
     # (used several times below, so Catalyst does not inline them).
     text = {c: i for i, c in enumerate(cols) if is_text_type(fields[c])}
-    rows = df.select(*cols, *[strip(c).alias(f"_strip_{i}") for c, i in text.items()])
-    rows = rows.select("*", *[F.lower(f"_strip_{i}").alias(f"_form_{i}") for i in text.values()])
+    rows = df.select(*map(quoted, cols), *[strip(c).alias(f"_strip_{i}") for c, i in text.items()])
+    rows = rows.select("*", *[fold(F.col(f"_strip_{i}")).alias(f"_form_{i}") for i in text.values()])
 
     no_long, no_double = F.lit(None).cast("long"), F.lit(None).cast("double")
 
@@ -162,3 +165,32 @@ def spelling_groups(keys: DataFrame, skip_markers: bool = True) -> DataFrame:
         present = present.where(~has_trait(MARKER))
     return present.groupBy("column", "form").agg(F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("rows")) \
         .where(F.col("n_variants") > 1)
+
+
+BROADCAST_KEYS = 500_000  # rows of fixed width, about 50 bytes each
+
+
+def values_of_keys(df: DataFrame, columns: Sequence[str], keys: DataFrame,
+                   shown: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+    """``column, value, n`` of the values (``shown`` as text) whose
+    ``(column, key)`` is in ``keys``: other texts are never shuffled. The keys
+    are broadcast after a count of their rows, else left to AQE."""
+    keys = materialize(keys.select("column", "key"))
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    cells = df.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), shown(_as_text(df, c)).alias("value")) for c in columns])).alias("r")).select("r.*")
+    cells = cells.where(F.col("value").isNotNull()).withColumn("key", text_key(F.col("value")))
+    return cells.join(keys, ["column", "key"], "left_semi").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _as_text(df: DataFrame, c: str) -> Column:
+    return nan_to_null(c, df.schema[c].dataType).cast("string")
+
+
+def text_keys(df: DataFrame, columns: Sequence[str], shown: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+    """``column, key, n``: distinct values as text, by 128-bit key; null is a
+    value of its own with a null key."""
+    records = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), text_key(shown(_as_text(df, c))).alias("key"))
+                                  for c in columns])).alias("r")
+    return df.select(records).select("r.*").groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"))

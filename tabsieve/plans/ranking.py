@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsieve.functions.columns import is_numeric_type, nan_to_null
+from tabsieve.functions.columns import is_numeric_type, nan_to_null, quoted
 from tabsieve.plans.lineage import materialize
 
 
@@ -96,7 +96,7 @@ def long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         spark = df.sparkSession
         return spark.createDataFrame([], "column string, v double")
     return df.select(*[nan_to_null(c, fields[c]).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "v")
+        [], list(map(quoted, cols)), "column", "v")
 
 
 def value_weights(df: DataFrame, columns: Sequence[str]) -> DataFrame:

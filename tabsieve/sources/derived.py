@@ -103,6 +103,16 @@ from {customer}
 """
 
 
+# events with every third row a second time, whole rows
+REPEATED_EVENTS_SQL = "select * from {events} union all select * from {events} where event_id % 3 = 0"
+
+# street names in spellings that only full case folding brings together
+STREETS_SQL = """
+select c_custkey, case c_custkey % 5 when 0 then 'Hauptstraße ' when 1 then 'HAUPTSTRASSE ' when 2 then ' hauptstrasse '
+  when 3 then 'Hauptstrasse ' else 'Ringweg ' end || case when c_custkey % 5 = 4 then 'A' else '' end || c_nationkey as street
+from {customer}
+"""
+
 # customers with text that CSV has to quote: quotes, commas, line breaks
 CUSTOMER_NOTES_SQL = """
 select c_custkey, case c_custkey % 6 when 0 then 'said "' || c_mktsegment || '", twice'
@@ -129,6 +139,14 @@ def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CUSTOMER_NOTES_SQL, customer=table(spark, sf_dir, "customer"))
 
 
+def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(REPEATED_EVENTS_SQL, events=table(spark, sf_dir, "events"))
+
+
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(STREETS_SQL, customer=table(spark, sf_dir, "customer"))
+
+
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SPARK_DATE_TEXTS_SQL, orders=table(spark, sf_dir, "orders"))
 

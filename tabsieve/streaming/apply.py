@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsieve.functions.columns import norm
+from tabsieve.functions.columns import norm, quoted
 from tabsieve.operators import prepare
 from tabsieve.operators.prepare import Action
 from tabsieve.plans.lineage import materialize
@@ -34,15 +34,15 @@ def _apply_step(df: DataFrame, step: tuple) -> DataFrame:
         return prepare.fill_missing(df, column, value, target_type)
     if kind == "clamp":
         _, column, lo, hi = step
-        c = F.col(column).cast("double")
+        c = quoted(column).cast("double")
         return prepare._replace(df, column, F.when(c.isNull() | F.isnan(c), c).otherwise(F.least(F.greatest(c, F.lit(lo)),
                                                                                     F.lit(hi))))
     if kind == "map":
         _, column, mapping = step
         # materialized when fitting; Spark broadcasts it only if it is small
-        joined = df.join(mapping, norm(F.col(column)) == F.col("_key"), "left")
-        fixed = F.coalesce(F.col("_canonical"), F.col(column))
-        return joined.select(*[fixed.alias(c) if c == column else F.col(c) for c in df.columns])
+        joined = df.join(mapping, norm(quoted(column)) == F.col("_key"), "left")
+        fixed = F.coalesce(F.col("_canonical"), quoted(column))
+        return joined.select(*[fixed.alias(c) if c == column else quoted(c) for c in df.columns])
     if kind == "dedupe":
         if df.isStreaming:
             raise ValueError("remove_duplicates on a stream needs a watermark; deduplicate in batch.")
