@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabsieve.operators import evaluation, modeling
 from tabsieve.registry import register
 from tabsieve.sources.derived import (
+    LABELED_DOCUMENTS_SQL,
     SCORED_LABELS_SQL,
     UNREADY_CUSTOMER_SQL,
     dirty_customer,
@@ -219,6 +220,89 @@ def _train(model: str):
     return run
 
 
+def _fitted(spark, d):
+    return modeling.Preprocessor(["n_chars"], ["lang", "source"]).fit(labeled_documents(spark, d)).statistics(spark)
+
+
+_LABELED_CTE = "ld as (" + LABELED_DOCUMENTS_SQL.format(labels="labels", documents="documents") + ")"
+_PREPARED_SQL = f"""{_LABELED_CTE}, med as (select quantile_cont(n_chars::double, 0.5) as m from ld),
+x as (select coalesce(n_chars::double, m) as v from ld, med),
+levels as (select col, value, count(*) as n from (
+ select 'lang' as col, lang as value from ld union all select 'source', source from ld)
+ where value is not null and lower(trim(value)) not in {MARKERS_SQL} group by all)"""
+register("preprocessor_statistics", f"""
+with {_PREPARED_SQL}
+select 'n_chars' as "column", 'median' as statistic, m as number, cast(null as varchar) as text from med
+union all select 'n_chars', 'mean', avg(v), null from x
+union all select 'n_chars', 'std', stddev_pop(v), null from x
+union all select col, 'mode', null, arg_min(value, (-n, value)) from levels group by col
+union all select col, 'levels', count(*), null from levels group by col
+""")(_fitted)
+register("preprocessor_positions", f"""
+with {_PREPARED_SQL}
+select col as "column", value, cast(row_number() over (partition by col order by value) - 1 as double) as position from levels
+""")(lambda spark, d: modeling.Preprocessor(["n_chars"], ["lang", "source"]).fit(labeled_documents(spark, d)).positions)
+
+# class quotas: largest remainders of ceil(0.2 n) and of ceil(0.25 rest); totals need no classes
+register("training_record", f"""
+with {_LABELED_CTE}, n as (select count(*) as n, ceil(0.2 * count(*))::bigint as test_rows from ld),
+v as (select *, ceil(0.25 * (n - test_rows))::bigint as validation_rows from n)
+select 'Logistic Regression' as model, 'quality' as target, 'n_chars,lang,source' as features, 'doc_id' as excluded,
+ n - test_rows as train_rows, test_rows, validation_rows from v
+""")(lambda spark, d: modeling.train_evaluate(
+    labeled_documents(spark, d), "quality", "Logistic Regression", TRAIN_FEATURES, ["doc_id"]).record.select(
+    "model", "target", F.array_join("features", ",").alias("features"), F.array_join("excluded", ",").alias("excluded"),
+    "train_rows", "test_rows", "validation_rows"))
+
+# requests with something wrong, judged by names or by data
+FLAWED_REQUESTS = (
+    ("many faults", "quality", "Decision Tree", ("lang", "lang", "quality", "nowhere")),
+    ("no features", "missing", "Random Forest", ()),
+    ("three classes", "doc_kind", "Random Forest", ("n_chars",)),
+    ("text target", "yes_no", "Random Forest", ("n_chars",)),
+    ("sound", "quality", "Random Forest", ("n_chars", "lang")),
+)
+
+
+def _training_problems(spark, d):
+    df = labeled_documents(spark, d).withColumn("doc_kind", F.col("doc_id") % 3).withColumn(
+        "yes_no", F.when(F.col("quality") == 1, "yes").otherwise("no"))
+    rows = [(name, p) for name, target, model, features in FLAWED_REQUESTS
+            for p in modeling.training_problems(df, target, model, list(features))]
+    return spark.createDataFrame(rows, "request string, problem string")
+
+
+register("training_problems", f"""
+with {_LABELED_CTE}, kinds as (select count(distinct doc_id % 3) as k from ld),
+other as (select count(*) as k from ld where quality not in (0, 1))
+select 'many faults' as request, unnest(['model_not_supported:Decision Tree', 'feature_repeated:lang',
+ 'feature_is_target:quality', 'feature_not_found:nowhere']) as problem
+union all select 'no features', unnest(['target_not_found:missing', 'features_empty:'])
+union all select 'three classes', 'not_ready:not_two_classes:doc_kind' from kinds where k <> 2
+union all select 'text target', 'target_not_binary:yes_no' where (select count(*) from ld) > 0
+union all select 'sound', 'target_not_binary:quality' from other where k > 0
+""")(_training_problems)
+
+_DOC_LEVELS = " union all ".join(f"select '{c}' as col, {c} as value, quality as y from ld" for c in ("lang", "source"))
+register("target_evidence", f"""
+with {_LABELED_CTE}
+select 'target_missing' as kind, 'quality' as "column", cast(null as varchar) as category,
+ cast(null as varchar) as target_value, count(*) - count(quality) as n, cast(null as double) as value from ld
+union all select 'target_distinct', 'quality', null, null, count(distinct quality), null from ld
+union all select 'target_value', 'quality', null, cast(quality as varchar), count(*), null from ld
+ where quality is not null group by quality
+union all select 'category_target', col, value, null, count(y), avg(y::double) from ({_DOC_LEVELS}) group by col, value
+""")(lambda spark, d: modeling.target_evidence(labeled_documents(spark, d), "quality"))
+register("target_evidence_text", f"""
+with {_LABELED_CTE}, c as (select source as value, lang as y, count(*) as n from ld where lang is not null group by all)
+select 'target_missing' as kind, 'lang' as "column", cast(null as varchar) as category,
+ cast(null as varchar) as target_value, count(*) - count(lang) as n, cast(null as double) as value from ld
+union all select 'target_distinct', 'lang', null, null, count(distinct lang), null from ld
+union all select 'target_value', 'lang', null, lang, count(*), null from ld where lang is not null group by lang
+union all select 'category_target_value', 'source', value, y, n, null from c
+ qualify row_number() over (partition by value order by n desc, y) <= 20
+""")(lambda spark, d: modeling.target_evidence(labeled_documents(spark, d), "lang"))
+
 register("train_lr")(_train("Logistic Regression"))
 register("train_rf")(_train("Random Forest"))
 register("train_evaluate")(lambda spark, d: modeling.train_evaluate(

@@ -174,25 +174,35 @@ def target_rate_by_category(df: DataFrame, target: str, check: bool = True,
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint, target_rate double")
     y = nan_to_null(target, df.schema[target].dataType).cast("double")
+    if max_levels is not None:
+        cols = _with_few_levels(df, cols, max_levels)
+        if not cols:
+            return df.sparkSession.createDataFrame([], "column string, value string, n bigint, target_rate double")
     long = df.select(y.alias("_y"), *[quoted(c).cast("string").alias(c) for c in cols]).unpivot(
         ["_y"], list(map(quoted, cols)), "column", "value")
-    if max_levels is not None:
-        small = column_cardinality(value_keys(df, cols)).where(F.col("distinct_count") <= max_levels)
-        long = long.join(F.broadcast(small.select("column")), "column", "left_semi")
     return long.groupBy("column", "value").agg(
         F.count("_y").alias("n"), F.avg("_y").alias("target_rate"))
 
 
+def _with_few_levels(df: DataFrame, cols: Sequence[str], max_levels: int) -> list[str]:
+    """Columns with at most ``max_levels`` distinct values, so that only these
+    are unpivoted; one row a column reaches the driver."""
+    few = column_cardinality(value_keys(df, cols)).where(F.col("distinct_count") <= max_levels)
+    kept = {r["column"] for r in few.select("column").collect()}
+    return [c for c in cols if c in kept]
+
+
 def category_target_distribution(df: DataFrame, target: str, k: int = 20, max_levels: int = 50) -> DataFrame:
     """For a non-numeric target, the ``k`` most frequent target values
     per category value (ties by target value), columns with <= max_levels."""
     cols = _text(df, exclude=[target])
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, target_value string, n bigint")
+    cols = _with_few_levels(df, cols, max_levels)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, value string, target_value string, n bigint")
     long = df.select(quoted(target).cast("string").alias("_t"), *[quoted(c).cast("string").alias(c) for c in cols]) \
         .unpivot(["_t"], list(map(quoted, cols)), "column", "value")
-    small = column_cardinality(value_keys(df, cols)).where(F.col("distinct_count") <= max_levels)
-    long = long.join(F.broadcast(small.select("column")), "column", "left_semi")
     counts = long.where(F.col("_t").isNotNull()).groupBy("column", "value", "_t").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("column", "value").orderBy(F.desc("n"), F.asc("_t"))
     return counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select(

@@ -35,12 +35,10 @@ def check_threshold_inputs(df: DataFrame, label: str, score: str) -> None:
         F.count(F.when(F.col(label).isNull() | ~F.col(label).isin(0, 1), F.lit(1))).alias("bad_label"),
         F.count(F.when(s.isNull() | F.isnan(s) | (s < 0) | (s > 1), F.lit(1))).alias("bad_score"),
     ).first()
-    if row["n"] == 0:
-        raise ThresholdInputError("Labels and probabilities must have equal nonzero length.")
-    if row["bad_label"]:
-        raise ThresholdInputError("Threshold selection requires binary labels 0 and 1.")
-    if row["bad_score"]:
-        raise ThresholdInputError("Probabilities must be finite values between 0 and 1.")
+    problems = [code for code, wrong in (("no_rows", row["n"] == 0), ("labels_not_0_or_1", row["bad_label"]),
+                                         ("scores_outside_0_to_1", row["bad_score"])) if wrong]
+    if problems:
+        raise ThresholdInputError("Threshold input refused: " + "; ".join(problems))
 
 
 def select_threshold(df: DataFrame, label: str, score: str, check: bool = True) -> DataFrame:

@@ -79,6 +79,7 @@ def column_cardinality(vc: DataFrame) -> DataFrame:
     )
 
 
+KEY = "struct<a: bigint, b: bigint>"
 BLANK, EDGE, MARKER = 1, 2, 4  # bits of ``traits``
 
 
@@ -104,53 +105,74 @@ def value_keys(df: DataFrame, columns: Sequence[str] | None = None,
     edge white space, null marker) for text columns."""
     cols = list(columns) if columns is not None else list(df.columns)
     fields = {f.name: f.dataType for f in df.schema.fields}
-    key = "struct<a: bigint, b: bigint>"
     if not cols:
         return df.sparkSession.createDataFrame(
-            [], f"column string, value {key}, num double, form {key}, traits int, n bigint")
+            [], f"column string, value {KEY}, num double, form {KEY}, traits int, n bigint")
 
-    # Each text is stripped and lower-cased once, in projections of their own
-    # (used several times below, so Catalyst does not inline them).
+    names = F.array(*[F.lit(c) for c in cols])
+    at = {c: i for i, c in enumerate(cols)}
+    plain = [c for c in cols if isinstance(fields[c], (*INTEGRAL, T.DoubleType, T.FloatType))]
+    others = [c for c in cols if c not in plain]
+    parts = ([_number_keys(df, plain, fields, at)] if plain else []) + ([_text_keys(df, others, fields, at, fold)] if others else [])
+    counted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return counted.select(F.element_at(names, F.col("_ci") + 1).alias("column"), "value", "num", "form", "traits", "n")
+
+
+def _counted(df: DataFrame, records: list[Column]) -> DataFrame:
+    """Equal records of all columns with their number; flat cells, which Spark
+    groups faster than structs."""
+    flat = df.select(F.explode(F.array(*records)).alias("r")).select("r.*")
+    return flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _number_keys(df: DataFrame, cols: Sequence[str], fields: dict, at: dict[str, int]) -> DataFrame:
+    """Integers and doubles stand for themselves: three cells a value."""
+    none = {True: F.lit(None).cast("double"), False: F.lit(None).cast("long")}
+    records = []
+    for c in cols:
+        whole, value = isinstance(fields[c], INTEGRAL), nan_to_null(c, fields[c])
+        records.append(F.struct(F.lit(at[c]).alias("_ci"), (value.cast("long") if whole else none[False]).alias("_a"),
+                                (none[True] if whole else value.cast("double")).alias("_d")))
+    key = F.struct(F.coalesce("_a", F.xxhash64("_d")).alias("a"), F.lit(0).cast("long").alias("b"))
+    return _counted(df, records).select(
+        "_ci", F.when(F.col("_a").isNotNull() | F.col("_d").isNotNull(), key).alias("value"),
+        F.coalesce(F.col("_a").cast("double"), F.col("_d")).alias("num"), F.lit(None).cast(KEY).alias("form"),
+        F.lit(0).alias("traits"), "n")
+
+
+def _text_keys(df: DataFrame, cols: Sequence[str], fields: dict, at: dict[str, int],
+               fold: Callable[[Column], Column]) -> DataFrame:
+    """All other types by the hashes of their text."""
+    # Each text is stripped and folded once, in projections of their own (used
+    # several times below, so Catalyst does not inline them).
     text = {c: i for i, c in enumerate(cols) if is_text_type(fields[c])}
     rows = df.select(*map(quoted, cols), *[strip(c).alias(f"_strip_{i}") for c, i in text.items()])
     rows = rows.select("*", *[fold(F.col(f"_strip_{i}")).alias(f"_form_{i}") for i in text.values()])
-
     no_long, no_double = F.lit(None).cast("long"), F.lit(None).cast("double")
 
-    def record(c: str) -> list[Column]:
-        """Flat cells, which Spark groups faster than structs. Integers and
-        doubles stand for themselves, all else is hashed."""
-        dt = fields[c]
-        value = nan_to_null(c, dt)
-        a, b, num, fa, fb, traits = no_long, no_long, no_double, no_long, no_long, F.lit(0)
-        if isinstance(dt, INTEGRAL):
-            a = value.cast("long")
-        elif isinstance(dt, (T.DoubleType, T.FloatType)):
-            num = value.cast("double")
-        else:
-            shown = value.cast("string")
-            a, b = (F.when(shown.isNotNull(), h) for h in (F.xxhash64(shown), F.xxhash64(F.lit(1), shown)))
-            num = value.cast("double") if is_numeric_type(dt) else no_double
+    def hashes(shown: Column) -> tuple[Column, Column]:
+        return tuple(F.when(shown.isNotNull(), h) for h in (F.xxhash64(shown), F.xxhash64(F.lit(1), shown)))
+
+    records = []
+    for c in cols:
+        value = nan_to_null(c, fields[c])
+        a, b = hashes(value.cast("string"))
+        num = value.cast("double") if is_numeric_type(fields[c]) else no_double
+        fa, fb, traits = no_long, no_long, F.lit(0)
         if c in text:
-            stripped, lowered = F.col(f"_strip_{text[c]}"), F.col(f"_form_{text[c]}")
-            fa, fb = (F.when(lowered.isNotNull(), h) for h in (F.xxhash64(lowered), F.xxhash64(F.lit(1), lowered)))
-            marker = (F.length(stripped) <= MAX_MARKER_LENGTH) & lowered.isin(*NULL_MARKERS)
+            stripped, folded = F.col(f"_strip_{text[c]}"), F.col(f"_form_{text[c]}")
+            fa, fb = hashes(folded)
+            marker = (F.length(stripped) <= MAX_MARKER_LENGTH) & folded.isin(*NULL_MARKERS)
             traits = (F.when(F.octet_length(stripped) == 0, BLANK).otherwise(0)
                       + F.when(F.octet_length(stripped) != F.octet_length(value), EDGE).otherwise(0)
                       + F.when(marker, MARKER).otherwise(0))
-        return [x.alias(n) for x, n in zip((a, b, num, fa, fb, traits), flat, strict=True)]
-
-    flat = ("_a", "_b", "num", "_fa", "_fb", "traits")
-    records = F.explode(F.array(*[F.struct(F.lit(i).alias("_ci"), *record(c)) for i, c in enumerate(cols)])).alias("r")
-    counted = rows.select(records).select("r.*").groupBy("_ci", *flat).agg(F.count(F.lit(1)).alias("n"))
-    names = F.array(*[F.lit(c) for c in cols])
-    integral = F.col("_ci").isin(*[i for i, c in enumerate(cols) if isinstance(fields[c], INTEGRAL)])
-    value = F.struct(F.coalesce("_a", F.xxhash64("num")).alias("a"), F.coalesce("_b", F.lit(0)).cast("long").alias("b"))
+        cells = (F.lit(at[c]), a, b, num, fa, fb, traits)
+        records.append(F.struct(*[x.alias(n) for x, n in zip(cells, ("_ci", "_a", "_b", "num", "_fa", "_fb", "traits"),
+                                                             strict=True)]))
     form = F.struct(F.col("_fa").alias("a"), F.col("_fb").alias("b"))
-    return counted.select(
-        F.element_at(names, F.col("_ci") + 1).alias("column"),
-        F.when(F.col("_a").isNotNull() | F.col("num").isNotNull(), value).alias("value"),
-        F.when(integral, F.col("_a").cast("double")).otherwise(F.col("num")).alias("num"),
+    value = F.struct(F.col("_a").alias("a"), F.coalesce("_b", F.lit(0)).cast("long").alias("b"))
+    return _counted(rows, records).select(
+        "_ci", F.when(F.col("_a").isNotNull(), value).alias("value"), "num",
         F.when(F.col("_fa").isNotNull(), form).alias("form"), "traits", "n")
 
 
