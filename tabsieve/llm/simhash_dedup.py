@@ -4,9 +4,12 @@
 2. Equal fingerprints collapse to one node (with the smallest doc_id).
 3. Nodes are dealt into shards that cannot separate a linked pair: of
    ``radius + 1`` bit blocks two fingerprints within the radius share at
-   least one, so every block value is a shard. A shard above ``shard_limit``
-   is divided again by the blocks of its remaining bits, which is exact for
-   the same reason, until it fits (after five rounds 8 bits are left, so 256
+   least one, and with it every prefix of it. A shard is a prefix value, the
+   shortest that leaves about ``shard_limit / 2`` nodes, so the trees below
+   are as large as a task may search. Where fingerprints crowd, the prefix
+   grows by ``PREFIX_STEP`` bits up to the whole block; a block value that is
+   still above ``shard_limit`` is divided by the blocks of its remaining bits,
+   which is exact for the same reason, until it fits (8 bits left: 256
    fingerprints at most). No pair is lost, no shard is capped.
 4. Each shard becomes a BK-tree whose children are keyed by their Hamming
    distance to the parent; a lookup follows only the edges within the radius.
@@ -35,6 +38,7 @@ from tabsieve.plans.lineage import materialize
 
 SEED = 42
 BITS = 64
+PREFIX_STEP = 4
 
 
 def simhash(text: bytes, shingle: int = 3) -> int:
@@ -136,27 +140,48 @@ def _masks(radius: int, level: int) -> tuple[list[int], int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m, _ in paths], max(len(f) for _, f in paths)
 
 
-def near_links(prints: DataFrame, radius: int = 2, shard_limit: int = 2048) -> DataFrame:
-    """``fp`` (distinct) -> ``u, v`` links whose components are those of the
-    graph of all pairs within ``radius`` bits."""
-    parts, pending, level, last = [], prints.select("fp", F.lit(0).alias("path")), 0, False
-    while not last:
-        masks, free = _masks(radius, level)
-        last = free <= 8  # 256 fingerprints at most
-        first = F.col("path") * (radius + 1)
-        keyed = pending.select("fp", F.explode(F.sequence(first, first + radius)).alias("path"))
+def _prefix_masks(radius: int, bits: int) -> list[int]:
+    """The first ``bits`` bits of every block (signed 64-bit masks)."""
+    cut = [BITS * k // (radius + 1) for k in range(radius + 2)]
+    masks = [sum(1 << b for b in range(cut[k], min(cut[k] + bits, cut[k + 1]))) for k in range(radius + 1)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
+def bk_shards(prints: DataFrame, radius: int = 2, shard_limit: int = 2048) -> DataFrame:
+    """``level, path, shard, fp``: the fingerprints of every tree (two at least)."""
+    block = -(-BITS // (radius + 1))
+    n = prints.count()
+    bits = min(block, max(0, (-(-2 * n // shard_limit) - 1).bit_length()))
+    first = [*range(bits, block, PREFIX_STEP), block]
+    pending = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("path"))
+    parts, deeper, last = [], 0, False
+    for level in range(len(first) + BITS):
+        if level < len(first):
+            masks = _prefix_masks(radius, first[level])
+        else:
+            deeper += 1
+            masks, free = _masks(radius, deeper)
+            last = free <= 8  # 256 fingerprints at most
+            start = F.col("path") * (radius + 1)
+            pending = pending.select("fp", F.explode(F.sequence(start, start + radius)).alias("path"))
         mask = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("path") + 1)
-        keyed = keyed.withColumn("shard", F.col("fp").bitwiseAND(mask))
+        keyed = pending.withColumn("shard", F.col("fp").bitwiseAND(mask))
         sizes = materialize(keyed.groupBy("path", "shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         shared = materialize(keyed.join(sizes, ["path", "shard"]).select("fp", "path", "shard", "n"))
         large = F.lit(False) if last else F.col("n") > shard_limit
         parts.append(shared.where(~large).select(F.lit(level).alias("level"), "path", "shard", "fp"))
         pending = shared.where(large).select("fp", "path")
-        last = last or pending.isEmpty()
-        level += 1
+        if last or pending.isEmpty():
+            break
     shards = parts[0]
     for more in parts[1:]:
         shards = shards.union(more)
+    return shards
+
+
+def near_links(prints: DataFrame, radius: int = 2, shard_limit: int = 2048) -> DataFrame:
+    """``fp`` (distinct) -> ``u, v`` links whose components are those of the
+    graph of all pairs within ``radius`` bits."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, run, out = None, [], []
@@ -179,6 +204,7 @@ def near_links(prints: DataFrame, radius: int = 2, shard_limit: int = 2048) -> D
         out.extend(shard_links(run, radius))
         yield flush()
 
+    shards = bk_shards(prints, radius, shard_limit)
     return (shards.repartition("level", "path", "shard").sortWithinPartitions("level", "path", "shard", "fp")
             .mapInArrow(trees, "u long, v long"))
 
