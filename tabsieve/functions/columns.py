@@ -85,10 +85,6 @@ def text_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if is_text_type(f.dataType) and f.name not in skip]
 
 
-def dtype_of(df: DataFrame, column: str) -> T.DataType:
-    return df.schema[column].dataType
-
-
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     missing_cols = [c for c in columns if c not in df.columns]
     if missing_cols:

@@ -21,6 +21,7 @@ from tabsieve.functions.columns import (
     is_numeric_type,
     is_text_type,
     missing,
+    nan_to_null,
     norm,
     quoted,
     strip,
@@ -257,8 +258,8 @@ def identifier_columns(df: DataFrame, threshold: float = 0.95, min_non_null_coun
             if (is_text_type(f.dataType) or not text_only) and f.name not in exclude]
     if approx_rsd is not None:
         card = per_column(df, cols, {
-            "non_null_count": count_present(lambda c, dt: quoted(c)),
-            "distinct_count": Metric(lambda c, dt: quoted(c).cast("string"),
+            "non_null_count": count_present(lambda c, dt: nan_to_null(c, dt)),
+            "distinct_count": Metric(lambda c, dt: nan_to_null(c, dt).cast("string"),
                                      lambda x: F.approx_count_distinct(x, approx_rsd), "string"),
         })
     else:
