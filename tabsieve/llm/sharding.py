@@ -91,12 +91,13 @@ def assign_groups(groups: DataFrame, shards: int, chunk: int = CHUNK) -> DataFra
     large = F.col("bytes") * singles >= F.lit(total)
     paths: list[DataFrame] = []  # item -> bundle, per round
     items, n = groups.select("item", "bytes"), count
+    classes = max(1, min(CLASSES, chunk.bit_length() - 4))  # the smallest class still has a few rows a chunk
     while n > chunk:
         chunks = -(-n // (chunk // 2))
-        bundles = max(1, chunk // 2 // (chunks * CLASSES))
-        part = F.pmod(F.xxhash64("item", F.lit(len(paths))), F.lit(chunks)) * CLASSES
-        low = F.pmod(F.xxhash64("item", F.lit("class")), F.lit(1 << (CLASSES - 1)))  # class c: 2 ** -(c + 1) of all
-        scale = F.when(low == 0, CLASSES - 1).otherwise(F.floor(F.lit(CLASSES - 1) - F.log2(low + 0.5)))
+        bundles = max(2, chunk // 2 // (chunks * classes))  # two at least, so that every class is differenced
+        part = F.pmod(F.xxhash64("item", F.lit(len(paths))), F.lit(chunks)) * classes
+        low = F.pmod(F.xxhash64("item", F.lit("class")), F.lit(1 << (classes - 1)))  # class c: 2 ** -(c + 1) of all
+        scale = F.when(low == 0, classes - 1).otherwise(F.floor(F.lit(classes - 1) - F.log2(low + 0.5)))
         dealt = items.where(~large).withColumn("chunk", part + scale.cast("long"))
         dealt = materialize(_bundled(dealt.select("chunk", "item", "bytes"), bundles))
         name = F.unhex(F.md5(F.concat_ws("/", F.lit(len(paths)), "chunk", "part").cast("binary")))
@@ -124,7 +125,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, chunk: int = CHUNK) -> Da
         F.unhex(F.sha2(text, 256)).alias("item")))
     groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("bytes")))
     shard_of = assign_groups(groups, shards, chunk)
-    placed = rows.join(shard_of, "item")
-    placed = cumulative_before(placed, [F.col("item"), F.col("doc_id")], ["shard"])
+    # the row tag tells equal rows apart, so that a crowd of them is no single slice
+    placed = rows.withColumn("tag", F.monotonically_increasing_id()).join(shard_of, "item")
+    placed = cumulative_before(placed, [F.col("item"), F.col("doc_id"), F.col("tag")], ["shard"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          F.col("cum_before").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
