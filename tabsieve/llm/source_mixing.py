@@ -52,7 +52,9 @@ def _copies(docs: DataFrame, weights: Sequence[float], max_ratio: int) -> DataFr
     targets = targets.select(F.col("source").alias("_s"), "place", "source_size", "target")
     rows = docs.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    ranked = cumulative_before(rows, [F.col("size").desc(), F.col("mark"), F.col("doc_id")], ["place"])
+    # the row tag tells repeated rows apart, so that a crowd of them is no single slice
+    rows = rows.withColumn("tag", F.monotonically_increasing_id())
+    ranked = cumulative_before(rows, [F.col("size").desc(), F.col("mark"), F.col("doc_id"), F.col("tag")], ["place"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = F.conv(F.substring(F.md5(F.coalesce(F.col("source"), F.lit("")).cast("binary")), 1, 8), 16, 10)
     offset = start.cast("double") / F.lit(4294967296.0)
