@@ -3,10 +3,11 @@
 Lines are exploded with a normalised key, keys are hashed, and documents are
 counted per hash (map-side combined, so a line that every document holds is
 one row per task). Only the hashes over the threshold go on; joined back with
-the lines they give each document the set of hashes it loses, and the text is
-rebuilt in line order by filtering its own array. The text itself is never
-exploded into a shuffle: what moves is one hash per long line, and each text
-once for the last join.
+the exploded lines they give each text the positions it loses. The remaining
+positions, in order, pick the lines of the text's own array, so the work is
+linear in the lines. The text itself is never exploded into a shuffle: what
+moves is a hash and a position per long line, and each text once for the last
+join.
 """
 
 from __future__ import annotations
@@ -31,19 +32,22 @@ def _hash(line: Column, min_chars: int) -> Column:
     return F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key.cast("binary"))))
 
 
-def _hashes(min_chars: int) -> Column:
-    return F.array_distinct(F.filter(F.transform("_lines", lambda x: _hash(x, min_chars)), lambda h: h.isNotNull()))
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _mark(text: Column) -> Column:
+    """128 bits that stand for a whole text."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))
+
+
 def shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``key, keeper``: hash of every line key held by ``min_docs`` documents
     or more, with the largest doc_id that holds it. Rows with one doc_id are
     one document; the null id is one document too, smaller than any other."""
-    lines = docs.select("doc_id", F.explode(_hashes(min_chars)).alias("key"))
+    keys = F.filter(F.transform(_lines(F.col("text")), lambda x: _hash(x, min_chars)), lambda h: h.isNotNull())
+    lines = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
     per_doc = lines.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     return (per_doc.groupBy("key").agg(F.count("one").alias("n"), F.max("doc_id").alias("keeper"))
             .where(F.col("n") >= min_docs).select("key", "keeper"))
@@ -54,20 +58,29 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     ``n_dropped`` and the remaining ``kept`` text, one row per document.
 
     A null or empty text is one empty line. Repeated rows lose and keep the
-    same lines. Other columns are carried along untouched inside ``row``."""
-    lined = docs.select("doc_id", _lines(F.col("text")).alias("_lines"))
-    shared = materialize(shared_lines(lined, min_chars, min_docs))
-    held = lined.select("doc_id", F.explode(_hashes(min_chars)).alias("key"))
+    same lines. Other columns are carried along untouched inside ``row``. A
+    text is one row however long; the positions it loses are one array."""
+    shared = materialize(shared_lines(docs, min_chars, min_docs))
+    placed = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("at"), _hash(x, min_chars).alias("key")))
+    held = docs.select("doc_id", _mark(F.col("text")).alias("mark"), F.explode(
+        F.filter(placed, lambda p: p["key"].isNotNull())).alias("p")).select("doc_id", "mark", "p.at", "p.key")
     lost = held.join(shared, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    lost = materialize(lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left").select(
-        "row", "lost", _lines(F.col("row.text")).alias("_lines"))
-    keep = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("lost"), _hash(x, min_chars)), F.lit(False)))
-    joined = joined.select("row", F.size("_lines").cast("long").alias("n_lines"), F.when(
-        F.col("lost").isNotNull(), keep).otherwise(F.col("_lines")).alias("left_lines"))
-    return joined.select("row", "n_lines", (F.col("n_lines") - F.size("left_lines")).alias("n_dropped"),
-                         F.array_join("left_lines", "\n").alias("kept"))
+    # texts that come twice under one id have one array of positions
+    lost = materialize(lost.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("lost")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _mark(F.col("text")).alias("m"))
+    joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("m") == F.col("mark")), "left")
+
+    def keep(lines: Column) -> Column:
+        """Lines at the positions that are left (a hash set, order kept)."""
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    n = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    # the one-element array binds the lines, so that the text is cut once
+    kept = F.get(F.transform(F.array(_lines(F.col("row.text"))), keep), F.lit(0))
+    return joined.select("row", n.alias("n_lines"), F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n_dropped"),
+                         F.when(F.col("lost").isNull(), text).otherwise(kept).alias("kept"))
 
 
 def line_report(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -87,9 +100,9 @@ with lines as (
   from lines
 ), shared as (
   select key, max(doc_id) as keeper from keyed where length(key) >= 20
-  group by key having count(distinct doc_id) >= 3
+  group by key having count(distinct doc_id) + max(case when doc_id is null then 1 else 0 end) >= 3
 ), marked as (
-  select k.*, s.key is not null and k.doc_id <> s.keeper as lost
+  select k.*, s.key is not null and k.doc_id is distinct from s.keeper as lost
   from keyed k left join shared s on k.key = s.key
 )
 select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
