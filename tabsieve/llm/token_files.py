@@ -8,8 +8,8 @@ into ids with another lookup; no value is parsed on its own.
 
 Work runs in three Spark passes: texts are tokenised once into a Parquet table
 of packed ids; the table is counted (one row per token and task, at most one
-per vocabulary entry in all); it is coded with the ranks, range-partitioned by
-``doc_id`` and written file by file in that order. Tasks write under names of
+per vocabulary entry in all); it is range-partitioned by ``doc_id`` and coded
+with the ranks file by file in that order. Tasks write under names of
 their own, renamed when complete, and only files named in the manifest count,
 so repeated or lost attempts leave the result alone. Files are read back by
 Spark's ``binaryFile`` source.
@@ -27,10 +27,12 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +42,53 @@ from tabsieve.plans.ranking import cumulative_before
 
 MAGIC = b"TSIDS001"
 IDS_PER_FILE = 1 << 24  # a file ends with the document that reaches this
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 144 << 20
 DECODE_STEP = 1 << 18  # control bytes decoded at once
 BROADCAST_FILES = 500_000  # manifest rows of about 100 bytes; more are joined by a shuffle
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 TABLE_SCHEMA = "doc_id long, n_tokens long, ids binary"
-CODED_SCHEMA = "doc_id long, n_tokens long, text_key int, control binary, data binary"
 FILE_SCHEMA = "part int, seq int, name string, n_docs long, n_ids long"
 READ_SCHEMA = "name string, at long, doc_id long, n_tokens long, ids binary"
 
 # A space next to text starts a new word of the byte-level splitter; only a
 # space inside a longer run of white space may not be cut off.
-_CROWDED = re.compile(r"\s \s|\s $")
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_CROWDED = f"{_WHITE} {_WHITE}|{_WHITE} $"
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
-_PLAIN = re.compile(r" \S+")
+# words of Latin letters and marks after them are split apart by the splitter too
+_MARKS = ".,;:!?"
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_WORD = re.compile(f" ?{_LETTERS}")
+_LINES = re.compile(f" ?{_LETTERS}[{_MARKS}]*(?:\n{_LETTERS}[{_MARKS}]*)+")
+_PARTS = re.compile(f" ?{_LETTERS}|[{_MARKS}]+|\n")
+
+
+def _gather(flat: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``flat`` named by ``code`` one after another, and where each ends."""
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[code]
+    ends = np.cumsum(n)
+    at = np.repeat(starts[code] - (ends - n), n)
+    at += np.arange(len(at))
+    return flat[at], ends
+
+
+def _strings(column: pa.Array) -> list[str]:
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:  # bytes that are no UTF-8
+        return [t.decode("utf-8", "replace") for t in texts(column)]
+
+
+class _Shown(dict):
+    """How a byte-level tokenizer shows a character to its model."""
+
+    def __init__(self, library):
+        self.library = library
+
+    def __missing__(self, character: int) -> str:
+        text = self[character] = self.library.pre_tokenizer.pre_tokenize_str(chr(character))[0][0]
+        return text
 
 
 class Tokenizer:
@@ -73,56 +108,104 @@ class Tokenizer:
         split = spec.get("pre_tokenizer") or {}
         self.cuts = (split.get("type") == "ByteLevel" and split.get("use_regex", True)
                      and not split.get("add_prefix_space") and not spec.get("normalizer")
-                     and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]
+                     and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"[\s.,;:!?]", t["content"])
                                  for t in spec["added_tokens"]))
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        mark = self.library.encode("\n", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.memo: dict[str, bytes] = {}
+        self.shown = _Shown(self.library)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.memo: dict[str, bytes] = {"": b""}
         self.memo_bytes = 0
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def _whole(self, strings: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        return [self.pack(e.ids) for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Adds new pieces to the memo. Words go to the library 200 at a time,
-        as lines: a line break is a token of its own between them."""
-        plain = [p for p in pieces if _PLAIN.fullmatch(p)] if self.mark is not None else []
-        groups = [plain[at:at + 200] for at in range(0, len(plain), 200)]
-        coded = self.library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)
-        for some, code in zip(groups, coded):
-            ids = np.array(code.ids, dtype=self.kind)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(ends) == len(some):
-                starts = np.append(0, ends[:-1] + 1)
-                self.memo.update((p, ids[s:e].tobytes()) for p, s, e in zip(some, starts.tolist(), ends.tolist()))
-        rest = [p for p in pieces if p not in self.memo]
-        self.memo.update(zip(rest, self._whole(rest)))
-        self.memo_bytes += sum(map(len, pieces)) * 2 + 160 * len(pieces)
-
-    def encode(self, strings: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return self._whole(strings)
+        """Adds pieces to the memo. Words go to the library's model at once, as
+        its splitter leaves them whole; words and marks around single line
+        breaks are put together from their parts; all else is encoded."""
+        tokens, shown, space = self.library.model.tokenize, self.shown, self.shown[32]
+        memo, rest, lines = self.memo, [], {}
+        for p in pieces:
+            if _WORD.fullmatch(p):
+                text = p.translate(shown) if not p.isascii() else space + p[1:] if p[0] == " " else p
+                memo[p] = self.pack([t.id for t in tokens(text)])
+            elif _LINES.fullmatch(p):
+                lines[p] = _PARTS.findall(p)
+            else:
+                rest.append(p)
+        memo.update(zip(rest, self._whole(rest)))
+        parts = {q for own in lines.values() for q in own if q not in memo}
+        if parts:
+            self._learn(list(parts))
+        memo.update((p, b"".join([memo[q] for q in own])) for p, own in lines.items())
+        self.memo_bytes += 220 * len(pieces) + 3 * sum(map(len, pieces))
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of every piece."""
         if self.memo_bytes > MEMO_BYTES:
-            self.memo.clear()
+            self.memo = {"": b""}
             self.memo_bytes = 0
-        cut = []
-        for s in strings:
-            if _CROWDED.search(s):
-                cut.append(_SAFE_CUT.split(s))
-            else:
-                words = s.split(" ")
-                cut.append([words[0], *[" " + w for w in words[1:]]])
-        new = set().union(*cut) - self.memo.keys() if cut else set()
-        new.discard("")
-        self.memo[""] = b""
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(self.memo.__getitem__, pieces)) for pieces in cut]
+        out = list(map(self.memo.get, pieces))
+        if None in out:
+            at = [k for k, ids in enumerate(out) if ids is None]
+            new = list({pieces[k]: None for k in at})
+            self._learn(new)
+            for k in at:
+                out[k] = self.memo[pieces[k]]
+        return out
+
+    def _table(self, words: pa.Array, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words (with a space before them where ``spaced``),
+        and their number per word. Marks at the end of a word go apart."""
+        bodies = pc.utf8_rtrim(words, characters=_MARKS)
+        split = pc.match_substring_regex(bodies, f"^{_LETTERS}$")
+        before = pa.array([" ", ""]).take(pa.array(np.where(spaced, 0, 1)))
+        numbered = pc.binary_join_element_wise(before, pc.if_else(split, bodies, words), "").dictionary_encode()
+        body = np.array(numbered.indices).astype(np.int64)
+        ids = self.pieces(_strings(numbered.dictionary))
+        trimmed = np.array(pc.binary_length(words)) - np.array(pc.binary_length(bodies))
+        tailed = np.flatnonzero((trimmed > 0) & np.array(split))
+        tails = words.take(pa.array(tailed)).cast(pa.binary()).to_pylist()
+        cut = [t[-k:].decode() for t, k in zip(tails, trimmed[tailed].tolist())]
+        marks = {m: k for k, m in enumerate(dict.fromkeys(cut))}
+        tail = np.zeros(len(words), dtype=np.int64)  # part 0 is empty
+        tail[tailed] = [1 + len(ids) + marks[m] for m in cut]
+        ids = [b"", *ids, *self.pieces(list(marks))]
+        lengths = np.array([len(i) for i in ids], dtype=np.int64) // self.kind.itemsize
+        flat, ends = _gather(np.frombuffer(b"".join(ids), self.kind), lengths, np.stack([body + 1, tail], axis=1).ravel())
+        return flat, np.diff(ends[1::2], prepend=0)
+
+    def _words(self, column: pa.Array) -> list[bytes]:
+        """Texts cut at every space: Arrow numbers the distinct words, the memo
+        gives their ids, and numpy lays these out text by text."""
+        if not len(column):
+            return []
+        lists = pc.split_pattern(column, " ")
+        counts = np.array(lists.value_lengths())
+        numbered = lists.flatten().dictionary_encode()
+        code = np.array(numbered.indices).astype(np.int64)
+        n, ends = len(numbered.dictionary), np.cumsum(counts)
+        code[ends - counts] += n  # the first word of a text has no space before it
+        used, code = np.unique(code, return_inverse=True)
+        flat, lengths = self._table(numbered.dictionary.take(pa.array(used % n)), used < n)
+        ids, upto = _gather(flat, lengths, code)
+        raw = ids.tobytes()
+        cut = [0, *(upto[ends - 1] * self.kind.itemsize).tolist()]
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Packed ids of an Arrow text column; null is the empty text."""
+        column = column.fill_null("")
+        if not self.cuts:
+            return self._whole(_strings(column))
+        crowded = pc.match_substring_regex(column, _CROWDED)
+        out = iter(self._words(column.filter(pc.invert(crowded))))
+        rest = iter(_strings(column.filter(crowded)))
+        return [b"".join(self.pieces(_SAFE_CUT.split(next(rest)))) if c else next(out) for c in crowded.to_pylist()]
 
 
 _tokenizers: dict[str, Tokenizer] = {}  # one a Python worker
@@ -139,10 +222,10 @@ def encode_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        end = own._pack([end_id])
+        end = own.pack([end_id])
         for batch in batches:
-            for part in slices(batch, 4 << 20):
-                ids = [i + end for i in own.encode([t.decode("utf-8", "replace") for t in texts(part.column(1))])]
+            for part in slices(batch, 6 << 20):
+                ids = [i + end for i in own.encode(part.column(1))]
                 counts = pa.array([len(i) // own.kind.itemsize for i in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.binary())],
                                                  ["doc_id", "n_tokens", "ids"])
@@ -156,28 +239,24 @@ def token_counts(table: DataFrame, kind: np.dtype, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=size)
+            for part in slices(batch, 4 << 20):
+                total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), kind), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["token", "n"])
 
     return (table.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")))
 
 
-def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of documents that hold ``counts`` of the ranks each."""
     ranks = ranks.astype("<u4")
     code = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    ends = np.cumsum(counts)
     n_control = -(-counts // 4)
-    c_ends = np.cumsum(n_control)
+    moved = 4 * (np.cumsum(n_control) - n_control) - (np.cumsum(counts) - counts)
     slots = np.zeros(4 * int(n_control.sum()), dtype=np.uint8)
-    slots[np.arange(len(ranks)) + np.repeat(4 * (c_ends - n_control) - (ends - counts), counts)] = code
+    slots[np.arange(len(ranks)) + np.repeat(moved, counts)] = code
     control = (slots[0::4] | slots[1::4] << 2 | slots[2::4] << 4 | slots[3::4] << 6).tobytes()
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
-    d_ends = np.append(0, np.cumsum(code.astype(np.int64) + 1))[ends] if len(counts) else ends
-    cut = lambda raw, to: [raw[a:b] for a, b in zip([0, *to.tolist()], to.tolist())]
-    return cut(control, c_ends), cut(data, d_ends)
+    return control, ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -208,30 +287,19 @@ def unpack(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndar
     return out
 
 
-def code_table(table: DataFrame, rank_of: np.ndarray, kind: np.dtype) -> DataFrame:
-    """Rows of :func:`encode_table` with control and data bytes for the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 4 << 20):
-                ids = part.column(2).to_pylist()
-                counts = np.array([len(i) // kind.itemsize for i in ids], dtype=np.int64)
-                control, data = pack(rank_of[np.frombuffer(b"".join(ids), kind)], counts)
-                keys = np.array([zlib.crc32(i) for i in ids], dtype=np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts), pa.array(keys), pa.array(control, pa.binary()),
-                     pa.array(data, pa.binary())], ["doc_id", "n_tokens", "text_key", "control", "data"])
-
-    return table.mapInArrow(run, CODED_SCHEMA)
-
-
-def _file_bytes(docs: list[tuple]) -> bytes:
-    ids = np.array([d[0] or 0 for d in docs], dtype="<i8").tobytes()
-    nulls = bytes(d[0] is None for d in docs)
-    counts = np.array([d[1] for d in docs], dtype="<u8").tobytes()
-    control, data = b"".join(d[2] for d in docs), b"".join(d[3] for d in docs)
-    sizes = np.array([len(docs), sum(d[1] for d in docs), len(control)], dtype="<u8").tobytes()
-    body = b"".join((MAGIC, sizes, ids, nulls, counts, control, data))
+def file_bytes(doc_ids: list[int | None], ids: list[bytes], rank_of: np.ndarray, kind: np.dtype) -> bytes:
+    """One file of the documents' packed ids."""
+    counts = np.array([len(i) // kind.itemsize for i in ids], dtype=np.int64)
+    control, data = [], []
+    a = 0
+    while a < len(ids):  # coded in steps of about a million ids
+        b = max(a + 1, int(np.searchsorted(np.cumsum(counts[a:]), 1 << 20)) + a)
+        for to, some in zip((control, data), pack(rank_of[np.frombuffer(b"".join(ids[a:b]), kind)], counts[a:b])):
+            to.append(some)
+        a = b
+    sizes = np.array([len(ids), counts.sum(), sum(map(len, control))], dtype="<u8").tobytes()
+    body = b"".join((MAGIC, sizes, np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
+                     bytes(d is None for d in doc_ids), counts.astype("<u8").tobytes(), *control, *data))
     return body + zlib.crc32(body).to_bytes(4, "little")
 
 
@@ -249,31 +317,34 @@ def parse_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(doc_ids, nulls)], counts, unpack(control, data, counts)
 
 
-def _writer(folder: str, ids_per_file: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writer(folder: str, rank_of: np.ndarray, kind: np.dtype, ids_per_file: int,
+            ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(folder)
         attempt = uuid.uuid4().hex
-        part, seq, held, n = 0, 0, [], 0
+        part, seq, n = 0, 0, 0
+        doc_ids: list[int | None] = []
+        held: list[bytes] = []
 
         def close() -> pa.RecordBatch:
             name = f"{part:06d}-{seq:06d}-{attempt}.ids"
             with store.open_output_stream(f"{base}/{name}.part") as out:
-                out.write(_file_bytes(held))
+                out.write(file_bytes(doc_ids, held, rank_of, kind))
             store.move(f"{base}/{name}.part", f"{base}/{name}")
             return pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "name": [name],
                  "n_docs": [len(held)], "n_ids": [n]})
 
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "control", "data", "part")]):
-                part = row[4]
-                held.append(row)
-                n += row[1]
+            for doc_id, ids, part in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "ids", "part")]):
+                doc_ids.append(doc_id)
+                held.append(ids)
+                n += len(ids) // kind.itemsize
                 if n >= ids_per_file:
                     yield close()
-                    seq, held, n = seq + 1, [], 0
+                    seq, n, doc_ids, held = seq + 1, 0, [], []
         if held:
             yield close()
 
@@ -291,7 +362,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     shared and open to pyarrow (a mounted path, HDFS or an object store).
 
     Documents follow each other by ascending doc_id, a null id first; rows of
-    one id by number of ids, then CRC-32 of the ids. A null text is an empty
+    one id by number of ids, then CRC-32 of the packed ids. A null text is an empty
     one and has the end id alone; repeated rows are documents of their own. An
     empty table gives a manifest without files. Other columns are not read. A
     text is one row throughout, however long; a worker holds the ids of a
@@ -311,13 +382,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     rank_of[by_rank] = np.arange(len(by_rank))
     total = int(spark.read.parquet(f"{folder}/counts").agg(F.sum("n")).first()[0] or 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ids_per_file))
-    coded = code_table(table, rank_of, own.kind)
     order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("text_key")]
     # the row number in its task tells equal rows apart, so that a crowd of them is split too
-    ranged = coded.withColumn("tag", F.monotonically_increasing_id()).repartitionByRange(parts, *order, F.col("tag"))
+    ranged = table.withColumn("text_key", F.crc32("ids")).withColumn("tag", F.monotonically_increasing_id())
+    ranged = ranged.repartitionByRange(parts, *order, F.col("tag"))
     ranged = ranged.withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
-    files = ranged.select("doc_id", "n_tokens", "control", "data", "part").mapInArrow(
-        _writer(f"{folder}/files", ids_per_file), FILE_SCHEMA)
+    files = ranged.select("doc_id", "ids", "part").mapInArrow(
+        _writer(f"{folder}/files", rank_of, own.kind, ids_per_file), FILE_SCHEMA)
     files.write.parquet(f"{folder}/manifest")
     _delete(spark, f"{folder}/table")
 
