@@ -112,6 +112,9 @@ def train_language_model(labelled: DataFrame, train_docs: int = 20_000, max_word
     return build_model(sorted((r["lang"], r["word"], int(r["n"])) for r in top.collect()))
 
 
+REMEMBER_BYTES = 32 << 20
+
+
 class Scorer:
     """Scores texts with one model; remembers the rows of words met before."""
 
@@ -120,11 +123,12 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        scorer, model = self, self.model
+        scorer, model, self.bytes = self, self.model, 0
 
         class Places(dict):
             def __missing__(self, word: str) -> int:
                 place = self[word] = len(self)
+                scorer.bytes += 4 * len(word)
                 if place == len(scorer.rows):
                     scorer.rows = np.concatenate([scorer.rows, np.zeros_like(scorer.rows)])
                 row = model.words.get(word)
@@ -137,7 +141,7 @@ class Scorer:
         words = TOKEN.findall(text.lower())
         if not self.model.languages or not words or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        if len(self.places) > self.remember:
+        if len(self.places) > self.remember or self.bytes > REMEMBER_BYTES:
             self._reset()
         places = np.fromiter(map(self.places.__getitem__, words), dtype=np.int64, count=len(words))
         # words depend on each other: count at most ``evidence`` of them as independent

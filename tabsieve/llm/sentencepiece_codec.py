@@ -36,6 +36,9 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+REMEMBER_BYTES = 64 << 20
+
+
 class Codec:
     """Best-score segmentation over the pieces of one vocabulary file."""
 
@@ -68,7 +71,7 @@ class Codec:
         self.ending.update(self.score)
         feed = any("\n" in p for p in self.score)
         self.cut = re.compile(r" +[^ ]*|[^ ]+" if feed else r" +[^ \n]*|\n+|[^ \n]+")
-        self.remember, self.known = remember, {}
+        self.remember, self.known, self.known_bytes = remember, {}, 0
 
     def words(self, text: str) -> list[str]:
         """Marked words (a space stands for the mark) that make up a text."""
@@ -78,14 +81,15 @@ class Codec:
         """Sorted distinct words -> their ids as little-endian 32-bit numbers.
         Equal scores prefer the longer last piece."""
         ending, unknown = self.ending, self.unknown
-        last, score, back = "", [0.0], [(0, -1)]
+        # 20 bytes a character, so that a long run without spaces fits as well
+        last, score, origin, chosen = "", array("d", [0.0]), array("q", [0]), array("i", [-1])
         for word in words:
             shared, top = 0, min(len(last), len(word))
             while shared < top and last[shared] == word[shared]:
                 shared += 1
-            del score[shared + 1:], back[shared + 1:]
+            del score[shared + 1:], origin[shared + 1:], chosen[shared + 1:]
             for j in range(shared + 1, len(word) + 1):
-                found, link = score[j - 1] + unknown, (j - 1, -1)
+                found, start, piece_id = score[j - 1] + unknown, j - 1, -1
                 for i in range(j - 1, -1, -1):
                     piece = ending.get(word[i:j], 0)
                     if piece is None:
@@ -96,12 +100,13 @@ class Codec:
                         break
                     s = score[i] + piece[0]
                     if s >= found:
-                        found, link = s, (i, piece[1])
+                        found, start, piece_id = s, i, piece[1]
                 score.append(found)
-                back.append(link)
+                origin.append(start)
+                chosen.append(piece_id)
             ids, j = array("i"), len(word)
             while j > 0:
-                i, piece_id = back[j]
+                i, piece_id = origin[j], chosen[j]
                 if piece_id >= 0:
                     ids.append(piece_id)
                 else:
@@ -114,10 +119,11 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """Packed ids of every text; null stays null, the empty text has none."""
         split = [None if t is None else self.words(t) for t in texts]
-        if len(self.known) > self.remember:
-            self.known = {}
+        if len(self.known) > self.remember or self.known_bytes > REMEMBER_BYTES:
+            self.known, self.known_bytes = {}, 0
         fresh = {w for ws in split if ws for w in ws}.difference(self.known)
         self.known.update(self.best(sorted(fresh)))
+        self.known_bytes += 5 * sum(map(len, fresh))
         known = self.known
         return [None if ws is None else b"".join([known[w] for w in ws]) for ws in split]
 

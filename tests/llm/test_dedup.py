@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tabsieve.llm import line_dedup, simhash_dedup
 from tabsieve.llm.components import connected_components
@@ -89,6 +90,21 @@ def test_crowded_shards_lose_no_link(spark, limit):
     assert len(pairs) == len(set(expected.values())) == len(set(mine.values()))
 
 
+def test_trees_hold_hundreds_of_fingerprints(spark):
+    """The search is the trees', not the bit blocks': shards are as coarse as
+    their limit allows, and crowded prefixes grow until they fit."""
+    values = [v * 0x9E3779B97F4A7C15 % (1 << 64) for v in range(1, 6001)]
+    values += [(0xABC << 52) | v for v in range(900)]  # one crowded prefix
+    prints = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in set(values)], "fp long")
+    sizes = [r["n"] for r in simhash_dedup.bk_shards(prints, shard_limit=512).groupBy("level", "path", "shard")
+             .agg(F.count("fp").alias("n")).collect()]
+    assert max(sizes) <= 512 and sum(n for n in sizes if n > 100) >= 3 * 6000
+    labels = simhash_dedup.group_labels(prints, shard_limit=512).collect()
+    expected, mine = slow_groups(values), {r["fp"] & (2 ** 64 - 1): r["label"] for r in labels}
+    pairs = {(expected[v], mine[v]) for v in values}
+    assert len(pairs) == len(set(expected.values())) == len(set(mine.values()))
+
+
 def test_bk_tree_follows_only_edges_within_the_radius():
     tree, values = simhash_dedup.BKTree(), [v * 0x9E3779B97F4A7C15 % (1 << 64) for v in range(1, 300)]
     for v in values:
@@ -129,6 +145,25 @@ def test_line_report_matches_brute_force(spark):
     assert line_dedup.line_report(empty(spark)).count() == 0
 
 
+def test_long_shared_texts_and_null_ids(spark, tmp_path):
+    """Very many shared lines, one text twice under an id, and a line whose
+    third holder has no id: Spark, brute force and SQL agree."""
+    import duckdb
+
+    long = [f"shared line number {i} of a very long text" for i in range(6000)]
+    own = [f"an own line {i} that nobody else has got" for i in range(6000)]
+    texts = ["\n".join(x for pair in zip(long, own) for x in pair), "\n".join(long), "\n".join(reversed(long))]
+    table = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (1, texts[2] + "\ntail"), (None, long[0]), (None, own[3]),
+                                                     (8, own[3]), (9, own[3].upper()), (None, None), (5, "")]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    found = Counter(tuple(r) for r in line_dedup.line_report(docs).collect())
+    assert found == slow_lines(table)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert Counter(db.execute(line_dedup.REPORT_SQL).fetchall()) == found
+
+
 def test_line_keys_keep_other_white_space(spark):
     """A no-break space or a line separator is not stripped and not a break."""
     table = [(i, f"  padded line of the text   {'' if i % 2 else ' '}", "en", "s", 1, 0.0, "", i)

@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabsieve.llm import sharding, source_mixing
 
@@ -102,6 +103,17 @@ def test_shards_are_whole_and_even(spark, chunk):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_more_texts_than_one_round_of_bundles_takes(spark):
+    """Above 836,000 distinct texts every class is still differenced."""
+    n = 900_000
+    size = F.floor(F.exp(6 + 3 * F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000)).cast("long")
+    groups = spark.range(n).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("item"), size.alias("bytes"))
+    total = sharding.assign_groups(groups, 40).join(groups, "item").groupBy("shard").agg(
+        F.sum("bytes").alias("b"), F.count("item").alias("k")).collect()
+    sums = [r["b"] for r in total]
+    assert len(sums) == 40 and sum(r["k"] for r in total) == n and max(sums) - min(sums) <= 100
+
+
 def test_shards_of_odd_rows(spark):
     import zlib
 
