@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tabsieve.operators import evaluation, modeling
@@ -132,6 +133,17 @@ def test_train_small_fixture(spark):
     assert (rec["train_rows"], rec["test_rows"], rec["validation_rows"]) == (16, 4, 4)
 
 
+@pytest.mark.parametrize("model", modeling.SUPPORTED_MODELS)
+def test_models_score_in_a_session_that_observed_metrics(spark, model):
+    """The session's observations are no part of what a scoring task gets."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    df = spark.createDataFrame([(i, "north" if i % 3 else "south", i % 2) for i in range(20)], "age int, region string, y int")
+    scored = modeling._fit_score(df, df, model, ["age"], ["region"], "y", 20).collect()
+    assert len(scored) == 20 and all(0 <= r["score"] <= 1 and r["prediction"] in (0, 1) for r in scored)
+
+
 def test_skewed_inputs(spark):
     """One value holds a third of all rows: quantiles, ranks and quotas stay exact."""
     import numpy as np
