@@ -200,7 +200,9 @@ def categorical_inconsistencies(df: DataFrame, columns: Sequence[str] | None = N
         groups = F.broadcast(groups)
     cells = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("variant")) for c in text])).alias("r"))
-    cells = cells.select("r.*").where(F.col("variant").isNotNull()).withColumn("form", text_key(form("variant")))
+    # folded once a row, in a projection of its own
+    cells = cells.select("r.*").where(F.col("variant").isNotNull()).withColumn("folded", form("variant"))
+    cells = cells.select("column", "variant", text_key(F.col("folded")).alias("form"))
     found = cells.join(groups, ["column", "form"]).groupBy("column", "variant", "n_variants").agg(
         F.count(F.lit(1)).alias("n"))
     return found.select("column", form("variant").alias("normalized"), "variant", "n_variants")

@@ -147,3 +147,31 @@ def test_dotted_names_go_through(spark):
     assert quality.profile_headline(df).count() > 3
     out = prepare.trim_whitespace(prepare.impute_missing(df, "avg.price", "median"), "the text")
     assert out.where("`avg.price` is null or `the text` = ' a '").count() == 0
+
+
+def test_fingerprint_code_stays_short_enough_to_compile(spark):
+    """Java compiles no method of over 8,000 bytes; a table of many numbers kept
+    the fingerprint of every row in the interpreter."""
+    import re
+    from tabsieve.sources.tables import content_fingerprint
+    df = spark.range(5).select(*[(F.col("id") * 1.5 + i).alias(f"x{i}") for i in range(12)], F.col("id").cast("string").alias("t"))
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shown = spark.sparkContext._jvm.PythonSQLUtils.explainString(
+            content_fingerprint(df)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_spellings_are_folded_without_a_regex_over_all_rare_letters(spark):
+    """A class of all special letters is tried letter by letter on every text,
+    and took most of the time; each row is folded once."""
+    df = spark.createDataFrame([("Stra\u00dfe",), ("STRASSE ",), ("Weg",), ("\u0149a",), ("\u02bcna",), (None,)], "s string")
+    found = quality.categorical_inconsistencies(df, skip_markers=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "folded" in plan
+    assert sorted((r["normalized"], r["variant"], r["n_variants"]) for r in found.collect()) == [
+        ("strasse", "STRASSE ", 2), ("strasse", "Stra\u00dfe", 2), ("\u02bcna", "\u0149a", 2), ("\u02bcna", "\u02bcna", 2)]
