@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.columns import is_text_type, quoted
+from tabsieve.functions.columns import bound, is_text_type, quoted
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 SCALE = 54  # an absolute value times 2 ** (SCALE - its exponent) is a whole number below 2 ** 57
@@ -23,19 +23,27 @@ SCALE = 54  # an absolute value times 2 ** (SCALE - its exponent) is a whole num
 
 def float_text(c: Column) -> Column:
     """``F`` text of a double."""
-    x = c.cast("double")
-    size = F.abs(x)
-    shift = F.lit(SCALE) - F.floor(F.log2(size))
-    half = F.floor(shift / 2)
     two = F.lit(2.0)
-    whole = (size * F.pow(two, half) * F.pow(two, shift - half)).cast("long")  # two steps, so that no power overflows
-    low = whole.bitwiseAND(-whole)
-    # the array binds the whole number, so that it is worked out once
-    text = F.concat(F.when(x < 0, F.lit("F-")).otherwise(F.lit("F")), F.floor(whole / low).cast("string"), F.lit("p"),
-                    (F.bit_count(low - 1) - shift).cast("string"))
-    special = (F.when(F.isnan(x), F.lit("Fnan")).when(x == 0, F.lit("F0"))
-               .when(size == F.lit(float("inf")), F.when(x > 0, F.lit("Finf")).otherwise(F.lit("F-inf"))))
-    return F.coalesce(special, text)
+
+    def whole(x: Column, shift: Column) -> Column:
+        half = F.floor(shift / 2)
+        return (F.abs(x) * F.pow(two, half) * F.pow(two, shift - half)).cast("long")  # two steps, so that no power overflows
+
+    def text(x: Column, shift: Column, n: Column) -> Column:
+        return bound(n.bitwiseAND(-n), lambda low: F.concat(
+            F.when(x < 0, F.lit("F-")).otherwise(F.lit("F")), F.floor(n / low).cast("string"), F.lit("p"),
+            (F.bit_count(low - 1) - shift).cast("string")))
+
+    def finite(x: Column) -> Column:
+        return bound(F.lit(SCALE) - F.floor(F.log2(F.abs(x))), lambda shift: bound(
+            whole(x, shift), lambda n: text(x, shift, n)))
+
+    def any_text(x: Column) -> Column:
+        return (F.when(F.isnan(x), F.lit("Fnan")).when(x == 0, F.lit("F0"))
+                .when(x == F.lit(float("inf")), F.lit("Finf")).when(x == F.lit(float("-inf")), F.lit("F-inf"))
+                .otherwise(finite(x)))
+
+    return bound(c.cast("double"), any_text)
 
 
 def cell_text(c: Column, dt: T.DataType) -> Column:
@@ -91,9 +99,11 @@ def hashable(df: DataFrame) -> list[Column]:
             else quoted(f.name) for f in df.schema.fields]
 
 
-def row_halves(df: DataFrame) -> tuple[Column, Column]:
-    """The two 64-bit halves of the MD5 of every row's canonical text, as decimals."""
+def with_row_halves(df: DataFrame, low: str, high: str) -> DataFrame:
+    """Adds the two 64-bit halves of the MD5 of every row's canonical text, as
+    decimals. The digest is a column of its own, so that both come from one."""
+    own = list(map(quoted, df.columns))
     text = F.concat_ws(";", *[cell_text(quoted(f.name), f.dataType) for f in df.schema.fields])
-    digest = F.md5(text.cast("binary"))
-    low, high = (F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(38,0)") for at in (1, 17))
-    return low, high
+    rows = df.select(*own, F.md5(text.cast("binary")).alias(f"{low}_md5"))
+    return rows.select(*own, *[F.conv(F.substring(quoted(f"{low}_md5"), at, 16), 16, 10).cast("decimal(38,0)").alias(name)
+                               for name, at in ((low, 1), (high, 17))])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsieve.functions.canonical import cell_text, has_map, row_halves
+from tabsieve.functions.canonical import cell_text, has_map, with_row_halves
 from tabsieve.functions.columns import is_text_type, quoted, to_number
 from tabsieve.operators.valuecounts import row_key
 from tabsieve.plans.columnwise import count_if, count_present, per_column
@@ -176,13 +176,15 @@ def shared_output_dir(spark: SparkSession) -> str:
     return (checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def fingerprint_aggregates(df: DataFrame) -> list[Column]:
-    """``rows, low, high``: row count and the sums of both halves of every
-    row's 128-bit key (see ``functions.canonical``)."""
-    low, high = row_halves(df)
+HALVES = ("__fingerprint_low", "__fingerprint_high")
+
+
+def fingerprint_aggregates() -> list[Column]:
+    """``rows, low, high`` of a table with its row halves: row count and the
+    sums of both halves of every row's 128-bit key (see ``functions.canonical``)."""
     zero = F.lit(0).cast("decimal(38,0)")
-    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(low), zero).alias("low"),
-            F.coalesce(F.sum(high), zero).alias("high")]
+    return [F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(half), zero).alias(name)
+                                               for name, half in zip(("low", "high"), HALVES, strict=True)]]
 
 
 def _fingerprint_text(df: DataFrame) -> str:
@@ -194,7 +196,7 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     the rows changes: SHA-256 of the schema, the row count and two sums modulo
     2**64 over the MD5 halves of each row's canonical text. Any engine with
     MD5 can repeat it; rows are folded on the executors, MAP columns included."""
-    folded = df.agg(*fingerprint_aggregates(df))
+    folded = with_row_halves(df, *HALVES).agg(*fingerprint_aggregates())
     wrap = F.lit(str(1 << 64)).cast("decimal(38,0)")
     return folded.select(F.col("rows").alias("row_count"), F.sha2(F.concat_ws(
         "|", F.lit(_fingerprint_text(df)), F.col("rows").cast("string"), (F.col("low") % wrap).cast("string"),
@@ -233,7 +235,8 @@ class VerifiedScan:
         names = [f for f, _, _ in self.files]
         self.plain = read_files(spark, names, _extension(path), listed.schema) if names else listed
         self.observed = Observation(f"scan-{uuid.uuid4().hex}")
-        self.frame = self.plain.observe(self.observed, *fingerprint_aggregates(self.plain))
+        self.frame = with_row_halves(self.plain, *HALVES).observe(
+            self.observed, *fingerprint_aggregates()).select(*map(quoted, self.plain.columns))
 
     def run(self, action: Callable[[DataFrame], Any]) -> Any:
         """Runs ``action`` on ``frame``, which must read all its rows (a write,
