@@ -144,6 +144,26 @@ def test_models_score_in_a_session_that_observed_metrics(spark, model):
     assert len(scored) == 20 and all(0 <= r["score"] <= 1 and r["prediction"] in (0, 1) for r in scored)
 
 
+def test_forest_rows_are_spread_over_tasks_by_their_number(spark, monkeypatch):
+    fitted_on = []
+
+    class Fitted(Exception):
+        pass
+
+    class Estimator:
+        def fit(self, rows):
+            fitted_on.append((rows.rdd.getNumPartitions(), rows.count(), rows.columns))
+            raise Fitted
+
+    monkeypatch.setattr(modeling, "FOREST_TASK_ROWS", 10, raising=False)
+    monkeypatch.setattr(modeling, "_estimator", lambda *_: Estimator())
+    df = spark.range(0, 45, 1, 1).selectExpr("cast(id as int) as age", "cast(id % 2 as int) as y")
+    for n in (45, 10):
+        with pytest.raises(Fitted):
+            modeling._fit_score(df.limit(n).coalesce(1), df, "Random Forest", ["age"], [], "y", n)
+    assert fitted_on == [(5, 45, ["y", "features"]), (1, 10, ["y", "features"])]
+
+
 def test_skewed_inputs(spark):
     """One value holds a third of all rows: quantiles, ranks and quotas stay exact."""
     import numpy as np
