@@ -29,6 +29,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from tabsieve.plans.ranking import cumulative_before
 MAGIC = b"TSIDS001"
 IDS_PER_FILE = 1 << 24  # a file ends with the document that reaches this
 MEMO_BYTES = 144 << 20
+WORDS_AT_ONCE = 100  # words given to the library in one string
+WORDS_HELD = 20_000  # words whose encodings are held at once
 DECODE_STEP = 1 << 18  # control bytes decoded at once
 BROADCAST_FILES = 500_000  # manifest rows of about 100 bytes; more are joined by a shuffle
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -75,8 +78,8 @@ def _gather(flat: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[np
 
 def _strings(column: pa.Array) -> list[str]:
     try:
-        return column.to_pylist()
-    except UnicodeDecodeError:  # bytes that are no UTF-8
+        return column.to_numpy(zero_copy_only=False).tolist()
+    except (UnicodeDecodeError, pa.ArrowException):  # bytes that are no UTF-8
         return [t.decode("utf-8", "replace") for t in texts(column)]
 
 
@@ -102,6 +105,7 @@ class Tokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.library = Library.from_file(path)
         spec = json.loads(self.library.to_str())
@@ -113,6 +117,11 @@ class Tokenizer:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.shown = _Shown(self.library)
+        self.model = Library(self.library.model)  # the model alone, on words that single spaces part
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # tokens that begin with a space
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(self.shown[32])]] = self.cuts
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.memo: dict[str, bytes] = {"": b""}
         self.memo_bytes = 0
@@ -123,16 +132,33 @@ class Tokenizer:
     def _whole(self, strings: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words with a space before them. The model reads many
+        in one string, and a token that begins with a space begins a word."""
+        shown, space = self.shown, self.shown[32]
+        text = [space + w[1:] if w.isascii() else w.translate(shown) for w in words]
+        found = self.model.encode_batch_fast([" ".join(text[k:k + WORDS_AT_ONCE]) for k in range(0, len(text), WORDS_AT_ONCE)],
+                                             add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype=self.kind) for e in found])
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(words):  # a model that leaves out or renames the space
+            return [self.pack([t.id for t in self.library.model.tokenize(w)]) for w in text]
+        raw, cut = ids.tobytes(), [*(at * self.kind.itemsize).tolist(), ids.nbytes]
+        return [raw[a:b] for a, b in zip(cut, cut[1:])]
+
     def _learn(self, pieces: list[str]) -> None:
         """Adds pieces to the memo. Words go to the library's model at once, as
         its splitter leaves them whole; words and marks around single line
         breaks are put together from their parts; all else is encoded."""
-        tokens, shown, space = self.library.model.tokenize, self.shown, self.shown[32]
+        tokens, shown = self.library.model.tokenize, self.shown
         memo, rest, lines = self.memo, [], {}
-        for p in pieces:
+        spaced = np.array(pc.match_substring_regex(pa.array(pieces, pa.string()), f"^ {_LETTERS}$"))
+        words = list(compress(pieces, spaced.tolist()))
+        for k in range(0, len(words), WORDS_HELD):
+            memo.update(zip(words[k:k + WORDS_HELD], self._spaced(words[k:k + WORDS_HELD])))
+        for p in compress(pieces, (~spaced).tolist()):
             if _WORD.fullmatch(p):
-                text = p.translate(shown) if not p.isascii() else space + p[1:] if p[0] == " " else p
-                memo[p] = self.pack([t.id for t in tokens(text)])
+                memo[p] = self.pack([t.id for t in tokens(p if p.isascii() else p.translate(shown))])
             elif _LINES.fullmatch(p):
                 lines[p] = _PARTS.findall(p)
             else:
@@ -152,7 +178,7 @@ class Tokenizer:
         out = list(map(self.memo.get, pieces))
         if None in out:
             at = [k for k, ids in enumerate(out) if ids is None]
-            new = list({pieces[k]: None for k in at})
+            new = list(dict.fromkeys([pieces[k] for k in at]))
             self._learn(new)
             for k in at:
                 out[k] = self.memo[pieces[k]]
@@ -169,12 +195,10 @@ class Tokenizer:
         ids = self.pieces(_strings(numbered.dictionary))
         trimmed = np.array(pc.binary_length(words)) - np.array(pc.binary_length(bodies))
         tailed = np.flatnonzero((trimmed > 0) & np.array(split))
-        tails = words.take(pa.array(tailed)).cast(pa.binary()).to_pylist()
-        cut = [t[-k:].decode() for t, k in zip(tails, trimmed[tailed].tolist())]
-        marks = {m: k for k, m in enumerate(dict.fromkeys(cut))}
+        marks = pc.replace_substring_regex(words.take(pa.array(tailed)), f"^{_LETTERS}", "").dictionary_encode()
         tail = np.zeros(len(words), dtype=np.int64)  # part 0 is empty
-        tail[tailed] = [1 + len(ids) + marks[m] for m in cut]
-        ids = [b"", *ids, *self.pieces(list(marks))]
+        tail[tailed] = 1 + len(ids) + np.array(marks.indices)
+        ids = [b"", *ids, *self.pieces(_strings(marks.dictionary))]
         lengths = np.array([len(i) for i in ids], dtype=np.int64) // self.kind.itemsize
         flat, ends = _gather(np.frombuffer(b"".join(ids), self.kind), lengths, np.stack([body + 1, tail], axis=1).ravel())
         return flat, np.diff(ends[1::2], prepend=0)
@@ -190,7 +214,9 @@ class Tokenizer:
         code = np.array(numbered.indices).astype(np.int64)
         n, ends = len(numbered.dictionary), np.cumsum(counts)
         code[ends - counts] += n  # the first word of a text has no space before it
-        used, code = np.unique(code, return_inverse=True)
+        seen = np.zeros(2 * n, dtype=bool)
+        seen[code] = True
+        used, code = np.flatnonzero(seen), (np.cumsum(seen) - 1)[code]
         flat, lengths = self._table(numbered.dictionary.take(pa.array(used % n)), used < n)
         ids, upto = _gather(flat, lengths, code)
         raw = ids.tobytes()

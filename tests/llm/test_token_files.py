@@ -104,3 +104,47 @@ def test_empty_table_and_one_crowded_id(spark):
     same = spark.createDataFrame([(None, "same", None, None, None, None, None, None)] * 300, SCHEMA)
     out = token_files.token_report(same, PATH, ids_per_file=64).collect()
     assert sorted(r["start"] for r in out) == list(range(0, 600, 2)) and len({r["ids_crc32"] for r in out}) == 1
+
+
+def invented(n, seed=4):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefgXYZéüłß") for _ in range(rng.randrange(1, 12))) for _ in range(n)]
+
+
+class Counted:
+    """A library whose model notes each word it is asked for alone."""
+
+    def __init__(self, library):
+        self.library, self.model, self.alone = library, self, []
+
+    def tokenize(self, word):
+        self.alone.append(word)
+        return self.library.model.tokenize(word)
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+
+@pytest.mark.parametrize("held", [token_files.WORDS_HELD, 130])
+def test_new_words_reach_the_library_many_at_once(library, monkeypatch, held):
+    monkeypatch.setattr(token_files, "WORDS_HELD", held, raising=False)
+    strings = [" ".join(invented(400, seed)) for seed in range(5)]
+    own = token_files.Tokenizer(PATH)
+    own.library = Counted(own.library)
+    found = [np.frombuffer(i, own.kind).tolist() for i in own.encode(pa.array(strings))]
+    assert found == [e.ids for e in library.encode_batch(strings, add_special_tokens=False)]
+    assert len(own.library.alone) <= len(strings)  # the first word of a text has no space before it
+
+
+def test_words_of_a_model_without_space_tokens_are_read_alone(library):
+    words = [" " + w for w in invented(300)]
+    own = token_files.Tokenizer(PATH)
+    together = own._spaced(words)
+    own.begins[:] = False
+    assert own._spaced(words) == together == own._whole(words)
+
+
+def test_strings_that_are_no_utf8_are_mended():
+    raw = b"ab\xff\xfe cd"
+    column = pa.Array.from_buffers(pa.string(), 2, [None, pa.py_buffer(np.array([0, 2, len(raw)], "<i4")), pa.py_buffer(raw)])
+    assert token_files._strings(column) == ["ab", "\ufffd\ufffd cd"]
